@@ -23,13 +23,22 @@ def from_epoch_ms(ms: Column | str) -> Column:
     return F.timestamp_add("MILLISECOND", _col(ms), _epoch())
 
 
+def to_epoch_us(ts: Column | str) -> Column:
+    return F.timestamp_diff("MICROSECOND", _epoch(), _col(ts))
+
+
+def from_epoch_us(us: Column | str) -> Column:
+    return F.timestamp_add("MICROSECOND", _col(us), _epoch())
+
+
 def to_epoch_ms(ts: Column | str) -> Column:
-    """Inverse of C8."""
-    return F.timestamp_diff("MILLISECOND", _epoch(), _col(ts))
+    """Inverse of C8: epoch milliseconds, rounded to the nearest (half up)."""
+    return F.round(to_epoch_us(ts) / 1000).cast("long")
 
 
 def to_epoch_s(ts: Column | str) -> Column:
-    return F.timestamp_diff("SECOND", _epoch(), _col(ts))
+    """Epoch seconds, truncated."""
+    return F.floor(to_epoch_us(ts) / 1_000_000).cast("long")
 
 
 def with_offset(ts: Column | str, days: float = 0, minutes: float = 0, ahead: bool = True, ms: bool = True) -> Column:

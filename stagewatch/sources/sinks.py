@@ -40,9 +40,11 @@ def append_rows(df: DataFrame, path: str, schema: T.StructType | None = None,
     writer.save(path)
 
 
-def with_event_date(df: DataFrame, col: str = "time", name: str = "event_date") -> DataFrame:
-    """Day partition column for time-partitioned storage and retention."""
-    return df.withColumn(name, F.to_date(F.col(col)))
+def with_event_date(df: DataFrame, col: str = "time", name: str = "event_date", unit: str = "day") -> DataFrame:
+    """Partition column for time-partitioned storage and retention: the day (default;
+    tens of GB per day at full scale), or the month's first day for sparse tables."""
+    d = F.to_date(F.col(col))
+    return df.withColumn(name, d if unit == "day" else F.trunc(d, unit))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -28,4 +28,4 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules whose import registers queries."""
-    from . import queries_core, queries_io, queries_ops  # noqa: F401
+    from . import queries_core, queries_io, queries_ops, queries_stream  # noqa: F401

@@ -7,7 +7,6 @@ absent (local tests) do we create one under the system temp folder and set it.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -48,9 +47,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never reused path under the shared checkpoint folder."""
+    """A fresh, never reused path under the shared checkpoint folder (not created:
+    the writer that uses it creates it)."""
     root = checkpoint_root(spark)
-    path = f"{root}/stagewatch/{label}-{uuid.uuid4().hex}"
-    if "://" not in path or path.startswith("file:"):
-        os.makedirs(path.replace("file:", "", 1) if path.startswith("file:") else path, exist_ok=True)
-    return path
+    return f"{root}/stagewatch/{label}-{uuid.uuid4().hex}"

@@ -106,3 +106,14 @@ def expire_partitions(df: DataFrame, as_of_date: Column, days: int = 7, part_col
     predicate is on the partition column, so expired folders are never listed for
     reading."""
     return df.where(F.col(part_col) > F.date_sub(as_of_date, days))
+
+
+def store_events(events: DataFrame, path: str, unit: str = "day") -> None:
+    """The event table as stored for reading: time-partitioned, and inside every
+    partition sorted by (batch, job, time), so batch and job predicates skip row
+    groups by their min/max statistics. One shuffle on the partition column."""
+    part = with_event_date(events, unit=unit)
+    (part.repartition("event_date")
+     .sortWithinPartitions("event_date", "ingestion_batch_id", "job_id", "time")
+     .write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+     .partitionBy("event_date").parquet(path))

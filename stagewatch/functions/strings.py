@@ -14,7 +14,7 @@ def _col(c: Column | str) -> Column:
 
 def stage_name(stage_progress: Column | str) -> Column:
     """Stage number -> display name (NULL outside 0..6)."""
-    return F.element_at(F.array(*[F.lit(s) for s in STAGE_NAMES]), _col(stage_progress).cast("int") + 1)
+    return F.try_element_at(F.array(*[F.lit(s) for s in STAGE_NAMES]), _col(stage_progress).cast("int") + 1)
 
 
 def stage_number(stage: Column | str) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import timefns as TF
 from ..functions.strings import stage_name
 from ..schema import EVENT_COLUMNS, LAST_STAGE, NUM_STAGES
 
@@ -97,7 +98,8 @@ def lifecycle_checks(events: DataFrame) -> DataFrame:
         F.max(F.when(terminal, sp)).alias("terminal_stage"),
         F.max(F.when(terminal, t)).alias("terminal_time"),
         F.max(t).alias("last_time"),
-        F.max_by(sp, F.struct(t, sp)).alias("stage_at_last_time"),
+        # stage of the latest event: the low bits of the largest (time, stage) key
+        (F.max(TF.to_epoch_us(t) * 8 + sp.cast("long")) % 8).cast("int").alias("stage_at_last_time"),
     )
     gap_free = (F.col("min_stage") == 0) & (F.col("n_stages") == F.col("max_stage") + 1) & (
         F.col("n_events") == F.col("n_stages")

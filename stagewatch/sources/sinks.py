@@ -117,3 +117,10 @@ def store_events(events: DataFrame, path: str, unit: str = "day") -> None:
      .sortWithinPartitions("event_date", "ingestion_batch_id", "job_id", "time")
      .write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("event_date").parquet(path))
+
+
+def append_to_table(df: DataFrame, name: str) -> None:
+    """S3 into a catalog table: columns matched by name (insertInto is positional)."""
+    spark = df.sparkSession
+    cols = spark.table(name).columns
+    df.select(*cols).write.insertInto(name)

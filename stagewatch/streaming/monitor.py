@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.strings import stage_name
-from ..operators.monitoring import DEFAULT_USERS, minute_bin
+from ..operators.monitoring import DEFAULT_USERS, latest_per_job, minute_bin, order_key_stage, order_key_time
 from ..schema import EVENT_SCHEMA, LAST_STAGE
 from ..session import scratch_path
 from ..sources.sinks import latest_per_key
@@ -139,8 +139,7 @@ def dropped_by_watermark(query: StreamingQuery) -> int:
 
 # ------------------------------------------------------------------ T4 latest status
 def latest_status_agg(stream: DataFrame) -> DataFrame:
-    o = F.struct("time", "stage_progress")
-    return stream.groupBy("job_id").agg(F.max(o).alias("_last"), F.max_by("errored", o).alias("errored"))
+    return latest_per_job(stream, ["job_id"])
 
 
 def latest_status_stream(stream: DataFrame, dest: str, checkpoint: str) -> StreamingQuery:
@@ -150,12 +149,13 @@ def latest_status_stream(stream: DataFrame, dest: str, checkpoint: str) -> Strea
 
 def latest_status_result(spark: SparkSession, dest: str) -> DataFrame:
     st = read_latest(spark, dest, ["job_id"])
+    sp = order_key_stage(F.col("_key"))
     return st.select(
         "job_id",
-        stage_name(F.col("_last.stage_progress")).alias("stage"),
-        F.col("_last.stage_progress").alias("stage_progress"),
+        stage_name(sp).alias("stage"),
+        sp.alias("stage_progress"),
         "errored",
-        F.col("_last.time").alias("last_updation_time"),
+        order_key_time(F.col("_key")).alias("last_updation_time"),
     )
 
 

@@ -1,0 +1,181 @@
+"""Casts, encodings, sinks, catalog and streams on hand-made rows."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from events_fixture import B1, B2, T0, frame, job, standard_rows
+from stagewatch.functions import casts as C
+from stagewatch.functions import strings as S
+from stagewatch.functions import timefns as TF
+from stagewatch.operators import monitoring as M
+from stagewatch.schema import EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TYPE_NAMES
+from stagewatch.session import scratch_path
+from stagewatch.sources import catalog as CAT
+from stagewatch.sources import jsonlog as JL
+from stagewatch.sources import records as R
+from stagewatch.sources import sinks as SK
+from stagewatch.streaming import monitor as T
+
+
+def test_cast_text_every_type(spark):
+    df = spark.createDataFrame([("x", "42", "9007199254740993", "1.5", "True", "2022-08-29 05:04:16.123456789",
+                                 "2022-08-29", "05:04:16.123456789", "[1, 2]")],
+                               "s string, i string, b string, d string, t string, ts string, dt string, tm string, a string")
+    r = df.select(C.cast_text("s", "VARCHAR").alias("s"), C.cast_text("i", "INTEGER").alias("i"),
+                  C.cast_text("b", "BIGINT").alias("b"), C.cast_text("d", "DOUBLE").alias("d"),
+                  C.cast_text("t", "BOOLEAN").alias("t"), C.cast_text("ts", "TIMESTAMP").alias("ts"),
+                  C.cast_text("dt", "DATE").alias("dt"), C.cast_text("tm", "TIME").alias("tm"),
+                  C.cast_text("a", "ARRAY").alias("a")).first()
+    assert (r.s, r.i, r.b, r.d, r.t) == ("x", 42, 9007199254740993, 1.5, True)
+    assert r.ts == dt.datetime(2022, 8, 29, 5, 4, 16, 123456)
+    assert r.dt == dt.date(2022, 8, 29) and r.tm == "05:04:16.123456" and r.a == "[1, 2]"
+    with pytest.raises(ValueError):
+        C.cast_text("s", "INTERVAL")
+
+
+def test_boolean_text_only_true_is_true(spark):
+    df = spark.createDataFrame([("True",), ("TRUE",), ("t",), ("1",), ("false",), (None,)], "v string")
+    assert [r.b for r in df.select(C.cast_text("v", "BOOLEAN").alias("b")).collect()] == [True, True, False, False,
+                                                                                         False, None]
+
+
+def test_apply_schema_nulls_and_struct(spark):
+    df = spark.createDataFrame([("1", None), (None, "2.5")], "a string, b string")
+    out = C.apply_schema(df, [("a", "BIGINT"), ("b", "DOUBLE")])
+    assert out.schema == C.schema_of([("a", "BIGINT"), ("b", "DOUBLE")])
+    assert [tuple(r) for r in out.collect()] == [(1, None), (None, 2.5)]
+
+
+def test_rejects_keep_the_rest(spark):
+    df = spark.createDataFrame([(0, "j0", "6", "2024-01-01 00:00:00.000000000"), (1, "j1", "six", "2024-01-01 00:00:00.000000000"),
+                                (2, None, "6", "2024-01-01 00:00:00.000000000"), (3, "j3", "6", "yesterday")],
+                               "idx long, job_id string, num_stages string, time string")
+    rules = {"num_stages not numeric": C.cast_text("num_stages", "BIGINT", strict=False).isNull(),
+             "missing job_id": F.col("job_id").isNull(),
+             "malformed time": C.cast_text("time", "TIMESTAMP", strict=False).isNull()}
+    ok, bad = R.split_rejects(R.validate(df, rules), "idx")
+    assert [r.idx for r in ok.collect()] == [0]
+    assert {r.record_index: r.reason for r in bad.collect()} == {
+        1: "num_stages not numeric", 2: "missing job_id", 3: "malformed time"}
+
+
+def test_time_functions(spark):
+    df = spark.createDataFrame([(dt.datetime(2022, 8, 29, 5, 4, 16, 123600),)], "ts timestamp_ntz")
+    r = df.select(TF.to_epoch_ms("ts").alias("ms"), TF.from_epoch_ms(F.lit(1661749456124)).alias("back"),
+                  TF.with_offset("ts", days=7).alias("d7"), TF.with_offset("ts", minutes=1, ahead=False, ms=False).alias("m1"),
+                  S.log_stream_name("ts").alias("stream")).first()
+    assert r.ms == 1661749456124
+    assert r.back == dt.datetime(2022, 8, 29, 5, 4, 16, 124000)
+    assert r.d7 == 1661749456124 + 7 * 86400 * 1000 and r.m1 == 1661749456 - 60
+    assert r.stream == "2022/8/29/5/4"
+
+
+def test_stage_names_round_trip(spark):
+    df = spark.range(0, 8).select(F.col("id").cast("int").alias("sp"))
+    r = df.select("sp", S.stage_name("sp").alias("n"), S.next_stage("sp").alias("nx")).collect()
+    assert r[0].n == "In-queue" and r[6].n == "Finished" and r[7].n is None
+    assert [x.nx for x in r][:7] == [1, 2, 3, 4, 5, 6, 6]
+    back = df.select(S.stage_number(S.stage_name("sp")).alias("b")).collect()
+    assert [x.b for x in back] == [0, 1, 2, 3, 4, 5, 6, None]
+
+
+def test_json_log_round_trip_and_malformed(spark):
+    ev = frame(spark, standard_rows())
+    path = scratch_path(spark, "test-log")
+    JL.write_log(ev, path)
+    raw = JL.read_log(spark, path)
+    back = JL.from_log_records(raw.select("timestamp", "message"), EVENT_SCHEMA)
+    assert sorted(back.collect()) == sorted(ev.collect())
+    bad = spark.createDataFrame([(T0, '{"job_id": "x", "user_id": "0011", "errored": true}'), (T0, "not json")],
+                                "timestamp timestamp_ntz, message string")
+    r = JL.from_log_records(bad, EVENT_SCHEMA).collect()
+    assert (r[0].job_id, r[0].user_id, r[0].errored) == ("x", "0011", True)
+    assert r[1].job_id is None and r[1].time == T0
+
+
+def test_records_round_trip_single_measure(spark):
+    ev = frame(spark, standard_rows())
+    recs = R.to_records(ev, EVENT_TYPE_NAMES, "time", "stage", ["job_id", "user_id"])
+    first = recs.first()
+    assert [m.Name for m in first.measures] == ["stage"] and [d.Name for d in first.dimensions] == ["user_id", "job_id"]
+    full = R.to_records(ev, EVENT_TYPE_NAMES, "time", ["stage", "stage_progress", "errored", "finished"],
+                        [c for c in EVENT_COLUMNS if c not in ("time", "stage", "stage_progress", "errored", "finished")])
+    back = R.from_records(full, [(c, EVENT_TYPE_NAMES[c]) for c in EVENT_COLUMNS])
+    assert sorted(back.collect()) == sorted(ev.collect())
+
+
+def test_upsert_last_write_wins(spark):
+    base = spark.createDataFrame([("ts", "op", "1", 10), ("ts", "op", "2", 20)], "s string, o string, r string, v long")
+    upd = spark.createDataFrame([("ts", "op", "2", 21), ("rds", "op", "2", 5)], "s string, o string, r string, v long")
+    out = SK.upsert(base, upd, ["s", "o", "r"])
+    assert sorted(tuple(r) for r in out.collect()) == [("rds", "op", "2", 5), ("ts", "op", "1", 10), ("ts", "op", "2", 21)]
+
+
+def test_append_copy_retention(spark):
+    ev = frame(spark, standard_rows())
+    path = scratch_path(spark, "test-append")
+    SK.append_rows(SK.with_event_date(ev), path, partition_by=["event_date"])
+    SK.append_rows(SK.with_event_date(ev), path, partition_by=["event_date"])
+    assert spark.read.parquet(path).count() == 2 * ev.count()
+    cp = SK.copy_table(ev, scratch_path(spark, "test-copy"), ["job_id", "time"])
+    assert cp.columns == ["job_id", "time"] and cp.count() == ev.count()
+    kept = SK.retained(ev, F.lit(T0 + dt.timedelta(seconds=30)).cast("timestamp_ntz"), hours=1)
+    assert kept.count() == ev.where(F.col("time") <= T0 + dt.timedelta(seconds=30)).count()
+
+
+def test_catalog_ops(spark):
+    name = "stagewatch_test_events"
+    CAT.drop_table(spark, name)
+    CAT.create_table_if_absent(spark, name, EVENT_SCHEMA, path=scratch_path(spark, "test-table"))
+    CAT.create_table_if_absent(spark, name, EVENT_SCHEMA)  # second call is a no-op
+    assert CAT.table_exists(spark, name)
+    SK.append_to_table(frame(spark, standard_rows()), name)
+    CAT.refresh_table(spark, name)
+    assert spark.table(name).count() == len(standard_rows())
+    assert name in [r.name for r in CAT.list_tables(spark).collect()]
+    CAT.drop_table(spark, name)
+    assert not CAT.table_exists(spark, name)
+
+
+def test_fan_out_writes_each_sink(spark):
+    ev = frame(spark, standard_rows())
+    a, b = scratch_path(spark, "fan-a"), scratch_path(spark, "fan-b")
+    SK.fan_out(ev, [lambda d: d.write.parquet(a), lambda d: JL.to_log_records(d).write.json(b)])
+    assert spark.read.parquet(a).count() == ev.count() == spark.read.json(b).count()
+
+
+def test_stream_equals_batch(spark):
+    ev = frame(spark, standard_rows() + job("r__v__1100", "x", 2, True, user="1100"))
+    src, sink, ckpt = T.scratch_stream_paths(spark, "test-stream")
+    T.stage_rounds_source(ev, src)
+    s = T.event_stream(spark, src, 2)
+    T.batch_rollup_stream(s, sink + "/t2", ckpt + "/t2")
+    got = T.batch_rollup_result(spark, sink + "/t2").orderBy("ingestion_batch_id").collect()
+    assert got == M.batch_rollup(ev).collect()
+    T.latest_status_stream(s, sink + "/t4", ckpt + "/t4")
+    assert sorted(T.latest_status_result(spark, sink + "/t4").collect()) == sorted(M.latest_job_status(ev).collect())
+    T.finished_per_minute_stream(s, sink + "/t3", ckpt + "/t3", users=["1110", "0011"])
+    got3 = sorted(tuple(r) for r in T.read_latest(spark, sink + "/t3", ["repo_id", "interval_start"]).collect())
+    assert got3 == sorted(tuple(r) for r in M.finished_per_minute(ev, ["1110", "0011"]).collect())
+
+
+def test_stream_watermark_reports_late_rows(spark):
+    early = job(B1, "a", created=T0 + dt.timedelta(hours=3))
+    late = job(B2, "b", user="0011")  # three hours older, arrives in a later micro-batch
+    src, sink, ckpt = T.scratch_stream_paths(spark, "test-late")
+    frame(spark, early).write.parquet(src)
+    s = T.event_stream(spark, src, 1)
+    agg = T.finished_per_minute_agg(s, ["1110", "0011"], lateness="10 minutes")
+    q = (agg.writeStream.outputMode("append").foreachBatch(T.batch_folder_sink(sink))
+         .option("checkpointLocation", ckpt).start())
+    try:
+        q.processAllAvailable()
+        frame(spark, early).write.mode("append").parquet(src)  # advance the watermark
+        q.processAllAvailable()
+        frame(spark, late).write.mode("append").parquet(src)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert T.dropped_by_watermark(q) >= 1

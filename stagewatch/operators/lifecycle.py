@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timefns as TF
-from ..functions.strings import stage_name
+from ..functions.strings import fraction_count, stage_name
 from ..schema import EVENT_COLUMNS, LAST_STAGE, NUM_STAGES
 
 # Batch-pair generation is split into chunks of this many jobs, so that one huge
@@ -60,7 +60,7 @@ def split_batch_pairs(pairs: DataFrame, chunk: int = JOB_CHUNK) -> DataFrame:
     lo = F.col("chunk_no") * chunk + 1
     hi = F.least(n, (F.col("chunk_no") + 1) * chunk)
     jobs = spread.select("*", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))).alias("job_no"))
-    first_n = F.floor(n * F.col("split_pct") / 100)
+    first_n = fraction_count(n, F.col("split_pct"))
     user = F.when(F.col("job_no") <= first_n, F.col("first_user_id")).otherwise(F.col("second_user_id"))
     return jobs.select(
         F.concat_ws("__", "repo_id", "repo_version", user).alias("ingestion_batch_id"),

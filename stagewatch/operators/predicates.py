@@ -75,11 +75,15 @@ def multi_get(df: DataFrame, id_col: str, ids: DataFrame, pos_col: str | None =
     """one result row per requested id, in request order, with a ``found`` flag.
 
     ``ids`` has the requested ids in column ``id_col`` (and an optional position
-    column). It is an ordinary DataFrame of any size: a left join, which AQE turns
-    into a broadcast only when it measures the request side as small.
+    column) and may be of any size. The table is first reduced to the requested ids
+    by a semi join (whose build side is the request list, broadcast by AQE when it
+    measures it small), and only those hits are joined back to the request list, so a
+    short list never shuffles the whole table.
     """
     keep = [c for c in (fields or df.columns) if c != id_col]
-    hits = df.select(F.col(id_col), *[F.col(c) for c in keep], F.lit(True).alias("found"))
+    wanted = ids.select(id_col).distinct()
+    hits = df.join(wanted, id_col, "left_semi").select(F.col(id_col), *[F.col(c) for c in keep],
+                                                        F.lit(True).alias("found"))
     out = ids.join(hits, id_col, "left").select(
         *([pos_col] if pos_col else []), id_col, F.coalesce(F.col("found"), F.lit(False)).alias("found"), *keep
     )

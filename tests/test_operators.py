@@ -223,3 +223,24 @@ def test_time_bins(spark):
                                "ts timestamp_ntz")
     out = A.time_bins(df, "ts", "1 hour", [F.count(F.lit(1)).alias("n")]).orderBy("bin_start").collect()
     assert [(r.bin_start, r.n) for r in out] == [(T0, 2), (T0 + dt.timedelta(hours=1), 1)]
+
+
+def test_sql_with_bind_parameter_equals_dataframe_form(spark):
+    ev = frame(spark, standard_rows())
+    for user in ("0011", "1110"):
+        assert M.completed_batches_sql(ev, user).collect() == M.completed_batches(ev, user).collect()
+
+
+def test_cross_variants_agree_on_derived_data(spark):
+    from conftest import SF_SMALL
+    from stagewatch.sources.derive import monitoring_events
+
+    ev = monitoring_events(spark, SF_SMALL)
+    assert M.batch_rollup(ev).collect() == M.batch_rollup_lateral(ev).orderBy("ingestion_batch_id").collect()
+    assert M.completed_batches(ev).collect() == M.completed_batches_semi(ev).collect()
+    mine = ev.where(F.col("user_id") == "1110")
+    a = sorted(M.latest_job_status(mine).collect())
+    b = sorted(M.latest_job_status_lateral(ev, mine.select("job_id")).collect())
+    assert a == b
+    unlimited = M.batch_rollup(ev, limit=None).orderBy("ingestion_batch_id").limit(100).collect()
+    assert unlimited == M.batch_rollup(ev).collect()

@@ -28,7 +28,7 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     rows per group and partition before the shuffle, so a hot group ships little.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.select("*", F.row_number().over(w).alias(rank_col)).where(F.col(rank_col) <= n)
+    return df.select("*", F.row_number().over(w).cast("long").alias(rank_col)).where(F.col(rank_col) <= n)
 
 
 def composite_page(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], size: int = 100,

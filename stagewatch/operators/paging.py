@@ -32,7 +32,7 @@ def offset_page(df: DataFrame, page_size: int, page_after: int, sort_by: str | S
     """P1. ``sort_by`` should be unique (add a tie-break column) for a stable page."""
     keys = [sort_by] if isinstance(sort_by, str) else list(sort_by)
     w = Window.orderBy(*_order(keys, sort_order))
-    numbered = df.select(F.row_number().over(w).alias("row_num"), *[F.col(c) for c in df.columns])
+    numbered = df.select(F.row_number().over(w).cast("long").alias("row_num"), *[F.col(c) for c in df.columns])
     return numbered.where(F.col("row_num").between(page_after + 1, page_after + page_size))
 
 

@@ -45,6 +45,26 @@ def _rows(names, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
+SPARK_TO_DUCK = {
+    "StringType": "VARCHAR", "LongType": "BIGINT", "IntegerType": "INTEGER", "DoubleType": "DOUBLE",
+    "BooleanType": "BOOLEAN", "TimestampNTZType": "TIMESTAMP", "TimestampType": "TIMESTAMP WITH TIME ZONE",
+    "DateType": "DATE", "FloatType": "FLOAT", "ShortType": "SMALLINT", "ByteType": "TINYINT",
+}
+
+
+def type_mismatches(df, con, sql: str) -> list[str]:
+    """Columns whose Spark type does not map to the DuckDB result type."""
+    rel = con.sql(sql)
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for f in df.schema.fields:
+        want = SPARK_TO_DUCK.get(type(f.dataType).__name__, f.dataType.simpleString())
+        got = duck_types.get(f.name)
+        if got is not None and got != want:
+            out.append(f"{f.name}: spark {f.dataType.simpleString()} vs duck {got}")
+    return out
+
+
 def compare(df, con, sql: str) -> tuple[bool, str]:
     s_names = df.columns
     s_rows = [tuple(r) for r in df.collect()]

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import __spark_entry__ as E  # noqa: E402
-from compare import compare, duck  # noqa: E402
+from compare import compare, duck, type_mismatches  # noqa: E402
 from stagewatch.session import local_session  # noqa: E402
 
 
@@ -19,6 +19,8 @@ def main() -> int:
     names = sys.argv[2:]
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("ORACLE_SESSION_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["ORACLE_SESSION_TZ"])
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
@@ -30,6 +32,9 @@ def main() -> int:
             df = fn(spark, sf_dir)
             if name in orc:
                 ok, msg = compare(df, con, orc[name])
+                tm = type_mismatches(df, con, orc[name])
+                if tm:
+                    msg += f" | TYPES {tm}"
             else:
                 ok, msg = True, f"{df.count()} rows (no oracle)"
         except Exception as e:  # noqa: BLE001

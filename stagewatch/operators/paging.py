@@ -51,11 +51,18 @@ def _after(keys: Sequence[str], cursor: Sequence[Column], strict: bool = True, f
 
 
 def keyset_page(df: DataFrame, keys: Sequence[str], page_size: int,
-                cursor: Sequence[Column | object] | None = None, direction: str = "next") -> DataFrame:
-    """P2. The page after (``next``) or before (``prev``) ``cursor``, in key order."""
+                cursor: Sequence[object] | Column | None = None, direction: str = "next") -> DataFrame:
+    """P2. The page after (``next``) or before (``prev``) ``cursor``, in key order.
+
+    ``cursor`` is either key values (a client's token: expanded into a lexicographic
+    predicate that parquet can push down) or a struct Column such as ``cursor_value``
+    (compared as one struct, so its subquery runs once)."""
     forward = direction == "next"
     page = df
-    if cursor is not None:
+    if isinstance(cursor, Column):
+        k = F.struct(*[F.col(c) for c in keys])
+        page = df.where(k > cursor if forward else k < cursor)
+    elif cursor is not None:
         cur = [c if isinstance(c, Column) else F.lit(c) for c in cursor]
         page = df.where(_after(keys, cur, forward=forward))
     order = [F.col(k).asc() if forward else F.col(k).desc() for k in keys]
@@ -69,9 +76,10 @@ def page_cursors(page: DataFrame, keys: Sequence[str]) -> DataFrame:
     return page.agg(F.min(s).alias("prev_cursor"), F.max(s).alias("next_cursor"))
 
 
-def cursor_values(cursor_df: DataFrame, which: str, keys: Sequence[str]) -> list[Column]:
-    """The cursor of ``page_cursors`` as scalar-subquery columns (nothing collected)."""
-    return [cursor_df.select(F.col(f"{which}.{k}")).scalar() for k in keys]
+def cursor_value(cursor_df: DataFrame, which: str) -> Column:
+    """A cursor of ``page_cursors`` (``prev_cursor``/``next_cursor``) as a struct-valued
+    scalar subquery: nothing is collected to the driver."""
+    return cursor_df.select(F.col(which)).scalar()
 
 
 def sorted_scan(df: DataFrame, query: Column | None = None, sort_by: Sequence[Column | str] | None = None,

@@ -40,7 +40,7 @@ ORDER BY e.ts, e.event_id LIMIT 100""")
 def p2_next(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     first = P.keyset_page(ev, EV_KEYS, 100)
-    cur = P.cursor_values(P.page_cursors(first, EV_KEYS), "next_cursor", EV_KEYS)
+    cur = P.cursor_value(P.page_cursors(first, EV_KEYS), "next_cursor")
     return P.keyset_page(ev, EV_KEYS, 100, cur, "next")
 
 
@@ -51,7 +51,7 @@ WHERE rn BETWEEN 101 AND 200""".replace("SELECT * FROM (", "SELECT event_id, ts,
 def p2_prev(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     last = P.keyset_page(ev, EV_KEYS, 100, None, "prev")
-    cur = P.cursor_values(P.page_cursors(last, EV_KEYS), "prev_cursor", EV_KEYS)
+    cur = P.cursor_value(P.page_cursors(last, EV_KEYS), "prev_cursor")
     return P.keyset_page(ev, EV_KEYS, 100, cur, "prev")
 
 

@@ -155,13 +155,14 @@ def test_offset_and_keyset_pages(spark):
     p = P.offset_page(df, 100, 100, "id").collect()
     assert [x.row_num for x in p][:2] == [101, 102] and p[0].id == 101 and len(p) == 100
     first = P.keyset_page(df, ["g", "id"], 50)
-    cur = P.cursor_values(P.page_cursors(first, ["g", "id"]), "next_cursor", ["g", "id"])
+    cur = P.cursor_value(P.page_cursors(first, ["g", "id"]), "next_cursor")
     second = P.keyset_page(df, ["g", "id"], 50, cur).collect()
     expect = df.orderBy("g", "id").collect()[50:100]
     assert second == expect
-    back_cur = P.cursor_values(P.page_cursors(P.keyset_page(df, ["g", "id"], 50, cur), ["g", "id"]), "prev_cursor",
-                               ["g", "id"])
+    back_cur = P.cursor_value(P.page_cursors(P.keyset_page(df, ["g", "id"], 50, cur), ["g", "id"]), "prev_cursor")
     assert P.keyset_page(df, ["g", "id"], 50, back_cur, "prev").collect() == first.collect()
+    token = (second[-1].g, second[-1].id)  # a client's literal token: pushed-down predicate
+    assert P.keyset_page(df, ["g", "id"], 50, token).collect() == df.orderBy("g", "id").collect()[100:150]
 
 
 def test_batch_numbers_global_order(spark):

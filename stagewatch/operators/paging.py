@@ -123,3 +123,16 @@ def batch_numbers(df: DataFrame, order_by: Sequence[str], batch_size: int = 100)
         row_no.alias("row_no"),
         F.floor((row_no - 1) / batch_size).cast("long").alias("batch_no"),
     )
+
+
+def iter_pages(df: DataFrame, page_size: int = 100):
+    """S16 at the edge: hand a result to a client page by page. Rows arrive one
+    partition at a time (``toLocalIterator``), so the driver never holds the result."""
+    page = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        page.append(row)
+        if len(page) == page_size:
+            yield page
+            page = []
+    if page:
+        yield page

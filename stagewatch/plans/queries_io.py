@@ -12,7 +12,8 @@ from ..functions import jsonfns as J
 from ..functions import strings as S
 from ..functions import timefns as TF
 from ..operators import latency as N
-from ..schema import EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TYPE_NAMES, QUERY_TYPE_NAMES, STAGE_NAMES, STORE_NAMES
+from ..schema import (EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TYPE_NAMES, QUERY_TYPE_NAMES, SCALES, STAGE_NAMES,
+                      STORE_NAMES)
 from ..session import scratch_path
 from ..sources import csv as CSV
 from ..sources import jsonlog as JL
@@ -312,3 +313,13 @@ SELECT query_type, data_store, scale, round(AVG(exec_time), 6) AS mean_ms, COUNT
 FROM reads WHERE NOT is_first_query GROUP BY query_type, data_store, scale""", READS_CTE))
 def n4(spark, sf_dir):
     return N.scaling_means(N.read_runs(benchmark_runs(spark, sf_dir)))
+
+
+SCALE_LIST = SCALES
+
+
+@register("n4_scaling_table", with_runs("SELECT query_type, data_store, " + ", ".join(
+    f"round(AVG(exec_time) FILTER (WHERE scale = '{x}'), 6) AS \"{x}\"" for x in SCALE_LIST) + """
+FROM reads WHERE NOT is_first_query GROUP BY query_type, data_store""", READS_CTE))
+def n4_table(spark, sf_dir):
+    return N.scaling_table(N.read_runs(benchmark_runs(spark, sf_dir)), SCALE_LIST)

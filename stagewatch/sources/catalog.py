@@ -41,3 +41,11 @@ def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     rows = [(t.name, t.database, t.tableType, t.isTemporary) for t in spark.catalog.listTables(database)]
     schema = "name string, database string, table_type string, is_temporary boolean"
     return spark.createDataFrame(rows, schema).orderBy("name")
+
+
+def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Primary-key check for tables created by ``create_table_if_absent`` (Spark does
+    not enforce keys): keys that occur more than once, with their count."""
+    from pyspark.sql import functions as F
+
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)

@@ -179,3 +179,13 @@ def test_stream_watermark_reports_late_rows(spark):
     finally:
         q.stop()
     assert T.dropped_by_watermark(q) >= 1
+
+
+def test_iter_pages_and_key_violations(spark):
+    from stagewatch.operators.paging import iter_pages
+
+    df = spark.range(0, 250, numPartitions=4)
+    pages = list(iter_pages(df.orderBy("id"), 100))
+    assert [len(p) for p in pages] == [100, 100, 50] and pages[2][-1].id == 249
+    dup = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "k long, s string")
+    assert [tuple(r) for r in CAT.key_violations(dup, ["k", "s"]).collect()] == [(1, "a", 2)]

@@ -1,6 +1,6 @@
 """Benchmark: the five monitoring query types (and variants) on the stage-event table.
 
-Mirrors the reference's read benchmark: events are written once to the store (here a
+Mirrors the monitoring read benchmark: events are written once to the store (here a
 parquet table, time-partitioned and clustered by batch id), then every query type
 runs ``BENCH_REPEATS`` times; the first run is reported apart (cold), and the mean
 and median of the warm runs per query. Each run executes the full plan into a no-op

@@ -21,6 +21,11 @@ def _stream(spark, sf_dir, label):
     return T.event_stream(spark, src, FILES_PER_TRIGGER), sink, ckpt
 
 
+def _parts(spark):
+    """State partitions for these test-scale streams: one per core."""
+    return T.state_partitions(spark, spark.sparkContext.defaultParallelism)
+
+
 @register("t1_stream_ingest", with_me("SELECT * FROM monitoring_events"))
 def t1(spark, sf_dir):
     s, sink, ckpt = _stream(spark, sf_dir, "t1")
@@ -33,7 +38,8 @@ SELECT ingestion_batch_id, {ROLLUP_SQL}
 FROM monitoring_events GROUP BY ingestion_batch_id ORDER BY ingestion_batch_id LIMIT 100"""))
 def t2(spark, sf_dir):
     s, sink, ckpt = _stream(spark, sf_dir, "t2")
-    T.batch_rollup_stream(s, sink, ckpt)
+    with _parts(spark):
+        T.batch_rollup_stream(s, sink, ckpt)
     return T.batch_rollup_result(spark, sink).orderBy("ingestion_batch_id").limit(100)
 
 
@@ -44,7 +50,8 @@ WHERE stage = 'Finished' AND user_id IN {USERS_SQL}
 GROUP BY repo_id, date_trunc('minute', time)"""))
 def t3(spark, sf_dir):
     s, sink, ckpt = _stream(spark, sf_dir, "t3")
-    T.finished_per_minute_stream(s, sink, ckpt)
+    with _parts(spark):
+        T.finished_per_minute_stream(s, sink, ckpt)
     return T.read_latest(spark, sink, ["repo_id", "interval_start"])
 
 
@@ -52,7 +59,8 @@ def t3(spark, sf_dir):
           with_me(LATEST_SQL.format(stage_names=_stage_list_sql(), batch="ingestion_batch_id")))
 def t4(spark, sf_dir):
     s, sink, ckpt = _stream(spark, sf_dir, "t4")
-    T.latest_status_stream(s, sink, ckpt)
+    with _parts(spark):
+        T.latest_status_stream(s, sink, ckpt)
     return T.latest_status_result(spark, sink)
 
 
@@ -75,5 +83,6 @@ SELECT ingestion_batch_id, COUNT(*) AS unique_events
 FROM monitoring_events GROUP BY ingestion_batch_id ORDER BY ingestion_batch_id LIMIT 100"""))
 def t6(spark, sf_dir):
     s, sink, ckpt = _stream(spark, sf_dir, "t6")
-    T.events_per_batch_stream(s, sink, ckpt)
+    with _parts(spark):
+        T.events_per_batch_stream(s, sink, ckpt)
     return T.last_complete_result(spark, sink)

@@ -11,6 +11,7 @@ stream`` takes a required lateness when run with one and reports what it dropped
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,26 @@ from ..session import scratch_path
 from ..sources.sinks import latest_per_key
 
 
+# ------------------------------------------------------------------ state partitions
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Run the enclosed query starts with ``n`` shuffle/state partitions.
+
+    A stateful query fixes its number of state-store partitions in its checkpoint when
+    it first runs; size it to the state, not to a batch job's shuffle setting. The
+    session value is restored afterwards."""
+    if not n:
+        yield
+        return
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 # ------------------------------------------------------------------ T1 ingest
 def event_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream of stage events from parquet files, with the declared schema."""

@@ -26,14 +26,26 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def spread_for_write(df: DataFrame, partition_by: Sequence[str], within: Sequence[Column | str] = ()) -> DataFrame:
+    """Cluster rows for a partitioned write without hot tasks.
+
+    Hash-repartitioning by the partition column alone sends every row of a value (one
+    day, say) to one task. Range partitioning on (partition columns, finer key) lets
+    the sampled bounds split a big value over many tasks while small values share
+    one, so files per value stay few and no task holds a hot value alone. The finer
+    key defaults to a hash of the whole row (deterministic, so retries agree)."""
+    finer = [F.col(c) if isinstance(c, str) else c for c in within] or [F.xxhash64(*[F.col(c) for c in df.columns])]
+    return df.repartitionByRange(*[F.col(c) for c in partition_by], *finer)
+
+
 def append_rows(df: DataFrame, path: str, schema: T.StructType | None = None,
                 partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
-    """S3: typed append. With ``partition_by``, rows are clustered by the partition
-    columns first so each task writes few files."""
+    """S3: typed append. With ``partition_by``, rows are range-clustered by the
+    partition columns first (``spread_for_write``) so each task writes few files."""
     out = conform(df, schema) if schema is not None else df
     w = out
     if partition_by:
-        w = out.repartition(*[F.col(c) for c in partition_by])
+        w = spread_for_write(out, partition_by)
     writer = w.write.mode("append").format(fmt).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -110,10 +122,11 @@ def expire_partitions(df: DataFrame, as_of_date: Column, days: int = 7, part_col
 
 def store_events(events: DataFrame, path: str, unit: str = "day") -> None:
     """The event table as stored for reading: time-partitioned, and inside every
-    partition sorted by (batch, job, time), so batch and job predicates skip row
-    groups by their min/max statistics. One shuffle on the partition column."""
+    partition range-clustered and sorted by (batch, job, time), so each file covers a
+    narrow batch-id range and batch/job predicates skip files and row groups by their
+    min/max statistics. One range shuffle; a hot day or batch is split across tasks."""
     part = with_event_date(events, unit=unit)
-    (part.repartition("event_date")
+    (spread_for_write(part, ["event_date"], ["ingestion_batch_id", "job_id", "time"])
      .sortWithinPartitions("event_date", "ingestion_batch_id", "job_id", "time")
      .write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("event_date").parquet(path))

@@ -323,3 +323,27 @@ SCALE_LIST = SCALES
 FROM reads WHERE NOT is_first_query GROUP BY query_type, data_store""", READS_CTE))
 def n4_table(spark, sf_dir):
     return N.scaling_table(N.read_runs(benchmark_runs(spark, sf_dir)), SCALE_LIST)
+
+
+@register("s7_fan_out", with_me("SELECT *, strftime(time, '%Y/%-m/%-d/%-H/%-M') AS log_stream FROM monitoring_events"))
+def s7(spark, sf_dir):
+    """One event set to two sinks (parquet table, JSON log); the log is read back."""
+    ev = monitoring_events(spark, sf_dir)
+    table, log = scratch_path(spark, "fan-table"), scratch_path(spark, "fan-log")
+    SK.fan_out(ev, [lambda d: SK.append_rows(d, table),
+                    lambda d: JL.write_log(d, log, unit=SPARSE_UNIT)])
+    return _decode_with_stream(JL.read_log(spark, log))
+
+
+@register("s2_table_roundtrip", with_me("SELECT * FROM monitoring_events"))
+def s2(spark, sf_dir):
+    """Create a catalog table from the declared schema (if absent), append, read it."""
+    import uuid
+
+    from ..sources import catalog as CAT
+
+    name = f"monitoring_events_{uuid.uuid4().hex[:12]}"
+    CAT.create_table_if_absent(spark, name, EVENT_SCHEMA, path=scratch_path(spark, "table"))
+    SK.append_to_table(monitoring_events(spark, sf_dir), name)
+    CAT.refresh_table(spark, name)
+    return spark.table(name)

@@ -65,3 +65,9 @@ def test_offset_page_is_bounded(stored):
 def test_single_distinct_has_no_expand(stored):
     p = plan(M.finished_per_minute(stored))
     assert "Expand" not in p and "PushedFilters: [IsNotNull(stage), EqualTo(stage,Finished)" in p
+
+
+def test_earliest_event_rollup_is_hash_aggregate(stored):
+    for df in (M.batch_rollup_earliest(stored), M.completed_batches_by_user(stored)):
+        p = plan(df)
+        assert "SortAggregate" not in p and "ObjectHashAggregate" not in p

@@ -4,8 +4,10 @@ State is keyed by fine keys (job, or (repo, minute, job)) so it spreads over all
 state-store partitions; no state row collects a group's members. Results leave the
 stream through ``foreachBatch`` into a folder per micro-batch id (overwritten on a
 retry, so replays are idempotent), and ``read_latest`` keeps the newest row per key.
-Without a watermark, state grows with the number of jobs; ``finished_per_minute_
-stream`` takes a required lateness when run with one and reports what it dropped.
+Without a watermark, state grows with the number of jobs. Given a ``lateness``, the
+roll-up, latest-status and per-minute streams key their state by an event-time bucket
+under a watermark, so old state is evicted (rows later than that are dropped and
+counted by ``dropped_by_watermark``); the read side re-combines the buckets.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.strings import stage_name
-from ..operators.monitoring import DEFAULT_USERS, latest_per_job, minute_bin, order_key_stage, order_key_time
+from ..operators.monitoring import DEFAULT_USERS, event_order_key, minute_bin, order_key_stage, order_key_time
 from ..schema import EVENT_SCHEMA, LAST_STAGE
 from ..session import scratch_path
 from ..sources.sinks import latest_per_key
@@ -96,9 +98,23 @@ def _run_update(stream_agg: DataFrame, dest: str, checkpoint: str, mode: str = "
 
 
 # ------------------------------------------------------------------ T2 batch roll-up
-def job_progress(stream: DataFrame) -> DataFrame:
-    """Per (batch, job) running totals; the batch roll-up is a sum over these."""
-    return stream.groupBy("ingestion_batch_id", "job_id").agg(
+BUCKET = "1 day"
+
+
+def _bucketed(stream: DataFrame, lateness: str | None, bucket: str) -> tuple[DataFrame, list]:
+    """With ``lateness``: a watermark on event time and an event-time bucket key, so the
+    state of buckets older than the watermark is evicted. The stream's NTZ time is
+    read as UTC for the watermark."""
+    if not lateness:
+        return stream, []
+    s = stream.withColumn("_et", F.col("time").cast("timestamp")).withWatermark("_et", lateness)
+    return s, [F.window("_et", bucket).start.alias("_bucket")]
+
+
+def job_progress(stream: DataFrame, lateness: str | None = None, bucket: str = BUCKET) -> DataFrame:
+    """Per (batch, job[, bucket]) running totals; the batch roll-up is a sum over these."""
+    s, extra = _bucketed(stream, lateness, bucket)
+    return s.groupBy("ingestion_batch_id", "job_id", *extra).agg(
         F.count_if(F.col("finished")).alias("finished_events"),
         F.count_if(F.col("errored")).alias("errored_events"),
         F.min("created_at").alias("creation_time"),
@@ -107,9 +123,9 @@ def job_progress(stream: DataFrame) -> DataFrame:
 
 
 def rollup_from_jobs(jobs: DataFrame) -> DataFrame:
-    """Batch roll-up (Q2 columns) from per-job totals: partial-aggregatable sums."""
+    """Batch roll-up (Q2 columns) from per-job (or per job and bucket) totals."""
     return jobs.groupBy("ingestion_batch_id").agg(
-        F.count(F.lit(1)).alias("num_jobs"),
+        F.count_distinct("job_id").alias("num_jobs"),
         F.sum("finished_events").cast("long").alias("successful_jobs"),
         F.sum("errored_events").cast("long").alias("errored_jobs"),
         F.min("creation_time").alias("creation_time"),
@@ -117,13 +133,16 @@ def rollup_from_jobs(jobs: DataFrame) -> DataFrame:
     )
 
 
-def batch_rollup_stream(stream: DataFrame, dest: str, checkpoint: str) -> StreamingQuery:
+def batch_rollup_stream(stream: DataFrame, dest: str, checkpoint: str, lateness: str | None = None,
+                        bucket: str = BUCKET) -> StreamingQuery:
     """Run the per-job state to ``dest``; read with ``batch_rollup_result``."""
-    return _run_update(job_progress(stream), dest, checkpoint)
+    return _run_update(job_progress(stream, lateness, bucket), dest, checkpoint)
 
 
 def batch_rollup_result(spark: SparkSession, dest: str) -> DataFrame:
-    return rollup_from_jobs(read_latest(spark, dest, ["ingestion_batch_id", "job_id"]))
+    raw = spark.read.parquet(dest)
+    keys = ["ingestion_batch_id", "job_id"] + (["_bucket"] if "_bucket" in raw.columns else [])
+    return rollup_from_jobs(read_latest(spark, dest, keys))
 
 
 # ------------------------------------------------------------------ T3 finished per minute
@@ -159,17 +178,23 @@ def dropped_by_watermark(query: StreamingQuery) -> int:
 
 
 # ------------------------------------------------------------------ T4 latest status
-def latest_status_agg(stream: DataFrame) -> DataFrame:
-    return latest_per_job(stream, ["job_id"])
+def latest_status_agg(stream: DataFrame, lateness: str | None = None, bucket: str = BUCKET) -> DataFrame:
+    s, extra = _bucketed(stream, lateness, bucket)
+    k = event_order_key()
+    return s.groupBy("job_id", *extra).agg(F.max(k).alias("_key"), F.max_by("errored", k).alias("errored"))
 
 
-def latest_status_stream(stream: DataFrame, dest: str, checkpoint: str) -> StreamingQuery:
-    """T4: per-job latest event, emitted in update mode."""
-    return _run_update(latest_status_agg(stream), dest, checkpoint)
+def latest_status_stream(stream: DataFrame, dest: str, checkpoint: str, lateness: str | None = None,
+                         bucket: str = BUCKET) -> StreamingQuery:
+    """T4: per-job latest event (per bucket with ``lateness``), emitted in update mode."""
+    return _run_update(latest_status_agg(stream, lateness, bucket), dest, checkpoint)
 
 
 def latest_status_result(spark: SparkSession, dest: str) -> DataFrame:
-    st = read_latest(spark, dest, ["job_id"])
+    raw = spark.read.parquet(dest)
+    keys = ["job_id"] + (["_bucket"] if "_bucket" in raw.columns else [])
+    st = read_latest(spark, dest, keys).groupBy("job_id").agg(
+        F.max("_key").alias("_key"), F.max_by("errored", "_key").alias("errored"))
     sp = order_key_stage(F.col("_key"))
     return st.select(
         "job_id",

@@ -189,3 +189,16 @@ def test_iter_pages_and_key_violations(spark):
     assert [len(p) for p in pages] == [100, 100, 50] and pages[2][-1].id == 249
     dup = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "k long, s string")
     assert [tuple(r) for r in CAT.key_violations(dup, ["k", "s"]).collect()] == [(1, "a", 2)]
+
+
+def test_bounded_state_streams_equal_batch(spark):
+    ev = frame(spark, standard_rows() + job("r__v__1100", "x", 2, True, user="1100",
+                                            created=T0 + dt.timedelta(days=2)))
+    src, sink, ckpt = T.scratch_stream_paths(spark, "test-bounded")
+    T.stage_rounds_source(ev, src)
+    s = T.event_stream(spark, src, 2)
+    T.batch_rollup_stream(s, sink + "/t2", ckpt + "/t2", lateness="30 days", bucket="1 hour")
+    got = T.batch_rollup_result(spark, sink + "/t2").orderBy("ingestion_batch_id").collect()
+    assert got == M.batch_rollup(ev).collect()
+    T.latest_status_stream(s, sink + "/t4", ckpt + "/t4", lateness="30 days", bucket="1 minute")
+    assert sorted(T.latest_status_result(spark, sink + "/t4").collect()) == sorted(M.latest_job_status(ev).collect())

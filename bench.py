@@ -39,7 +39,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "10"))
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="stagewatch-bench")
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", int(cpus) * 2)), app="stagewatch-bench")
     spark.sparkContext.setLogLevel("ERROR")
 
     # Write path: derive the events and store them once.

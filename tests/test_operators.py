@@ -245,3 +245,12 @@ def test_cross_variants_agree_on_derived_data(spark):
     assert a == b
     unlimited = M.batch_rollup(ev, limit=None).orderBy("ingestion_batch_id").limit(100).collect()
     assert unlimited == M.batch_rollup(ev).collect()
+
+
+def test_expanded_data_satisfies_the_lifecycle_invariants(spark):
+    from conftest import SF_SMALL
+    from stagewatch.sources.derive import monitoring_events
+
+    ev = monitoring_events(spark, SF_SMALL)
+    assert L.lifecycle_violations(ev).count() == 0
+    assert L.lifecycle_checks(ev).count() == ev.select("job_id").distinct().count()

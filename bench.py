@@ -26,8 +26,33 @@ from stagewatch.operators import monitoring as M  # noqa: E402
 from stagewatch.plans.queries_core import first_batch_of  # noqa: E402
 from stagewatch.session import local_session, scratch_path  # noqa: E402
 from stagewatch.sources.derive import monitoring_events  # noqa: E402
+from stagewatch.schema import EVENT_TYPE_NAMES  # noqa: E402
+from stagewatch.sources import jsonlog as JL  # noqa: E402
+from stagewatch.sources import records as R  # noqa: E402
+from stagewatch.sources import sinks as SK  # noqa: E402
 from stagewatch.sources.sinks import store_events  # noqa: E402
 
+DIMENSIONS = ["ingestion_batch_id", "org_id", "user_id", "repo_id", "repo_version", "priority",
+              "job_id", "job_type", "created_at", "dataset_id", "num_stages"]
+MEASURES = ["stage", "stage_progress", "errored", "finished"]
+
+
+def timed(fn) -> float:
+    t = time.perf_counter()
+    fn()
+    return round(time.perf_counter() - t, 4)
+
+
+def write_benchmarks(spark, ev) -> dict:
+    """One write of the event set per encoding, as the four store writers do."""
+    return {
+        "append_table": timed(lambda: SK.append_rows(ev, scratch_path(spark, "bw-append"))),
+        "json_log": timed(lambda: JL.write_log(ev, scratch_path(spark, "bw-log"), unit="month")),
+        "records": timed(lambda: R.to_records(ev, EVENT_TYPE_NAMES, "time", MEASURES, DIMENSIONS)
+                         .write.parquet(scratch_path(spark, "bw-records"))),
+        "upsert": timed(lambda: SK.upsert(ev, ev.where("finished"), ["job_id", "stage_progress"]).count()),
+    }
+
 
 def run(df) -> float:
     t = time.perf_counter()
@@ -68,6 +93,7 @@ def main() -> None:
         warm_mean[name] = round(statistics.mean(warm), 4)
         warm_median[name] = round(statistics.median(warm), 4)
     n_events = ev.count()
+    writes = write_benchmarks(spark, ev)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "warm_mean_query_seconds_total",
@@ -77,6 +103,7 @@ def main() -> None:
         "first_run": first,
         "warm_median": warm_median,
         "write_events_sec": round(write_s, 4),
+        "writes_sec": writes,
         "events": n_events,
         "repeats": repeats,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,

@@ -71,3 +71,8 @@ def test_earliest_event_rollup_is_hash_aggregate(stored):
     for df in (M.batch_rollup_earliest(stored), M.completed_batches_by_user(stored)):
         p = plan(df)
         assert "SortAggregate" not in p and "ObjectHashAggregate" not in p
+
+
+def test_filter_on_group_key_after_aggregate_is_pushed_to_the_scan(stored):
+    p = plan(M.completed_batches_by_user(stored, "1110"))
+    assert "EqualTo(user_id,1110)" in p.split("FileScan")[1]

@@ -137,3 +137,31 @@ def append_to_table(df: DataFrame, name: str) -> None:
     spark = df.sparkSession
     cols = spark.table(name).columns
     df.select(*cols).write.insertInto(name)
+
+
+def upsert_partitions(table_path: str, updates: DataFrame, keys: Sequence[str], partition_by: Sequence[str],
+                      order: Sequence[str] = ()) -> DataFrame:
+    """S6 on a partitioned parquet table: last write wins, rewriting only the
+    partitions the updates touch.
+
+    1. The base rows of the touched partitions are read through a semi join on the
+       partition columns (dynamic partition pruning: untouched folders are not read).
+    2. Base and updates are merged (``latest_per_key``) into a staging folder under the
+       shared checkpoint folder, so no path is overwritten while it is read.
+    3. The staged partitions replace the touched ones by dynamic partition overwrite;
+       all other partitions stay as they are.
+    Keys must not move between partitions (the partition columns belong to the key)."""
+    spark = updates.sparkSession
+    base = spark.read.parquet(table_path)
+    cols = base.columns
+    touched = updates.select(*partition_by).distinct()
+    base_touched = base.join(touched, list(partition_by), "left_semi").select(*cols)
+    both = base_touched.withColumn("_gen", F.lit(0)).unionByName(updates.select(*cols).withColumn("_gen", F.lit(1)))
+    merged = latest_per_key(both, keys, [*order, "_gen"]).drop("_gen").select(*cols)
+    staging = scratch_path(spark, "upsert-staging")
+    spread_for_write(merged, partition_by).write.mode("errorifexists").partitionBy(*partition_by).parquet(staging)
+    # explicit schema: an empty update writes no files
+    staged = spark.read.schema(merged.schema).parquet(staging).select(*cols)
+    (spread_for_write(staged, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(table_path))
+    return spark.read.parquet(table_path)

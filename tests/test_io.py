@@ -202,3 +202,22 @@ def test_bounded_state_streams_equal_batch(spark):
     assert got == M.batch_rollup(ev).collect()
     T.latest_status_stream(s, sink + "/t4", ckpt + "/t4", lateness="30 days", bucket="1 minute")
     assert sorted(T.latest_status_result(spark, sink + "/t4").collect()) == sorted(M.latest_job_status(ev).collect())
+
+
+def test_upsert_partitions_rewrites_only_touched(spark):
+    import glob
+    import os
+
+    base = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "1", 10)], "p string, k string, v long")
+    table = scratch_path(spark, "test-upsert-parts")
+    SK.append_rows(base, table, partition_by=["p"])
+    local = table.replace("file:", "")
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{local}/p=a/*.parquet")}
+    upd = spark.createDataFrame([("b", "1", 11), ("b", "3", 30)], "p string, k string, v long")
+    out = SK.upsert_partitions(table, upd, ["p", "k"], ["p"])
+    assert sorted(tuple(r) for r in out.select("p", "k", "v").collect()) == [
+        ("a", "1", 1), ("a", "2", 2), ("b", "1", 11), ("b", "3", 30)]
+    after = {f: os.path.getmtime(f) for f in glob.glob(f"{local}/p=a/*.parquet")}
+    assert before == after  # partition a untouched
+    none = SK.upsert_partitions(table, upd.where("false"), ["p", "k"], ["p"])  # empty update
+    assert none.count() == 4

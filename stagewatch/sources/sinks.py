@@ -145,7 +145,8 @@ def upsert_partitions(table_path: str, updates: DataFrame, keys: Sequence[str],
     partitions the updates touch.
 
     1. The base rows of the touched partitions are read through a semi join on the
-       partition columns (dynamic partition pruning: untouched folders are not read).
+       partition columns (dynamic partition pruning skips untouched folders when its
+       cost check finds the table large next to the updates).
     2. Base and updates are merged (``latest_per_key``) into a staging folder under the
        shared checkpoint folder, so no path is overwritten while it is read.
     3. The staged partitions replace the touched ones by dynamic partition overwrite;

@@ -47,9 +47,13 @@ def search_page(df: DataFrame, text_col: str, pattern: str, key: str, page_size:
     return hits.orderBy(key).limit(page_size)
 
 
-def apply_predicate(df: DataFrame, filter_fn: Column | Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
-    """F8: keep rows matching a Column predicate, or an opaque vectorised pandas
-    predicate (a function of a pandas batch returning a boolean Series)."""
+def apply_predicate(df: DataFrame, filter_fn: Column | str | Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """F8: keep rows matching a Column predicate, a SQL expression string (a user's
+    bucket script such as ``"successful_jobs = num_jobs"``), or an opaque vectorised
+    pandas predicate (a function of a pandas batch returning a boolean Series; the slow
+    path, run batch-wise through Arrow)."""
+    if isinstance(filter_fn, str):
+        return df.where(F.expr(filter_fn))
     if isinstance(filter_fn, Column):
         return df.where(filter_fn)
 

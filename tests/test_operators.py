@@ -204,7 +204,8 @@ def test_pandas_predicate_equals_column_predicate(spark):
     df = spark.range(0, 500).select("id", (F.col("id") % 5).alias("m"))
     a = PR.apply_predicate(df, (F.col("m") == 2) & (F.col("id") > 100)).collect()
     b = PR.apply_predicate(df, lambda p: (p["m"] == 2) & (p["id"] > 100)).collect()
-    assert sorted(a) == sorted(b) and len(a) == 80
+    c = PR.apply_predicate(df, "m = 2 AND id > 100").collect()
+    assert sorted(a) == sorted(b) == sorted(c) and len(a) == 80
 
 
 def test_exact_quantiles_match_numpy(spark):

@@ -221,3 +221,19 @@ def test_upsert_partitions_rewrites_only_touched(spark):
     assert before == after  # partition a untouched
     none = SK.upsert_partitions(table, upd.where("false"), ["p", "k"], ["p"])  # empty update
     assert none.count() == 4
+
+
+def test_expire_partitions_and_generated_ids(spark):
+    ev = SK.with_event_date(frame(spark, standard_rows() + [dict(r, time=r["time"] - dt.timedelta(days=30))
+                                                            for r in job(B1, "old")]))
+    path = scratch_path(spark, "test-expire")
+    SK.append_rows(ev, path, partition_by=["event_date"])
+    table = spark.read.parquet(path)
+    kept = SK.expire_partitions(table, F.lit(T0.date()), days=7)
+    assert "PartitionFilters: [isnotnull(event_date" in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.where("job_id = 'old'").count() == 0 and kept.count() == len(standard_rows())
+    ids_path = scratch_path(spark, "test-ids")
+    SK.append_with_ids(frame(spark, standard_rows()), ids_path)
+    SK.append_with_ids(frame(spark, standard_rows()), ids_path)
+    back = spark.read.parquet(ids_path)
+    assert back.select("_id").distinct().count() == back.count() == 2 * len(standard_rows())

@@ -255,3 +255,16 @@ def test_expanded_data_satisfies_the_lifecycle_invariants(spark):
     ev = monitoring_events(spark, SF_SMALL)
     assert L.lifecycle_violations(ev).count() == 0
     assert L.lifecycle_checks(ev).count() == ev.select("job_id").distinct().count()
+
+
+def test_first_groups_really_restricts_rows(spark):
+    """The semi join against a set derived from the same DataFrame must not collapse
+    into an always-true self comparison (results alone would not show it)."""
+    df = spark.range(0, 5000).select((F.col("id") % 250).alias("k"), F.col("id"))
+    kept = M.first_groups(df, ["k"], [F.col("k")], 10)
+    assert kept.select("k").distinct().count() == 10
+    assert kept.count() == 200
+    with_null = df.select(F.when(F.col("k") == 0, None).otherwise(F.col("k")).alias("k"), "id")
+    kept = M.first_groups(with_null, ["k"], [F.col("k").asc_nulls_first()], 3)
+    assert sorted(r.k for r in kept.select("k").distinct().collect() if r.k is not None) == [1, 2]
+    assert kept.where("k IS NULL").count() == 20

@@ -34,11 +34,11 @@ def read_runs(runs: DataFrame) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[tuple[str, float]]) -> DataFrame:
-    """Linear-interpolated quantiles of ``value`` per group, plus ``n``."""
+    """Linear-interpolated quantiles of ``value`` per group, plus ``n``, ``min``, ``max``."""
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = hist.select(*keys, value, F.sum("_c").over(w).alias("_cum"), F.sum("_c").over(Window.partitionBy(*keys)).alias("_n"))
-    aggs = [F.first("_n").alias("n")]
+    aggs = [F.first("_n").alias("n"), F.min(value).alias("_min"), F.max(value).alias("_max")]
     for name, q in quantiles:
         pos = F.lit(q) * (F.col("_n") - 1)
         lo, hi = F.floor(pos), F.ceil(pos)
@@ -48,7 +48,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: S
             F.first(pos - lo).alias(f"_{name}_f"),
         ]
     out = cum.groupBy(*keys).agg(*aggs)
-    cols = [*keys, "n"]
+    cols = [*keys, "n", F.col("_min").cast("double").alias("min"), F.col("_max").cast("double").alias("max")]
     for name, _ in quantiles:
         lo, hi, f = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
         cols.append((lo + f * (hi - lo)).cast("double").alias(name))
@@ -59,12 +59,9 @@ def box_summary(reads: DataFrame, scale: str = "8x") -> DataFrame:
     """N2 + N5: min, quartiles, max per (query type, store) at one scale, and the axis
     bound of each query type (largest max over its stores)."""
     at = reads.where(F.col("scale") == scale)
-    qs = exact_quantiles(at, ["query_type", "data_store"], "exec_time",
-                         [(n, q) for n, q in BOX if q is not None])
-    mm = at.groupBy("query_type", "data_store").agg(
-        F.min("exec_time").cast("double").alias("min_ms"), F.max("exec_time").cast("double").alias("max_ms")
-    )
-    out = qs.join(mm, ["query_type", "data_store"])
+    out = exact_quantiles(at, ["query_type", "data_store"], "exec_time",
+                          [(n, q) for n, q in BOX if q is not None])
+    out = out.withColumnRenamed("min", "min_ms").withColumnRenamed("max", "max_ms")
     axis = F.max("max_ms").over(Window.partitionBy("query_type"))
     return out.select("query_type", "data_store", "n", "min_ms", "q1_ms", "median_ms", "q3_ms", "max_ms",
                       axis.alias("axis_max_ms"))

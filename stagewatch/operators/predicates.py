@@ -14,11 +14,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def time_range(df: DataFrame, start, end, col: str = "time") -> DataFrame:
-    """rows with ``start <= col <= end`` (literals or Columns)."""
+def partition_range(df: DataFrame, start: Column, end: Column, part_col: str = "event_date",
+                    unit: str = "day") -> Column | None:
+    """The partition predicate implied by ``start <= time <= end`` on a table whose
+    ``part_col`` is the day (or the first day of the ``unit``) of ``time``; None when
+    the table has no such column. It lets a time filter prune partition folders."""
+    if part_col not in df.columns:
+        return None
+    lo = F.to_date(start) if unit == "day" else F.trunc(F.to_date(start), unit)
+    return (F.col(part_col) >= lo) & (F.col(part_col) <= F.to_date(end))
+
+
+def time_range(df: DataFrame, start, end, col: str = "time", part_col: str = "event_date",
+               unit: str = "day") -> DataFrame:
+    """rows with ``start <= col <= end`` (literals or Columns). On a time-partitioned
+    table the implied partition predicate is added, so only the partitions in range
+    are listed and read."""
     s = start if isinstance(start, Column) else F.lit(start).cast(df.schema[col].dataType)
     e = end if isinstance(end, Column) else F.lit(end).cast(df.schema[col].dataType)
-    return df.where(F.col(col).between(s, e))
+    cond = F.col(col).between(s, e)
+    parts = partition_range(df, s, e, part_col, unit)
+    return df.where(cond if parts is None else parts & cond)
 
 
 def search_terms(pattern: str) -> list[str]:

@@ -107,10 +107,16 @@ def copy_table(src: DataFrame, dest: str, fields: Sequence[str] | None = None) -
     return src.sparkSession.read.parquet(dest)
 
 
-def retained(df: DataFrame, as_of: Column, hours: int = 168, col: str = "time") -> DataFrame:
-    """Rows inside the retention window ending at ``as_of``."""
+def retained(df: DataFrame, as_of: Column, hours: int = 168, col: str = "time", part_col: str = "event_date",
+             unit: str = "day") -> DataFrame:
+    """Rows inside the retention window ending at ``as_of``; on a time-partitioned
+    table only the partitions of the window are read."""
+    from ..operators.predicates import partition_range
+
     start = as_of - F.make_dt_interval(hours=F.lit(hours))
-    return df.where((F.col(col) >= start) & (F.col(col) <= as_of))
+    cond = (F.col(col) >= start) & (F.col(col) <= as_of)
+    parts = partition_range(df, start, as_of, part_col, unit)
+    return df.where(cond if parts is None else parts & cond)
 
 
 def expire_partitions(df: DataFrame, as_of_date: Column, days: int = 7, part_col: str = "event_date") -> DataFrame:

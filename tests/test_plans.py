@@ -76,3 +76,22 @@ def test_earliest_event_rollup_is_hash_aggregate(stored):
 def test_filter_on_group_key_after_aggregate_is_pushed_to_the_scan(stored):
     p = plan(M.completed_batches_by_user(stored, "1110"))
     assert "EqualTo(user_id,1110)" in p.split("FileScan")[1]
+
+
+def test_time_filters_prune_partitions(spark):
+    from stagewatch.operators.predicates import time_range
+    from stagewatch.sources.sinks import retained
+
+    path = scratch_path(spark, "plan-days")
+    store_events(monitoring_events(spark, SF_SMALL), path, unit="day")
+    days = spark.read.parquet(path)
+    q = time_range(days, "1996-01-01 00:00:00", "1996-01-07 23:59:59")
+    p = plan(q)
+    assert "PartitionFilters: [isnotnull(event_date" in p and "(event_date" in p.split("PartitionFilters")[1][:200]
+    full = monitoring_events(spark, SF_SMALL)
+    assert sorted(q.drop("event_date").collect()) == sorted(
+        time_range(full, "1996-01-01 00:00:00", "1996-01-07 23:59:59").collect())
+    as_of = F.lit("1996-01-07 12:00:00").cast("timestamp_ntz")
+    r = retained(days, as_of, hours=48)
+    assert "(event_date" in plan(r).split("PartitionFilters")[1][:200]
+    assert r.count() == retained(full, as_of, hours=48).count()

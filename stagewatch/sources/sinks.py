@@ -128,12 +128,14 @@ def expire_partitions(df: DataFrame, as_of_date: Column, days: int = 7, part_col
 
 def store_events(events: DataFrame, path: str, unit: str = "day") -> None:
     """The event table as stored for reading: time-partitioned, and inside every
-    partition range-clustered and sorted by (batch, job, time), so each file covers a
-    narrow batch-id range and batch/job predicates skip files and row groups by their
-    min/max statistics. One range shuffle; a hot day or batch is split across tasks."""
+    partition range-clustered and sorted by (user, batch, job, time), so each file
+    covers a narrow user and batch-id range and user/batch/job predicates skip files
+    and row groups by their min/max statistics. One range shuffle; a hot day, user or
+    batch is split across tasks."""
     part = with_event_date(events, unit=unit)
-    (spread_for_write(part, ["event_date"], ["ingestion_batch_id", "job_id", "time"])
-     .sortWithinPartitions("event_date", "ingestion_batch_id", "job_id", "time")
+    order = ["user_id", "ingestion_batch_id", "job_id", "time"]
+    (spread_for_write(part, ["event_date"], order)
+     .sortWithinPartitions("event_date", *order)
      .write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
      .partitionBy("event_date").parquet(path))
 

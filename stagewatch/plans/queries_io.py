@@ -6,6 +6,7 @@ the re-read result, so the check covers the write and the read path."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import casts as C
 from ..functions import jsonfns as J
@@ -180,7 +181,8 @@ def s3(spark, sf_dir):
     part = SK.with_event_date(ev, unit=SPARSE_UNIT)
     SK.append_rows(part.where(F.col("stage_progress") < 3), path, partition_by=["event_date"])
     SK.append_rows(part.where(F.col("stage_progress") >= 3), path, partition_by=["event_date"])
-    return spark.read.schema(EVENT_SCHEMA.add("event_date", "date")).parquet(path).select(*EVENT_COLUMNS)
+    stored = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])
+    return spark.read.schema(stored).parquet(path).select(*EVENT_COLUMNS)
 
 
 RUN_KEYS = ["data_store", "operation", "record_id"]

@@ -30,3 +30,12 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     ok, msg = compare(QUERIES[name](spark, SF_SMALL), con, ORACLE[name])
     assert ok, f"{name}: {msg}"
+
+
+def test_running_queries_leaves_shared_schemas_unchanged(spark):
+    from stagewatch.schema import EVENT_SCHEMA
+
+    before = EVENT_SCHEMA.simpleString()
+    QUERIES["s3_append_roundtrip"](spark, SF_SMALL).count()
+    QUERIES["s2_table_roundtrip"](spark, SF_SMALL).count()
+    assert EVENT_SCHEMA.simpleString() == before

@@ -24,7 +24,12 @@ def main() -> int:
     qs, orc = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     bad = 0
-    for name, fn in qs.items():
+    items = list(qs.items())
+    if os.environ.get("ORACLE_SHUFFLE"):
+        import random
+
+        random.Random(int(os.environ["ORACLE_SHUFFLE"])).shuffle(items)
+    for name, fn in items:
         if names and not any(name.startswith(n) for n in names):
             continue
         t = time.time()

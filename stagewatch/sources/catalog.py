@@ -49,3 +49,13 @@ def key_violations(df: DataFrame, keys: list[str]) -> DataFrame:
     from pyspark.sql import functions as F
 
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+
+
+def storage_size(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
+    """S11 sizes: file count and bytes under a table folder. The listing runs as a scan
+    of the binaryFile source selecting only path and length, so no file is read."""
+    from pyspark.sql import functions as F
+
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+             .option("recursiveFileLookup", "true").load(path).select("path", "length"))
+    return files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))

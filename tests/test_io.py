@@ -237,3 +237,15 @@ def test_expire_partitions_and_generated_ids(spark):
     SK.append_with_ids(frame(spark, standard_rows()), ids_path)
     back = spark.read.parquet(ids_path)
     assert back.select("_id").distinct().count() == back.count() == 2 * len(standard_rows())
+
+
+def test_storage_size(spark):
+    import glob
+    import os
+
+    path = scratch_path(spark, "test-size")
+    frame(spark, standard_rows()).write.parquet(path)
+    local = path.replace("file:", "")
+    want = sum(os.path.getsize(f) for f in glob.glob(f"{local}/*.parquet"))
+    r = CAT.storage_size(spark, path).first()
+    assert r.size_bytes == want and r.files == len(glob.glob(f"{local}/*.parquet"))

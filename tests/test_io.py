@@ -249,3 +249,32 @@ def test_storage_size(spark):
     want = sum(os.path.getsize(f) for f in glob.glob(f"{local}/*.parquet"))
     r = CAT.storage_size(spark, path).first()
     assert r.size_bytes == want and r.files == len(glob.glob(f"{local}/*.parquet"))
+
+
+def test_empty_input_other_operators(spark):
+    from stagewatch.operators import aggregates as A
+    from stagewatch.operators import latency as N
+    from stagewatch.operators import lifecycle as L
+    from stagewatch.operators import paging as P
+    from stagewatch.operators import predicates as PR
+    from stagewatch.schema import BENCHMARK_RUN_SCHEMA
+
+    ev = spark.createDataFrame([], EVENT_SCHEMA)
+    runs = spark.createDataFrame([], BENCHMARK_RUN_SCHEMA)
+    reads = N.read_runs(runs)
+    outs = [
+        P.keyset_page(ev, ["time", "job_id"], 10), P.keyset_page(ev, ["time", "job_id"], 10, (T0, "x")),
+        P.batch_numbers(ev, ["job_id", "stage_progress"], 10), P.sorted_scan(ev, F.col("errored"), ["time"]),
+        A.top_n_per_group(ev, ["job_id"], [F.col("time")], 2), A.time_bins(ev, "time", "1 hour", [F.count(F.lit(1))]),
+        A.composite_page(ev, ["job_id"], [F.count(F.lit(1)).alias("n")], 10),
+        N.box_summary(reads), N.first_query_times(reads), N.scaling_means(reads), reads,
+        PR.text_search(ev, "stage", "Fin"), PR.time_range(ev, "2024-01-01 00:00:00", "2024-01-02 00:00:00"),
+        PR.multi_get(ev, "job_id", spark.createDataFrame([], "job_id string")),
+        R.to_records(ev, EVENT_TYPE_NAMES, "time", ["stage"], ["job_id"]),
+        JL.to_log_records(ev), SK.latest_per_key(ev, ["job_id"], ["time"]),
+        L.split_batch_pairs(spark.createDataFrame([], "repo_id string, repo_version string, first_user_id string, "
+                                                  "second_user_id string, num_jobs long, split_pct int")),
+    ]
+    for df in outs:
+        assert df.count() == 0
+    assert SK.upsert(ev, ev, ["job_id", "stage_progress"]).count() == 0

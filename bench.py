@@ -20,7 +20,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from stagewatch.operators import monitoring as M  # noqa: E402
 from stagewatch.plans.queries_core import first_batch_of  # noqa: E402

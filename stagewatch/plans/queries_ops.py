@@ -9,10 +9,10 @@ from ..operators import lifecycle as L
 from ..operators import monitoring as M
 from ..operators import paging as P
 from ..operators import predicates as PR
-from ..sources.derive import jobs_from_orders, monitoring_events
+from ..sources.derive import monitoring_events
 from ..sources.tables import read_table
 from .oracle import MONITORING_EVENTS_CTE, with_me
-from .queries_core import ROLLUP_SQL, USER, _stage_list_sql
+from .queries_core import ROLLUP_SQL
 from .registry import register
 
 EV_KEYS = ["ts", "event_id"]

@@ -99,6 +99,7 @@ def main() -> None:
         "value": round(sum(warm_mean.values()), 4),
         "unit": "sec",
         "queries": warm_mean,
+        "warm_median_total": round(sum(warm_median.values()), 4),
         "first_run": first,
         "warm_median": warm_median,
         "write_events_sec": round(write_s, 4),

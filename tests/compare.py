@@ -7,6 +7,8 @@ import datetime as dt
 import decimal
 import math
 
+import os
+
 import duckdb
 
 from stagewatch.sources.tables import TABLES, table_path
@@ -26,7 +28,9 @@ def _norm(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6)
+        if math.isnan(v):
+            return None
+        return v if os.environ.get("ORACLE_STRICT") else round(v, 6)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, dt.datetime):

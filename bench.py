@@ -2,8 +2,8 @@
 
 Mirrors the monitoring read benchmark: events are written once to the store (here a
 parquet table, time-partitioned and clustered by batch id), then every query type
-runs ``BENCH_REPEATS`` times; the first run is reported apart (cold), and the mean
-and median of the warm runs per query. Each run executes the full plan into a no-op
+runs ``BENCH_REPEATS`` times; the first run is reported apart (cold), with the mean
+and median of the warm runs and a box (min, quartiles, max) over all runs per query. Each run executes the full plan into a no-op
 sink, so nothing is collected. Prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
@@ -84,13 +84,16 @@ def main() -> None:
         "q5_finished_per_minute": lambda: M.finished_per_minute(ev),
         "q5_finished_per_minute_page": lambda: M.finished_per_minute_page(ev),
     }
-    warm_mean, warm_median, first = {}, {}, {}
+    warm_mean, warm_median, first, box = {}, {}, {}, {}
     for name, build in qs.items():
         times = [run(build()) for _ in range(repeats)]
         first[name] = round(times[0], 4)
         warm = times[1:] or times
         warm_mean[name] = round(statistics.mean(warm), 4)
         warm_median[name] = round(statistics.median(warm), 4)
+        # box over all runs, linear quartiles (as the latency analysis summarises them)
+        q1, med, q3 = statistics.quantiles(times, n=4, method="inclusive") if len(times) > 1 else times * 3
+        box[name] = [round(x, 4) for x in (min(times), q1, med, q3, max(times))]
     n_events = ev.count()
     writes = write_benchmarks(spark, ev)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
@@ -101,6 +104,7 @@ def main() -> None:
         "queries": warm_mean,
         "warm_median_total": round(sum(warm_median.values()), 4),
         "first_run": first,
+        "box_all_runs": box,
         "warm_median": warm_median,
         "write_events_sec": round(write_s, 4),
         "writes_sec": writes,

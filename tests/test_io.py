@@ -278,3 +278,27 @@ def test_empty_input_other_operators(spark):
     for df in outs:
         assert df.count() == 0
     assert SK.upsert(ev, ev, ["job_id", "stage_progress"]).count() == 0
+
+
+def test_small_functions(spark):
+    from stagewatch.functions import jsonfns as J
+
+    df = spark.createDataFrame(
+        [("ts", "query_type_2", "r__202401__0011", 7, 25, '{"k": 3}', dt.datetime(2024, 3, 17, 5, 4, 3), True)],
+        "s string, q string, b string, n long, pct int, j string, t timestamp_ntz, f boolean")
+    r = df.select(
+        S.store_display_name("s").alias("store"), S.store_display_name(F.lit("other")).alias("other"),
+        S.query_type_name("q").alias("qname"), S.query_type_name(F.lit("query_type_9")).alias("qnone"),
+        S.batch_id_part("b", 1).alias("repo"), S.batch_id_part("b", 3).alias("user"),
+        S.batch_id("b", F.lit("x"), F.lit("y")).alias("bid"), S.dataset_code(F.lit("abc"), F.lit("de")).alias("code"),
+        S.fraction_count("n", "pct").alias("first_n"),
+        J.field("j", "k", "int").alias("k"), J.field("j", "missing", "int").alias("missing"),
+        J.field(F.lit("not json"), "k", "int").alias("bad"),
+        C.to_text("f").alias("ftxt"), C.as_int("f").alias("fint"),
+        TF.now_ms(F.col("t")).alias("ms"), TF.truncate("t", "month").alias("month"), TF.truncate("t", "day").alias("day"),
+    ).first()
+    assert (r.store, r.other, r.qname, r.qnone) == ("Timestream", "other", "Query type II", None)
+    assert (r.repo, r.user, r.bid, r.code, r.first_n) == ("r", "0011", "r__202401__0011__x__y", "ABC_DE", 1)
+    assert (r.k, r.missing, r.bad, r.ftxt, r.fint) == (3, None, None, "true", 1)
+    assert r.ms == 1710651843000
+    assert r.month == dt.datetime(2024, 3, 1) and r.day == dt.datetime(2024, 3, 17)

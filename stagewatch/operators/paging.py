@@ -27,10 +27,24 @@ def _order(sort_by: Sequence[str], sort_order: str) -> list[Column]:
     return [F.col(c).desc() if desc else F.col(c).asc() for c in sort_by]
 
 
+# Deepest offset page answered by one window task; deeper pages number rows distributed.
+MAX_WINDOW_ROWS = 1_000_000
+
+
 def offset_page(df: DataFrame, page_size: int, page_after: int, sort_by: str | Sequence[str],
-                sort_order: str = "ASC") -> DataFrame:
-    """P1. ``sort_by`` should be unique (add a tie-break column) for a stable page."""
+                sort_order: str = "ASC", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+    """P1. ``sort_by`` should be unique (add a tie-break column) for a stable page.
+
+    Up to ``max_window_rows`` (= page_after + page_size) the global ROW_NUMBER runs in
+    one task over the top-k rows. Beyond that bound the rows are numbered distributed
+    (``batch_numbers``) and the page is a range filter, so no task holds the prefix."""
     keys = [sort_by] if isinstance(sort_by, str) else list(sort_by)
+    if page_after + page_size > max_window_rows:
+        if sort_order.strip().upper() == "DESC":
+            raise ValueError("deep DESC pages: sort ascending on negated keys or use keyset_page")
+        numbered = batch_numbers(df, keys, max(page_size, 1))
+        page = numbered.where(F.col("row_no").between(page_after + 1, page_after + page_size))
+        return page.select(F.col("row_no").alias("row_num"), *[F.col(c) for c in df.columns])
     w = Window.orderBy(*_order(keys, sort_order))
     numbered = df.select(F.row_number().over(w).cast("long").alias("row_num"), *[F.col(c) for c in df.columns])
     return numbered.where(F.col("row_num").between(page_after + 1, page_after + page_size))

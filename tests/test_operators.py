@@ -268,3 +268,12 @@ def test_first_groups_really_restricts_rows(spark):
     kept = M.first_groups(with_null, ["k"], [F.col("k").asc_nulls_first()], 3)
     assert sorted(r.k for r in kept.select("k").distinct().collect() if r.k is not None) == [1, 2]
     assert kept.where("k IS NULL").count() == 20
+
+
+def test_deep_offset_page_is_numbered_distributed(spark):
+    df = spark.range(0, 3000, numPartitions=6).select((F.col("id") * 7 % 3000).alias("k"), F.col("id"))
+    shallow = P.offset_page(df, 50, 2000, "k").orderBy("row_num").collect()
+    deep = P.offset_page(df, 50, 2000, "k", max_window_rows=100).orderBy("row_num").collect()
+    assert shallow == deep and [r.row_num for r in deep][:2] == [2001, 2002] and deep[0].k == 2000
+    deep_plan = P.offset_page(df, 50, 2000, "k", max_window_rows=100)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in deep_plan  # no single task holds the 2,050-row prefix

@@ -40,9 +40,11 @@ def offset_page(df: DataFrame, page_size: int, page_after: int, sort_by: str | S
     (``batch_numbers``) and the page is a range filter, so no task holds the prefix."""
     keys = [sort_by] if isinstance(sort_by, str) else list(sort_by)
     if page_after + page_size > max_window_rows:
-        if sort_order.strip().upper() == "DESC":
-            raise ValueError("deep DESC pages: sort ascending on negated keys or use keyset_page")
         numbered = batch_numbers(df, keys, max(page_size, 1))
+        if sort_order.strip().upper() == "DESC":
+            # unique keys: the descending rank is total - ascending rank + 1
+            total = df.select(F.count(F.lit(1))).scalar()
+            numbered = numbered.withColumn("row_no", total - F.col("row_no") + 1)
         page = numbered.where(F.col("row_no").between(page_after + 1, page_after + page_size))
         return page.select(F.col("row_no").alias("row_num"), *[F.col(c) for c in df.columns])
     w = Window.orderBy(*_order(keys, sort_order))

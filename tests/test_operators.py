@@ -275,5 +275,8 @@ def test_deep_offset_page_is_numbered_distributed(spark):
     shallow = P.offset_page(df, 50, 2000, "k").orderBy("row_num").collect()
     deep = P.offset_page(df, 50, 2000, "k", max_window_rows=100).orderBy("row_num").collect()
     assert shallow == deep and [r.row_num for r in deep][:2] == [2001, 2002] and deep[0].k == 2000
+    shallow_desc = P.offset_page(df, 50, 2000, "k", "DESC").orderBy("row_num").collect()
+    deep_desc = P.offset_page(df, 50, 2000, "k", "DESC", max_window_rows=100).orderBy("row_num").collect()
+    assert shallow_desc == deep_desc and deep_desc[0].k == 999
     deep_plan = P.offset_page(df, 50, 2000, "k", max_window_rows=100)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in deep_plan  # no single task holds the 2,050-row prefix

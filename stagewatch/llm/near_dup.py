@@ -6,8 +6,8 @@ its place in an order is the path of that tree's minima, and a *region* is what
 a prefix of the path. Regions are entered at depth ``BASE`` and deepened, each as far as
 its own crowding asks for, until at most ``LEAF`` nodes share the prefix; these are
 compared with one another. Wherever a region holds more than that, its pivot (the node
-at the end of the most crowded path, in a family of copies the text that they come from)
-is compared with every node of the region, at every depth. So a crowded region costs
+whose paths are the most crowded in all trees, in a family of copies the text that they come
+from) is compared with every node of the region, at every depth. So a crowded region costs
 work in proportion to its nodes, and a copy that resembles only the original meets it.
 
 Candidates whose signatures agree in fewer than ``LEAST_AGREEMENT`` of the places are
@@ -132,15 +132,17 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     shared = rows.groupBy(k[0]).count().where("count > 1").select(k[0])
     rows = stored(rows.join(shared, k[0], "left_semi"), "forest")
 
-    # Counts and pivots from the deepest level up: each region takes the pivot of its most crowded part.
-    part = rows.groupBy(*k).agg(F.count("*").alias("c"), F.min("node").alias("p"))
-    part = stored(part, "regions")
-    info, upper = part.select(*k, F.col("c").alias(f"c{DEPTH}"), F.col("p").alias(f"p{DEPTH}")), part
+    # A node weighs what its paths are crowded with in all trees; each region's pivot is its heaviest node.
+    crowd = rows.groupBy(k[-1]).agg(F.count("*").alias("c"))
+    weight = rows.select("node", k[-1]).join(crowd, k[-1]).groupBy("node").agg(F.sum("c").alias("w"))
+    rows = stored(rows.join(weight, "node"), "weighed")
+    upper = stored(rows.groupBy(*k).agg(F.count("*").alias("c"), F.max(F.struct("w", -F.col("node"))).alias("p")), "regions")
+    info = upper.select(*k, F.col("c").alias(f"c{DEPTH}"), F.col("p").alias(f"p{DEPTH}"))
     for d in reversed(range(BASE, DEPTH)):
         over = k[:d - BASE + 1]
-        upper = upper.groupBy(*over).agg(F.sum("c").alias("c"), F.max(F.struct("c", -F.col("p"))).alias("best")).select(
-            *over, "c", (-F.col("best").getField("col2")).alias("p"))
+        upper = upper.groupBy(*over).agg(F.sum("c").alias("c"), F.max("p").alias("p"))
         info = info.join(upper.select(over[-1], F.col("c").alias(f"c{d}"), F.col("p").alias(f"p{d}")), over[-1])
+    info = info.select(k[-1], *k[:-1], *[f"c{d}" for d in LEVELS], *[(-F.col(f"p{d}").getField("col2")).alias(f"p{d}") for d in LEVELS])
     placed = stored(rows.select("node", k[-1]).join(info, k[-1]), "placed")
 
     pivots = placed.select("node", F.explode(F.array_distinct(F.array_compact(F.array(

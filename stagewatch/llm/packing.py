@@ -93,79 +93,90 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
 
 
 class _Sums:
-    """Which gaps one, two or three available lengths can fill."""
+    """The sums that one, two and three available lengths reach, as bit sets (bit s: sum s is reached)."""
 
     def __init__(self, counts: np.ndarray):
-        self.left = counts
-
-    def filling(self, total: int) -> list[int] | None:
-        """Available lengths that sum to ``total`` exactly: one, else two, else three; the largest first."""
-        left = self.left
-        if total <= 0 or total >= 3 * len(left):
-            return None
-        if total < len(left) and left[total]:
-            return [int(total)]
-        a = np.arange(min(total, len(left)))
-        a = a[left[a] > 0]
-        pair = self._pair(total, a)
-        if pair:
-            return pair
-        for first in a[::-1]:
-            left[first] -= 1
-            rest = self._pair(total - first, a[a <= first])
-            left[first] += 1
-            if rest:
-                return [int(first), *rest]
-        return None
-
-    def _pair(self, total: int, among: np.ndarray) -> list[int] | None:
-        big = among[(among * 2 >= total) & (among < total)]
-        if not len(big):
-            return None
-        small = total - big
-        ok = (self.left[big] > 0) & np.where(big == small, self.left[big] > 1, self.left[small] > 0)
-        if not ok.any():
-            return None
-        x = int(big[ok][-1])
-        return [x, int(total) - x]
+        self.left = [int(c) for c in counts]
+        self.of_state: tuple = ()
+
+    def _index(self) -> None:
+        """Rebuilt when a length's availability (none, one, two, more) has changed."""
+        self.lengths = [x for x, c in enumerate(self.left) if c]
+        self.one = self.two = self.three = 0
+        self.two_below = {}  # pairs of lengths shorter than this one
+        for x in self.lengths:
+            self.two_below[x] = self.two
+            self.three |= self.two << x
+            if self.left[x] > 1:
+                self.three |= self.one << 2 * x
+                if self.left[x] > 2:
+                    self.three |= 1 << 3 * x
+            self.two |= self.one << x
+            if self.left[x] > 1:
+                self.two |= 1 << 2 * x
+            self.one |= 1 << x
+        self.stale = False
+
+    def take(self, length: int, times: int = 1) -> None:
+        before = min(self.left[length], 3)
+        self.left[length] -= times
+        if min(self.left[length], 3) != before:
+            self.stale = True
+
+    stale = True
+
+    def _pair(self, total: int, below: int) -> list[int]:
+        """The largest-first pair of lengths shorter than ``below``; there is one."""
+        for x in reversed(self.lengths):
+            if x < below and total - x <= x and total > x and self.left[total - x] and (total != 2 * x or self.left[x] > 1):
+                return [x, total - x]
+        raise AssertionError("the index holds a sum that no pair has")
+
+    def best(self, gap: int) -> list[int]:
+        """The fullest combination of at most three lengths in ``gap``, of as few lengths as that takes; none: empty."""
+        if self.stale:
+            self._index()
+        within = (1 << gap + 1) - 1
+        total = ((self.one | self.two | self.three) & within).bit_length() - 1
+        if total <= 0:
+            return []
+        if self.one >> total & 1:
+            return [total]
+        if self.two >> total & 1:
+            return self._pair(total, len(self.left))
+        for x in reversed(self.lengths):
+            rest = total - x
+            if rest <= 0:
+                continue
+            if self.two_below[x] >> rest & 1:
+                return [x, *self._pair(rest, x)]
+            if self.left[x] > 1 and 0 < rest - x <= x and self.left[rest - x] and (rest != 2 * x or self.left[x] > 2):
+                return [x, x, rest - x]
+        raise AssertionError("the index holds a sum that no triple has")
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """``counts[length]`` -> patterns ``(times, lengths)`` that use every piece once.
 
-    Each pattern is used until one of its lengths has run out, so there are at most about
-    as many patterns as lengths."""
-    left = np.array(counts, np.int64)
-    sums, out = _Sums(left), []
-    if left[capacity]:
-        out.append((int(left[capacity]), [capacity]))
-        left[capacity] = 0
-    for longest in range(capacity - 1, 0, -1):
-        while left[longest]:
-            left[longest] -= 1
+    Longest first. A combination that fills the gap exactly is preferred, the fullest one
+    taken otherwise, and again for what is left of the gap. Each pattern is used until one of its lengths
+    has run out, so there are at most about as many patterns as lengths."""
+    sums, out = _Sums(counts), []
+    for longest in range(capacity, 0, -1):
+        while sums.left[longest]:
+            sums.take(longest)
             pattern, gap = [longest], capacity - longest
-            used = sums.filling(gap)
-            while used is None and gap > 0:  # best fit: the fullest combination below the gap
-                shortest = int(np.argmax(left > 0)) if left.any() else capacity + 1
-                if shortest > gap:
-                    break
-                for total in range(gap - 1, 0, -1):
-                    best = sums.filling(total)
-                    if best:
-                        break
-                pattern += best
-                gap -= sum(best)
-                for x in best:
-                    left[x] -= 1
-                used = sums.filling(gap)
-            for x in used or []:
-                pattern.append(x)
-                left[x] -= 1
+            while gap and (more := sums.best(gap)):
+                for x in more:
+                    sums.take(x)
+                pattern += more
+                gap -= sum(more)
             need = {x: pattern.count(x) for x in pattern}
-            more = min(int(left[x]) // k for x, k in need.items())
+            again = min(sums.left[x] // k for x, k in need.items())
             for x, k in need.items():
-                left[x] -= more * k
-            out.append((1 + more, pattern))
+                if again:
+                    sums.take(x, again * k)
+            out.append((1 + again, pattern))
     return out
 
 
@@ -196,7 +207,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, kee
     for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
         counts[r["length"]] = r["n"]
     table = slots(plan(counts, capacity))
-    if len(table) > 64 * capacity:
+    if len(table) > 64 * capacity:  # what is broadcast does not grow with the corpus
         raise ValueError("the plan is larger than its bound")
     places = spark.createDataFrame(table, "length long, lo long, hi long, sequence long, offset long")
     before = by_part.withColumn("before", F.sum("n").over(

@@ -6,7 +6,7 @@ for each vector, the lines on which it falls into the window. Virtual rehashing
 windows in proportion to a radius, adding only what is new at both ends. Whatever reaches the
 collision threshold is verified in double precision; the search ends once ``k`` verified
 vectors lie within the radius. A vector at the radius falls into a window with probability
-0.683; the threshold lies two standard deviations below that, so about one in fifty of
+0.866; the threshold lies two standard deviations below that, so about one in fifty of
 the true neighbours is missed.
 """
 
@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 
 from . import vectors
 
-LINES = 96
-HALF_WIDTH = 1.0     # of a window, in radii
-IN_WINDOW = 0.6827   # probability of a collision at the radius
+LINES = 64
+HALF_WIDTH = 1.5     # of a window, in radii
+IN_WINDOW = 0.8664   # probability of a collision at the radius
 THRESHOLD = int(IN_WINDOW * LINES - 2 * np.sqrt(LINES * IN_WINDOW * (1 - IN_WINDOW)))
-FIRST_RADIUS, WIDEN, LAST_RADIUS = 0.2, 1.12, 2.0
+RADII = (0.25, 0.4, 0.6, 0.8, *np.arange(0.9, 2.0, 0.04).tolist(), 2.0)  # ever closer steps, relative to the radius; 2: every vector
 SEED = 20240608
+_REACH = 200.0       # no line of this length is drawn below some 30,000 dimensions
 
 
 def _cosines(q: np.ndarray, norm: float, x: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -35,28 +36,22 @@ def _length(x: np.ndarray) -> np.ndarray:
 
 def _nearest(q: np.ndarray, norm: float, own: np.ndarray, index, x: np.ndarray, norms: np.ndarray, k: int):
     """Row numbers and cosines of the k nearest found; ``own`` rows are no candidates."""
-    values, order, at = index
+    values, order, at, shift = index  # of all lines, one after the other, each line's values in a range of its own
     n = len(x)
-    counts = np.zeros(n, np.int32)
+    counts = np.zeros(n, np.intp)
     counts[own] = -LINES - 1
     open_ = n - len(own)
-    place = np.array([np.searchsorted(v, p) for v, p in zip(values, at)])
-    lo, hi = place.copy(), place.copy()
+    lo = hi = np.searchsorted(values, at + shift)
     done, rows, scores = np.zeros(n, bool), [], []
-    radius, within = FIRST_RADIUS, 0
-    while True:
-        h, new = HALF_WIDTH * radius, []
-        for j in range(LINES):
-            a, b = np.searchsorted(values[j], (at[j] - h, at[j] + h))
-            if a < lo[j]:
-                new.append(order[j][a:lo[j]])
-                lo[j] = a
-            if b > hi[j]:
-                new.append(order[j][hi[j]:b])
-                hi[j] = b
+    for radius in RADII:
+        h = np.minimum(HALF_WIDTH * radius, np.minimum(at + _REACH, _REACH - at))  # stay in the line's range
+        a, b = np.searchsorted(values, [at + shift - h, at + shift + h])
+        a, b = np.minimum(a, lo), np.maximum(b, hi)
+        new = [order[i:j] for i, j in zip([*a.tolist(), *hi.tolist()], [*lo.tolist(), *b.tolist()]) if i < j]
+        lo, hi = a, b
         if new:
-            counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-        last = radius >= LAST_RADIUS * WIDEN
+            counts += np.bincount(np.concatenate(new), minlength=n)
+        last = radius == RADII[-1]
         fresh = np.flatnonzero(((counts >= THRESHOLD) | (last & (counts >= 0))) & ~done)
         if len(fresh):
             done[fresh] = True
@@ -64,9 +59,8 @@ def _nearest(q: np.ndarray, norm: float, own: np.ndarray, index, x: np.ndarray,
             scores.append(_cosines(q, norm, x[fresh], norms[fresh]))
         found = np.concatenate(scores) if scores else np.empty(0)
         within = (found >= 1 - radius * radius / 2).sum()
-        if within >= min(k, open_) or last:
+        if within >= min(k, open_):
             break
-        radius *= WIDEN
     rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
     best = np.lexsort((rows, -found))[:k]
     return rows[best], found[best]
@@ -74,15 +68,18 @@ def _nearest(q: np.ndarray, norm: float, own: np.ndarray, index, x: np.ndarray,
 
 def _best(x: np.ndarray, qids: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int):
     lines = np.random.default_rng(SEED).standard_normal((y.shape[1], LINES))
+    lines *= np.minimum(1, 0.99 * _REACH / _length(lines.T))  # no projection leaves the range
     norms = _length(y)
     projected = (y / norms[:, None]) @ lines
-    order = [np.argsort(projected[:, j], kind="stable") for j in range(LINES)]
-    values = [projected[o, j] for j, o in enumerate(order)]
+    ranks = np.argsort(projected, axis=0, kind="stable")
+    shift = np.arange(LINES) * (2.0 * _REACH)
+    values = (np.take_along_axis(projected, ranks, axis=0) + shift).T.ravel()
+    order = ranks.T.ravel()
     own_norms = _length(x)
     out: list[list] = [[], [], []]
     for q, norm, qid, at in zip(x, own_norms, qids, (x / own_norms[:, None]) @ lines):
         own = np.arange(*np.searchsorted(ids, (qid, qid + 1)))  # ids are sorted
-        rows, scores = _nearest(q, norm, own, (values, order, at), y, norms, k)
+        rows, scores = _nearest(q, norm, own, (values, order, at, shift), y, norms, k)
         out[0] += [int(qid)] * len(rows)
         out[1] += ids[rows].tolist()
         out[2] += scores.tolist()

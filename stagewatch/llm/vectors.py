@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERIES = 8192, 2048
+BLOCK, QUERIES = 32768, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ def _col(c: Column | str) -> Column:
 
 def stage_name(stage_progress: Column | str) -> Column:
     """Stage number -> display name (NULL outside 0..6)."""
-    return F.try_element_at(F.array(*[F.lit(s) for s in STAGE_NAMES]), _col(stage_progress).cast("int") + 1)
+    n = _col(stage_progress).cast("int")
+    return F.when(n.between(0, LAST_STAGE), F.get(F.array(*[F.lit(s) for s in STAGE_NAMES]), n))
 
 
 def stage_number(stage: Column | str) -> Column:

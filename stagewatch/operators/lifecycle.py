@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import timefns as TF
 from ..functions.strings import fraction_count, stage_name
 from ..schema import EVENT_COLUMNS, LAST_STAGE, NUM_STAGES
+from .monitoring import order_key_stage
 
 # Batch-pair generation is split into chunks of this many jobs, so that one huge
 # batch is spread over many tasks instead of being generated by a single row.
@@ -91,7 +92,8 @@ def lifecycle_checks(events: DataFrame) -> DataFrame:
     terminal = F.col("finished") | F.col("errored")
     agg = events.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("n_events"),
-        F.countDistinct(sp).alias("n_stages"),
+        # distinct stages as a bit set: one shuffle; shifts beyond 62 are no stages (see gap_free)
+        F.bit_count(F.bit_or(F.expr("shiftleft(1L, stage_progress)"))).alias("n_stages"),
         F.min(sp).alias("min_stage"),
         F.max(sp).alias("max_stage"),
         F.count_if(terminal).alias("n_terminal"),
@@ -99,9 +101,10 @@ def lifecycle_checks(events: DataFrame) -> DataFrame:
         F.max(F.when(terminal, t)).alias("terminal_time"),
         F.max(t).alias("last_time"),
         # stage of the latest event: the low bits of the largest (time, stage) key
-        (F.max(TF.to_epoch_us(t) * 8 + sp.cast("long")) % 8).cast("int").alias("stage_at_last_time"),
+        # (stages beyond the key's three bits are cut to them; such jobs are not ok anyway)
+        order_key_stage(F.max(TF.to_epoch_us(t) * 8 + F.least(F.greatest(sp.cast("long"), F.lit(0)), F.lit(7)))).alias("stage_at_last_time"),
     )
-    gap_free = (F.col("min_stage") == 0) & (F.col("n_stages") == F.col("max_stage") + 1) & (
+    gap_free = (F.col("min_stage") == 0) & (F.col("max_stage") < 63) & (F.col("n_stages") == F.col("max_stage") + 1) & (
         F.col("n_events") == F.col("n_stages")
     )
     one_terminal = F.col("n_terminal") == 1

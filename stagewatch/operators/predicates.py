@@ -6,7 +6,7 @@ codegen and push down to parquet where the source allows.
 
 from __future__ import annotations
 
-import shlex
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -38,8 +38,9 @@ def time_range(df: DataFrame, start, end, col: str = "time", part_col: str = "ev
 
 
 def search_terms(pattern: str) -> list[str]:
-    """Terms of a filter pattern: words and double-quoted phrases, all required."""
-    return [t for t in shlex.split(pattern, posix=True) if t]
+    """Terms of a filter pattern: words and double-quoted phrases, all required. Only blanks and
+    double quotes have a meaning; an open quote reaches to the end."""
+    return [phrase or word for phrase, word in re.findall(r'"([^"]*)"?|([^\s"]+)', pattern) if phrase or word]
 
 
 def text_search(df: DataFrame, text_col: str, pattern: str) -> DataFrame:

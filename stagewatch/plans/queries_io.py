@@ -351,6 +351,31 @@ def s2(spark, sf_dir):
     return spark.table(name)
 
 
+@register("s6_upsert_text_partition", with_me("""
+SELECT user_id, job_id, stage_progress, CASE WHEN user_id = '0011' THEN NOT errored ELSE errored END AS errored
+FROM monitoring_events"""))
+def s6_text(spark, sf_dir):
+    """Upsert into a table partitioned by a text with leading zeros; one partition is touched."""
+    ev = monitoring_events(spark, sf_dir).select("user_id", "job_id", "stage_progress", "errored")
+    table = scratch_path(spark, "users-table")
+    SK.append_rows(ev, table, partition_by=["user_id"])
+    updates = ev.where("user_id = '0011'").withColumn("errored", ~F.col("errored"))
+    out = SK.upsert_partitions(table, updates, ["user_id", "job_id", "stage_progress"], ["user_id"])
+    return out.select("user_id", "job_id", "stage_progress", "errored")
+
+
+@register("s6_upsert_duplicate_updates", with_runs("""
+SELECT record_id, data_store, operation,
+       CASE WHEN coalesce(is_first_query, false) THEN 2 ELSE exec_time END AS exec_time, num_records, is_first_query
+FROM benchmark_runs"""))
+def s6_twice(spark, sf_dir):
+    """Two updates of a key: the later one wins, though its payload is the smaller."""
+    runs = benchmark_runs(spark, sf_dir).withColumn("version", F.lit(0))
+    first = runs.where("is_first_query").withColumns({"exec_time": F.lit(10**9).cast("bigint"), "version": F.lit(1)})
+    last = first.withColumns({"exec_time": F.lit(2).cast("bigint"), "version": F.lit(2)})
+    return SK.upsert(runs, last.unionByName(first), RUN_KEYS, order=["version"]).drop("version")
+
+
 @register("s6_upsert_partitions", with_runs("""
 SELECT record_id, data_store, operation,
        CASE WHEN coalesce(is_first_query, false) THEN exec_time + 1000 ELSE exec_time END AS exec_time,

@@ -33,11 +33,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a local one only when none is configured."""
+    """The shared checkpoint folder. A local one is set only in local mode, when none is configured;
+    on a cluster a missing one is an error."""
     root = spark.conf.get(_CKPT_KEY, None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError(f"{_CKPT_KEY} names no folder; on a cluster it must be one that all executors share")
         root = tempfile.mkdtemp(prefix="stagewatch-ckpt-")
         spark.conf.set(_CKPT_KEY, root)
     sc = spark.sparkContext

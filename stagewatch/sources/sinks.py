@@ -75,16 +75,40 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
 
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], dest: str | None = None,
            order: Sequence[str] = ()) -> DataFrame:
-    """Upsert by key, last write wins; written as a new generation.
+    """Upsert by key, last write wins; written as a new generation (see ``merge_updates``).
 
-    Rows are ranked by ``order`` and then by generation (updates beat the base).
     Returns the re-read result at ``dest`` (a fresh scratch path by default)."""
     spark = base.sparkSession
-    both = base.withColumn("_gen", F.lit(0)).unionByName(updates.withColumn("_gen", F.lit(1)))
-    merged = latest_per_key(both, keys, [*order, "_gen"]).drop("_gen")
+    merged = merge_updates(base, updates, keys, order)
     dest = dest or scratch_path(spark, "upsert")
-    merged.select(*base.columns).write.mode("overwrite").parquet(dest)
-    return spark.read.parquet(dest)
+    merged.write.mode("overwrite").parquet(dest)
+    return spark.read.schema(merged.schema).parquet(dest)
+
+
+def merge_updates(base: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """``base`` with ``updates`` applied by key.
+
+    With ``order``, the row with the greatest order wins, an update over a base row of equal order.
+    Without one nothing says which of two updates of a key came last, so a key that the
+    updates hold twice raises; the base keeps the rows without an update (an anti join,
+    which shuffles no base row while the updates are small) and gains the updates."""
+    cols = base.columns
+    updates = updates.select(*cols)
+    if order:
+        both = base.withColumn("_gen", F.lit(0)).unionByName(updates.withColumn("_gen", F.lit(1)))
+        return latest_per_key(both, keys, [*order, "_gen"]).select(*cols)
+    payload = [c for c in cols if c not in keys]
+    once = updates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in payload]).select(
+        *[F.when(F.col("_n") == 1, F.col(c)).otherwise(
+            F.raise_error(F.lit("updates hold a key twice; give an order")).cast(updates.schema[c].dataType)).alias(c)
+          if c == cols[-1] else F.col(c) for c in cols])
+    same = [base[k].eqNullSafe(updates[k]) for k in keys]
+    return base.join(updates, same, "left_anti").unionByName(once)
+
+
+def read_partitioned(spark, path: str, schema: T.StructType) -> DataFrame:
+    """A partitioned table by its declared types: inferred ones turn a text like ``0011`` into a number."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def append_with_ids(df: DataFrame, path: str, id_col: str = "_id") -> None:
@@ -165,18 +189,22 @@ def upsert_partitions(table_path: str, updates: DataFrame, keys: Sequence[str],
        shared checkpoint folder, so no path is overwritten while it is read.
     3. The staged partitions replace the touched ones by dynamic partition overwrite;
        all other partitions stay as they are.
-    Keys must not move between partitions (the partition columns belong to the key)."""
+    Keys must not move between partitions, so the partition columns belong to the key. The
+    partition columns' types are those of the updates, not inferred from folder names."""
+    if not set(partition_by) <= set(keys):
+        raise ValueError("the partition columns must be part of the key")
     spark = updates.sparkSession
-    base = spark.read.parquet(table_path)
+    stored = spark.read.parquet(table_path).schema
+    schema = T.StructType([updates.schema[f.name] if f.name in partition_by else f for f in stored])
+    base = read_partitioned(spark, table_path, schema)
     cols = base.columns
     touched = updates.select(*partition_by).distinct()
     base_touched = base.join(touched, list(partition_by), "left_semi").select(*cols)
-    both = base_touched.withColumn("_gen", F.lit(0)).unionByName(updates.select(*cols).withColumn("_gen", F.lit(1)))
-    merged = latest_per_key(both, keys, [*order, "_gen"]).drop("_gen").select(*cols)
+    merged = merge_updates(base_touched, updates, keys, order)
     staging = scratch_path(spark, "upsert-staging")
     spread_for_write(merged, partition_by).write.mode("errorifexists").partitionBy(*partition_by).parquet(staging)
     # explicit schema: an empty update writes no files
     staged = spark.read.schema(merged.schema).parquet(staging).select(*cols)
     (spread_for_write(staged, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(table_path))
-    return spark.read.parquet(table_path)
+    return read_partitioned(spark, table_path, schema)

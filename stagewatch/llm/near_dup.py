@@ -32,7 +32,7 @@ PERCENT = 85          # link: 100 * intersection >= PERCENT * union
 TREES = 20
 BASE, DEPTH = 4, 8    # path length at which regions are entered, and the longest
 LEVELS = range(BASE, DEPTH + 1)
-LEAF = 16
+LEAF = 8
 MARGIN = 0.14         # of the share of agreeing places, over 4.5 standard deviations at 160 places
 SEED = 20240607
 

@@ -7,8 +7,11 @@ a prefix of the path. Regions are entered at depth ``BASE`` and deepened, each a
 its own crowding asks for, until at most ``LEAF`` nodes share the prefix; these are
 compared with one another. Wherever a region holds more than that, its pivot (the node
 whose paths are the most crowded in all trees, in a family of copies the text that they come
-from) is compared with every node of the region, at every depth. So a crowded region costs
+from) is compared with every node of the region, at every depth. So a family of copies costs
 work in proportion to its nodes, and a copy that resembles only the original meets it.
+A region that is crowded at the greatest depth is then completed: its nodes that are not yet
+in the region's largest component are compared with all its nodes of other components,
+so that no crowd loses a link that would join two components.
 
 Candidates whose signatures agree in fewer than ``LEAST_AGREEMENT`` of the places are
 left out (over four standard deviations below the threshold); the others are confirmed
@@ -33,6 +36,7 @@ TREES = 20
 BASE, DEPTH = 4, 8    # path length at which regions are entered, and the longest
 LEVELS = range(BASE, DEPTH + 1)
 LEAF = 8
+BLOCK = 1024          # nodes of a crowded region that one task's key holds in its completion
 MARGIN = 0.14         # of the share of agreeing places, over 4.5 standard deviations at 160 places
 SEED = 20240607
 
@@ -122,8 +126,9 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
         "doc_id long, n_shingles long, fp1 long, fp2 long, sketch binary, keys array<long>")
 
 
-def candidate_links(nodes: DataFrame) -> DataFrame:
-    """``nodes(node, keys)`` -> distinct pairs ``(a, b)``, a < b, that the forest proposes."""
+def candidate_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``nodes(node, keys)`` -> distinct pairs ``(a, b)``, a < b, that the forest proposes, and
+    ``(node, region, size)`` of the regions that are crowded at the greatest depth."""
     n = len(LEVELS)
     k = [f"k{d}" for d in LEVELS]
     rows = nodes.select("node", F.explode(F.expr(
@@ -155,10 +160,30 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     pairs = leaves.select(F.explode(F.expr(
         "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as node, y as other))))")
     ).alias("e")).select("e.node", "e.other")
-    return (pairs.unionByName(pivots).where("node != other")
+    crowded = placed.where(F.col(f"c{DEPTH}") > LEAF).select("node", F.col(k[-1]).alias("region"), F.col(f"c{DEPTH}").alias("size"))
+    return _ordered(pairs.unionByName(pivots)), crowded
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return (pairs.where("node != other")
             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
 
+def unlinked_in_crowds(crowded: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of one crowded region in different components, one of them outside the region's
+    largest. A region is met in blocks of about ``BLOCK`` nodes; one component: no pairs."""
+    placed = stored(crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "crowded")
+    parts = (placed.groupBy("region", "component").agg(F.count("*").alias("n"))
+             .groupBy("region").agg(F.max(F.struct("n", -F.col("component"))).alias("largest"), F.count("*").alias("parts"))
+             .where("parts > 1").select("region", (-F.col("largest.col2")).alias("largest")))
+    placed = stored(placed.join(parts, "region"), "parted")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    outside = placed.where("component != largest").select(
+        "region", F.col("node").alias("other"), F.col("component").alias("apart"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    held = placed.select("region", "node", "component", F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    return _ordered(held.join(outside, ["region", "block"]).where("component != apart").select("node", "other"))
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, TREES * DEPTH) for i in (2, 3))
@@ -180,6 +205,21 @@ def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> I
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs whose signatures agree enough and whose full sets are then confirmed."""
+    left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    least = percent / 100 - MARGIN
+    pairs = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+                   .mapInArrow(lambda it: _agreeing(it, least), "a long, b long").distinct(), "pairs")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = id_and_text(docs).join(wanted, "doc_id", "left_semi")
+    texts = stored(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "texts")
+    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+                  .mapInArrow(lambda it: _confirmed(it, words, percent), "a long, b long"), "links")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -194,25 +234,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     nodes = stored(named.join(classes.withColumnRenamed("node", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi")
                    .dropDuplicates(["fp1", "fp2"]).select(F.col("doc_id").alias("node"), "sketch", "keys"), "nodes")
 
-    pairs = candidate_links(nodes.select("node", "keys"))
-    left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    least = percent / 100 - MARGIN
-    pairs = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-                   .mapInArrow(lambda it: _agreeing(it, least), "a long, b long").distinct(), "pairs")
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = id_and_text(docs).join(wanted, "doc_id", "left_semi")
-    texts = stored(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "texts")
-    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    links = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-                   .mapInArrow(lambda it: _confirmed(it, words, percent), "a long, b long"), "links")
+    pairs, crowded = candidate_links(nodes.select("node", "keys"))
+    links = _links(pairs, nodes, docs, words, percent)
 
     # Copies have their class's node; the classes of several texts under one doc_id are linked.
     several = in_class.groupBy("doc_id").count().where("count > 1").select("doc_id")
     shared = in_class.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(shared))
+
+    # What crowded regions still keep apart: links between components.
+    more = _links(unlinked_in_crowds(crowded, found), nodes, docs, words, percent)
+    of_a, of_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    joined = connected_components(more.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
     member = (in_class.select("doc_id", "node").join(found, "node", "left")
-              .groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component")))
+              .select("doc_id", F.coalesce("component", "node").alias("part"))
+              .join(joined.select(F.col("node").alias("part"), "component"), "part", "left")
+              .groupBy("doc_id").agg(F.min(F.coalesce("component", "part")).alias("component")))
     return (signed.select("doc_id", "n_shingles").join(member, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
             .withColumn("kept", F.expr("doc_id <=> component_id")))

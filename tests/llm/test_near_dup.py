@@ -59,6 +59,33 @@ def test_crowded_family_meets_its_original(spark):
     _check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+def test_crowd_without_a_hub_keeps_its_links(spark):
+    """Pairs of near copies in a crowd of texts that resemble one another too little to be linked."""
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for c in range(160):
+        w = list(base)
+        for e in range(4):
+            w[(c * 37 + e * 51) % 300] = f"own{c}x{e}"
+        rows.append((2 * c, " ".join(w)))
+        for e in range(4):
+            w[(c * 37 + e * 73 + 20) % 300] = f"twin{c}x{e}"
+        rows.append((2 * c + 1, " ".join(w)))
+    _check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_completion_of_crowded_regions(spark):
+    """All pairs of different components with one outside the largest, in many blocks; none elsewhere."""
+    n = 5 * near_dup.BLOCK
+    crowded = spark.range(n).selectExpr("id as node", "7L as region", f"cast({n} as long) as size").unionByName(
+        spark.createDataFrame([(n + 1, 8, 9), (n + 2, 8, 9)], "node long, region long, size long"))
+    found = spark.range(n - 3).selectExpr("id as node", "0L as component").unionByName(
+        spark.createDataFrame([(n - 3, n - 3), (n - 2, n - 3), (n + 1, n + 1), (n + 2, n + 1)], "node long, component long"))
+    got = {tuple(r) for r in near_dup.unlinked_in_crowds(crowded, found).collect()}
+    assert got == {(a, b) for b in (n - 3, n - 2, n - 1) for a in range(b) if (a, b) != (n - 3, n - 2)}
+    assert near_dup.unlinked_in_crowds(crowded.limit(0), found).collect() == []
+
+
 def test_stage_keeps_one_of_each_group(odd):
     out = near_dup.drop_near_duplicates(odd)
     assert out.columns == odd.columns

@@ -56,8 +56,9 @@ def split_batch_pairs(pairs: DataFrame, chunk: int = JOB_CHUNK) -> DataFrame:
     chunks = pairs.select(
         "*", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("chunk_no")
     ).where(n > 0)
-    # Round robin: the chunks of one hot pair are spread over all partitions.
-    spread = chunks.repartition(chunks.sparkSession.sparkContext.defaultParallelism)
+    # Round robin: the chunks of one hot pair are spread over as many tasks as the session shuffles to
+    # (a fixed number: chunks are tiny before the second explode, so AQE must not merge them).
+    spread = chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lo = F.col("chunk_no") * chunk + 1
     hi = F.least(n, (F.col("chunk_no") + 1) * chunk)
     jobs = spread.select("*", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))).alias("job_no"))

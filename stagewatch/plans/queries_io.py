@@ -13,7 +13,7 @@ from ..functions import jsonfns as J
 from ..functions import strings as S
 from ..functions import timefns as TF
 from ..operators import latency as N
-from ..schema import (EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TYPE_NAMES, QUERY_TYPE_NAMES, SCALES, STAGE_NAMES,
+from ..schema import (EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TYPE_NAMES, QUERY_TYPE_NAMES, RECORD_TYPE_NAMES, SCALES, STAGE_NAMES,
                       STORE_NAMES)
 from ..session import scratch_path
 from ..sources import csv as CSV
@@ -205,7 +205,9 @@ MEASURES = ["stage", "stage_progress", "errored", "finished"]
 
 
 def _entries_sql(cols) -> str:
-    parts = [f"'{c}=' || CAST({c} AS VARCHAR) || ':{EVENT_TYPE_NAMES[c]}'" for c in cols]
+    # By hand, not from the library's table: all are text but these.
+    types = {"stage_progress": "BIGINT", "errored": "BOOLEAN", "finished": "BOOLEAN"}
+    parts = [f"'{c}=' || CAST({c} AS VARCHAR) || ':{types.get(c, 'VARCHAR')}'" for c in cols]
     return " || ',' || ".join(parts)
 
 
@@ -215,7 +217,7 @@ SELECT time, 'record' AS measure_name, 'MULTI' AS measure_value_type,
        {_entries_sql(MEASURES)} AS measures_text
 FROM monitoring_events"""))
 def s8_to(spark, sf_dir):
-    recs = R.to_records(monitoring_events(spark, sf_dir), EVENT_TYPE_NAMES, "time", MEASURES, DIMENSIONS)
+    recs = R.to_records(monitoring_events(spark, sf_dir), RECORD_TYPE_NAMES, "time", MEASURES, DIMENSIONS)
 
     def text(c):
         return F.array_join(F.transform(c, lambda e: F.concat(e["Name"], F.lit("="), e["Value"], F.lit(":"), e["Type"])), ",")
@@ -227,7 +229,7 @@ def s8_to(spark, sf_dir):
 @register("s8_from_records", with_me("SELECT * FROM monitoring_events"))
 def s8_from(spark, sf_dir):
     ev = monitoring_events(spark, sf_dir)
-    recs = R.to_records(ev, EVENT_TYPE_NAMES, "time", MEASURES, DIMENSIONS)
+    recs = R.to_records(ev, RECORD_TYPE_NAMES, "time", MEASURES, DIMENSIONS)
     return R.from_records(recs, [(c, EVENT_TYPE_NAMES[c]) for c in EVENT_COLUMNS])
 
 

@@ -60,7 +60,8 @@ class Pieces:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6} if m.trainer_spec.byte_fallback else {}
         self.of_byte = {i: b for b, i in self.byte.items()}
         self.silent = {i for i, p in enumerate(m.pieces) if p.type == 3}
-        self.unknown_surface = m.trainer_spec.unk_surface
+        # what a piece that is no byte decodes to
+        self.surface = ["" if i in self.silent else m.trainer_spec.unk_surface if i == self.unknown else t for i, t in enumerate(self.text)]
         self.unknown_score = np.float32(self.score[list(self.normal.values())].min() - 10)
         # a piece never goes on past the end of a word, unless the model has such pieces
         self.word = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+" if not any(re.search(f"[^{_SPACE}]{_SPACE}", t) for t in self.normal)
@@ -202,17 +203,19 @@ class Pieces:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        parts: list[str] = []
-        raw = bytearray()
-        for i in [*ids, None]:
-            if i in self.of_byte:
-                raw.append(self.of_byte[i])
-                continue
-            if raw:
-                parts.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            if i is not None and i not in self.silent:
-                parts.append(self.unknown_surface if i == self.unknown else self.text[i])
+        if self.of_byte.keys().isdisjoint(ids):
+            parts = list(map(self.surface.__getitem__, ids))
+        else:
+            parts, raw = [], bytearray()
+            for i in [*ids, None]:
+                if i in self.of_byte:
+                    raw.append(self.of_byte[i])
+                    continue
+                if raw:
+                    parts.append(raw.decode("utf-8", "replace"))
+                    raw.clear()
+                if i is not None:
+                    parts.append(self.surface[i])
         text = "".join(parts).replace(_SPACE, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 

@@ -10,8 +10,9 @@ whose paths are the most crowded in all trees, in a family of copies the text th
 from) is compared with every node of the region, at every depth. So a family of copies costs
 work in proportion to its nodes, and a copy that resembles only the original meets it.
 A region that is crowded at the greatest depth is then completed: its nodes that are not yet
-in the region's largest component are compared with all its nodes of other components,
-so that no crowd loses a link that would join two components.
+in the region's largest component are compared with all its nodes of other components, but for
+pairs that their own shingles rule out, so that no crowd loses a link that would join two
+components.
 
 Candidates whose signatures agree in fewer than ``LEAST_AGREEMENT`` of the places are
 left out (over four standard deviations below the threshold); the others are confirmed
@@ -20,7 +21,7 @@ on the full sets, and the confirmed links give the components.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ MARGIN = 0.14         # of the share of agreeing places, over 4.5 standard devia
 SEED = 20240607
 
 _CHUNK = 4096
+_FLUSH = 100_000      # shingles of one batch sent back, besides those of its last text
 
 
 class _WordHashes(dict):
@@ -169,19 +171,62 @@ def _ordered(pairs: DataFrame) -> DataFrame:
             .select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
 
 
-def unlinked_in_crowds(crowded: DataFrame, found: DataFrame) -> DataFrame:
+def _shingle_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    shingles = Shingles(words)
+    for b in batches:
+        ids, held, rows = [], [], 0
+        for i, (node, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1)), 1):
+            h = shingles(text.as_py()).view(np.int64)
+            ids.append(np.full(len(h), node, np.int64))
+            held.append(h)
+            rows += len(h)
+            if rows >= _FLUSH or i == b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(held))], ["node", "h"])
+                ids, held, rows = [], [], 0
+
+
+def _own_shingles(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``members(node)`` -> ``(node, n, own)``: the size of the node's set, and how many of its shingles
+    no other member holds. ``n`` is null for a doc_id of several texts, which has no one set."""
+    texts = id_and_text(docs).join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
+    own = (texts.mapInArrow(lambda it: _shingle_rows(it, words), "node long, h long")
+           .groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+           .groupBy("node").agg(F.count("*").alias("own")))
+    one = texts.groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("texts"))
+    return (nodes.select("node", "n_shingles").join(members, "node", "left_semi")
+            .groupBy("node").agg(F.max("n_shingles").alias("n")).join(one, "node").join(own, "node", "left")
+            .select("node", F.when(F.col("texts") == 1, F.col("n")).alias("n"), F.coalesce("own", F.lit(0)).alias("own")))
+
+
+def unlinked_in_crowds(crowded: DataFrame, found: DataFrame, percent: int = PERCENT,
+                       own: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs of one crowded region in different components, one of them outside the region's
-    largest. A region is met in blocks of about ``BLOCK`` nodes; one component: no pairs."""
+    largest. A region is met in blocks of about ``BLOCK`` nodes; one component: no pairs.
+
+    ``own`` gives the ``(node, n, own)`` of the nodes met (``_own_shingles``); without it no pair is
+    ruled out. Two sets share no more than either has besides its own shingles, so a pair that
+    this bound keeps below the threshold is no link, and a node that it keeps below with any
+    partner is not met at all. A pair is made in one of the regions that it shares."""
     placed = stored(crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "crowded")
     parts = (placed.groupBy("region", "component").agg(F.count("*").alias("n"))
              .groupBy("region").agg(F.max(F.struct("n", -F.col("component"))).alias("largest"), F.count("*").alias("parts"))
              .where("parts > 1").select("region", (-F.col("largest.col2")).alias("largest")))
     placed = stored(placed.join(parts, "region"), "parted")
-    blocks = F.ceil(F.col("size") / BLOCK)
+    # At most one region a tree (a doc_id of several texts: one a tree and text).
+    regions = placed.groupBy("node").agg(F.collect_set("region").alias("regions"))
+    members = placed.select("node").distinct()
+    sets = own(members) if own else members.select("node", F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("own"))
+    bounds = stored(sets.where(F.expr(f"n is null or 100 * (n - own) >= {percent} * n")).join(regions, "node"), "bounds")
+    placed = placed.join(bounds, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     outside = placed.where("component != largest").select(
-        "region", F.col("node").alias("other"), F.col("component").alias("apart"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    held = placed.select("region", "node", "component", F.pmod(F.xxhash64("node"), blocks).alias("block"))
-    return _ordered(held.join(outside, ["region", "block"]).where("component != apart").select("node", "other"))
+        "region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "n", "own", "regions")])
+    held = placed.select("region", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "component", "n", "own", "regions")
+    most = "least(n - own, o_n - o_own)"
+    return _ordered(held.join(outside, ["region", "block"]).where(
+        f"component != o_component and (n is null or o_n is null or 100 * {most} >= {percent} * (n + o_n - {most}))"
+        " and array_min(array_intersect(regions, o_regions)) = region").select("node", F.col("o_node").alias("other")))
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -232,7 +277,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"))
     in_class = named.select("doc_id", "fp1", "fp2").distinct().join(classes, ["fp1", "fp2"])
     nodes = stored(named.join(classes.withColumnRenamed("node", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi")
-                   .dropDuplicates(["fp1", "fp2"]).select(F.col("doc_id").alias("node"), "sketch", "keys"), "nodes")
+                   .dropDuplicates(["fp1", "fp2"]).select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "keys"), "nodes")
 
     pairs, crowded = candidate_links(nodes.select("node", "keys"))
     links = _links(pairs, nodes, docs, words, percent)
@@ -243,7 +288,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(shared))
 
     # What crowded regions still keep apart: links between components.
-    more = _links(unlinked_in_crowds(crowded, found), nodes, docs, words, percent)
+    apart = unlinked_in_crowds(crowded, found, percent, lambda members: _own_shingles(members, nodes, docs, words))
+    more = _links(apart, nodes, docs, words, percent)
     of_a, of_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     joined = connected_components(more.join(of_a, "a", "left").join(of_b, "b", "left").select(
         F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))

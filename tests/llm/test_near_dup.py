@@ -86,6 +86,30 @@ def test_completion_of_crowded_regions(spark):
     assert near_dup.unlinked_in_crowds(crowded.limit(0), found).collect() == []
 
 
+def test_own_shingles_rule_out_no_link(spark):
+    """With the bound, every link between components is still met, and pairs beyond it are not."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base))]
+    for c in range(2, 60):
+        w = list(base)
+        for e in range(c % 12):
+            w[(c * 37 + e * 17) % 200] = f"own{c}x{e}"
+        rows.append((c, " ".join(w)))
+    rows.append((60, rows[0][1] + " more"))
+    rows += [(61, "a b c d e f"), (61, "g h i j k l")]  # one id, two texts: never ruled out
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = near_dup.signatures(docs).selectExpr("doc_id as node", "n_shingles")
+    crowded = spark.createDataFrame([(i, r, 61) for i in range(1, 62) for r in (7, 8)], "node long, region long, size long")
+    found = spark.createDataFrame([(1, 1), (60, 1)], "node long, component long")
+    every = {tuple(r) for r in near_dup.unlinked_in_crowds(crowded, found).collect()}
+    got = {tuple(r) for r in near_dup.unlinked_in_crowds(
+        crowded, found, 85, lambda members: near_dup._own_shingles(members, nodes, docs, 5)).collect()}
+    sets = dict((i, _set(t)) for i, t in rows if i != 61)
+    links = {(a, b) for a, b in every if b != 61 and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert links and links <= got < every
+    assert {(1, 61), (60, 61)} <= got
+
+
 def test_stage_keeps_one_of_each_group(odd):
     out = near_dup.drop_near_duplicates(odd)
     assert out.columns == odd.columns

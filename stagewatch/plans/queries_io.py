@@ -185,6 +185,17 @@ def s3(spark, sf_dir):
     return spark.read.schema(stored).parquet(path).select(*EVENT_COLUMNS)
 
 
+@register("s3_stored_append", with_me("SELECT * FROM monitoring_events"))
+def s3_stored(spark, sf_dir):
+    """The stored layout written in two rounds, read back by its declared types."""
+    ev = monitoring_events(spark, sf_dir)
+    path = scratch_path(spark, "stored-events")
+    for stages in ("stage_progress < 3", "stage_progress >= 3"):
+        SK.store_events(ev.where(stages), path, unit=SPARSE_UNIT)
+    stored = T.StructType([*EVENT_SCHEMA.fields, T.StructField("event_date", T.DateType())])
+    return SK.read_partitioned(spark, path, stored).select(*EVENT_COLUMNS)
+
+
 RUN_KEYS = ["data_store", "operation", "record_id"]
 
 
@@ -339,6 +350,29 @@ def s7(spark, sf_dir):
     return _decode_with_stream(JL.read_log(spark, log))
 
 
+@register("s7_fan_out_encodings", with_me("""
+SELECT e.*, s.sink FROM monitoring_events e
+CROSS JOIN (VALUES ('table'), ('log'), ('records'), ('documents')) AS s(sink)"""))
+def s7_encodings(spark, sf_dir):
+    """One event set to all four encodings, each read back as events."""
+    ev = monitoring_events(spark, sf_dir)
+    table, log, records, documents = (scratch_path(spark, f"fan-{s}") for s in ("table", "log", "records", "documents"))
+    SK.fan_out(ev, [
+        lambda d: SK.append_rows(d, table),
+        lambda d: JL.write_log(d, log, unit=SPARSE_UNIT),
+        lambda d: R.to_records(d, RECORD_TYPE_NAMES, "time", MEASURES, DIMENSIONS).write.parquet(records),
+        lambda d: SK.append_with_ids(d, documents),
+    ])
+    back = {
+        "table": spark.read.schema(EVENT_SCHEMA).parquet(table),
+        "log": _decode_with_stream(JL.read_log(spark, log)),
+        "records": R.from_records(spark.read.parquet(records), [(c, EVENT_TYPE_NAMES[c]) for c in EVENT_COLUMNS]),
+        "documents": spark.read.parquet(documents),
+    }
+    every = [df.select(*EVENT_COLUMNS, F.lit(sink).alias("sink")) for sink, df in back.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
 @register("s2_table_roundtrip", with_me("SELECT * FROM monitoring_events"))
 def s2(spark, sf_dir):
     """Create a catalog table from the declared schema (if absent), append, read it."""

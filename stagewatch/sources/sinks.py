@@ -154,7 +154,8 @@ def expire_partitions(df: DataFrame, as_of_date: Column, days: int = 7, part_col
 
 
 def store_events(events: DataFrame, path: str, unit: str = "day") -> None:
-    """The event table as stored for reading: time-partitioned, and inside every
+    """Append to the event table as stored for reading, once per round of events (the first
+    call makes the table): time-partitioned, and inside every
     partition range-clustered and sorted by (user, batch, job, time), so each file
     covers a narrow user and batch-id range and user/batch/job predicates skip files
     and row groups by their min/max statistics. One range shuffle; a hot day, user or
@@ -163,7 +164,7 @@ def store_events(events: DataFrame, path: str, unit: str = "day") -> None:
     order = ["user_id", "ingestion_batch_id", "job_id", "time"]
     w = (spread_for_write(part, ["event_date"], order)
          .sortWithinPartitions("event_date", *order)
-         .write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE))
+         .write.mode("append").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE))
     for c in BLOOM_COLUMNS:  # point lookups by id test a bloom filter before reading pages
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     w = w.option("parquet.bloom.filter.adaptive.enabled", "true")  # sized by the actual ids

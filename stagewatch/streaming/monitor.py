@@ -7,17 +7,18 @@ retry, so replays are idempotent), and ``read_latest`` keeps the newest row per
 Without a watermark, state grows with the number of jobs. Given a ``lateness``, the
 roll-up, latest-status and per-minute streams key their state by an event-time bucket
 under a watermark, so old state is evicted (rows later than that are dropped and
-counted by ``dropped_by_watermark``); the read side re-combines the buckets.
+counted by ``count_dropped``); the read side re-combines the buckets.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.strings import stage_name
 from ..operators.monitoring import DEFAULT_USERS, event_order_key, minute_bin, order_key_stage, order_key_time
@@ -150,7 +151,9 @@ def finished_per_minute_agg(stream: DataFrame, users: Sequence[str] = DEFAULT_US
                             lateness: str | None = None) -> DataFrame:
     """Distinct finished jobs per (repo, minute): dedup on (repo, minute, job),
     then count. With ``lateness`` the state is bounded by an event-time watermark
-    (the stream's NTZ time is read as UTC)."""
+    (the stream's NTZ time is read as UTC), and a minute leaves the stream only once the
+    watermark has passed it: minutes still open are not in the output of the run, so
+    what is read after it is final but not complete."""
     f = stream.where((F.col("stage") == "Finished") & F.col("user_id").isin(*users))
     f = f.select("repo_id", minute_bin("time").alias("interval_start"), "job_id")
     if lateness:
@@ -168,13 +171,58 @@ def finished_per_minute_stream(stream: DataFrame, dest: str, checkpoint: str,
     return _run_update(finished_per_minute_agg(stream, users, lateness), dest, checkpoint, mode)
 
 
+def _dropped(progress) -> int:
+    return sum(int(getattr(op, "numRowsDroppedByWatermark", 0) or 0) for op in progress.stateOperators or [])
+
+
 def dropped_by_watermark(query: StreamingQuery) -> int:
-    """Rows the watermark dropped, summed over the query's recent progress."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.stateOperators or []:
-            total += int(getattr(op, "numRowsDroppedByWatermark", 0) or 0)
-    return total
+    """Rows the watermark dropped in the progress reports that Spark still keeps (the last
+    ``spark.sql.streaming.numRecentProgressUpdates``); ``count_dropped`` counts all of them."""
+    return sum(map(_dropped, query.recentProgress))
+
+
+class DroppedRows(StreamingQueryListener):
+    """Running count of rows dropped by the watermark, by query run, over all micro-batches."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.seen: dict[str, int] = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        run = str(p.runId)
+        self.rows[run] = self.rows.get(run, 0) + _dropped(p)
+        self.seen[run] = max(self.seen.get(run, -1), p.batchId)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+    def of(self, query: StreamingQuery, wait: float = 60.0) -> int:
+        """Rows that ``query`` has dropped up to its last progress report; reports arrive a little
+        later than the query ends, and a missing one raises rather than being left out."""
+        last, run, end = query.lastProgress, str(query.runId), time.monotonic() + wait
+        while last is not None and self.seen.get(run, -1) < last.batchId:
+            if time.monotonic() > end:
+                raise TimeoutError("progress reports of the query did not arrive")
+            time.sleep(0.05)
+        return self.rows.get(run, 0)
+
+
+@contextmanager
+def count_dropped(spark: SparkSession):
+    """Counts the dropped rows of the queries started inside: ``with count_dropped(spark) as d: ...; d.of(query)``."""
+    counter = DroppedRows()
+    spark.streams.addListener(counter)
+    try:
+        yield counter
+    finally:
+        spark.streams.removeListener(counter)
 
 
 # ------------------------------------------------------------------ T4 latest status

@@ -181,6 +181,33 @@ def test_stream_watermark_reports_late_rows(spark):
     assert T.dropped_by_watermark(q) >= 1
 
 
+def test_dropped_rows_beyond_the_kept_progress(spark):
+    """Rows dropped in micro-batches whose reports Spark no longer keeps are still counted."""
+    early = job(B1, "a", created=T0 + dt.timedelta(hours=3))
+    late = job(B2, "b", user="0011")
+    src, sink, ckpt = T.scratch_stream_paths(spark, "test-dropped")
+    frame(spark, early).write.parquet(src)
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, 1)
+    try:
+        with T.count_dropped(spark) as dropped:
+            agg = T.finished_per_minute_agg(T.event_stream(spark, src, 1), ["1110", "0011"], lateness="10 minutes")
+            q = (agg.writeStream.outputMode("append").foreachBatch(T.batch_folder_sink(sink))
+                 .option("checkpointLocation", ckpt).start())
+            try:
+                q.processAllAvailable()
+                for rows in (early, late, late, early):
+                    frame(spark, rows).write.mode("append").parquet(src)
+                    q.processAllAvailable()
+            finally:
+                q.stop()
+            assert dropped.of(q) >= 2
+            assert T.dropped_by_watermark(q) < dropped.of(q)
+    finally:
+        spark.conf.set(kept, before)
+
+
 def test_iter_pages_and_key_violations(spark):
     from stagewatch.operators.paging import iter_pages
 

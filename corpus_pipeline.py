@@ -17,6 +17,8 @@ from stagewatch.llm import near_dup, packing, pii, quality  # noqa: E402
 from stagewatch.llm.common import stored  # noqa: E402
 from stagewatch.sources.tables import read_table  # noqa: E402
 
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -24,8 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return near_dup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays. The stage links from a similarity of
+    0.8 on; the 0.85 of op10_near_duplicates is that query's alone."""
+    return near_dup.drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,6 +119,20 @@ def test_stage_keeps_one_of_each_group(odd):
     assert LONG in {r["text"] for r in out.where("doc_id = 4").collect()}
 
 
+def test_the_pipeline_links_from_080_on(spark):
+    """22 of 26 shingles shared: 0.846, a link of the stage but none of op10."""
+    import corpus_pipeline as P
+
+    w = [f"w{i}" for i in range(29)]
+    rows = [(2 * k, " ".join(f"{k}{x}" for x in w)) for k in range(20)]
+    rows += [(2 * k + 1, " ".join([*[f"{k}{x}" for x in w[:26]], "other"])) for k in range(20)]
+    x, y = _set(rows[0][1]), _set(rows[20][1])
+    assert 80 * len(x | y) <= 100 * len(x & y) < 85 * len(x | y)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in P.near_dedup_stage(spark, df, SF_CHECK).collect()) == list(range(0, 40, 2))
+    assert near_dup.near_duplicates(df).where("kept").count() == 40
+
+
 def test_empty(nothing):
     assert near_dup.near_duplicates(nothing).collect() == []
     assert near_dup.drop_near_duplicates(nothing).collect() == []

@@ -9,10 +9,11 @@ compared with one another. Wherever a region holds more than that, its pivot (th
 whose paths are the most crowded in all trees, in a family of copies the text that they come
 from) is compared with every node of the region, at every depth. So a family of copies costs
 work in proportion to its nodes, and a copy that resembles only the original meets it.
-A region that is crowded at the greatest depth is then completed: its nodes that are not yet
-in the region's largest component are compared with all its nodes of other components, but for
+A region that is crowded at depth ``BASE`` is then completed: its nodes that are not yet in
+the region's largest component are compared with all its nodes of other components, but for
 pairs that their own shingles rule out, so that no crowd loses a link that would join two
-components.
+components. The components are thus those of all pairs that share ``BASE`` places in some
+tree, whatever ``LEAF`` is: it only decides how many links are found before the completion.
 
 Candidates whose signatures agree in fewer than ``LEAST_AGREEMENT`` of the places are
 left out (over four standard deviations below the threshold); the others are confirmed
@@ -130,7 +131,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def candidate_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes(node, keys)`` -> distinct pairs ``(a, b)``, a < b, that the forest proposes, and
-    ``(node, region, size)`` of the regions that are crowded at the greatest depth."""
+    ``(node, region, size)`` of the regions that are crowded where they are entered."""
     n = len(LEVELS)
     k = [f"k{d}" for d in LEVELS]
     rows = nodes.select("node", F.explode(F.expr(
@@ -162,7 +163,7 @@ def candidate_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = leaves.select(F.explode(F.expr(
         "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as node, y as other))))")
     ).alias("e")).select("e.node", "e.other")
-    crowded = placed.where(F.col(f"c{DEPTH}") > LEAF).select("node", F.col(k[-1]).alias("region"), F.col(f"c{DEPTH}").alias("size"))
+    crowded = placed.where(F.col(f"c{BASE}") > LEAF).select("node", F.col(k[0]).alias("region"), F.col(f"c{BASE}").alias("size"))
     return _ordered(pairs.unionByName(pivots)), crowded
 
 

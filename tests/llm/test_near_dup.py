@@ -86,6 +86,17 @@ def test_completion_of_crowded_regions(spark):
     assert near_dup.unlinked_in_crowds(crowded.limit(0), found).collect() == []
 
 
+def test_pairs_that_part_below_a_crowded_entry_still_meet(spark):
+    """Nodes that share one crowded region where regions are entered, and nothing deeper."""
+    n, levels = 3 * near_dup.LEAF, len(near_dup.LEVELS)
+    rows = [(i, [7 if k == 0 else 1000 * (i + 1) + k for k in range(near_dup.TREES * levels)]) for i in range(n)]
+    pairs, crowded = near_dup.candidate_links(spark.createDataFrame(rows, "node long, keys array<long>"))
+    assert {tuple(r) for r in crowded.collect()} == {(i, 7, n) for i in range(n)}
+    alone = spark.createDataFrame([], "node long, component long")
+    every = {(a, b) for b in range(n) for a in range(b)}
+    assert {tuple(r) for r in near_dup.unlinked_in_crowds(crowded, alone).collect()} == every
+
+
 def test_own_shingles_rule_out_no_link(spark):
     """With the bound, every link between components is still met, and pairs beyond it are not."""
     base = [f"w{i}" for i in range(200)]

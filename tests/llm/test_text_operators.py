@@ -227,6 +227,14 @@ def test_disclosing_terms(spark):
     assert words[103] == words[104] == [] and got[0] == []
 
 
+def test_a_document_counts_once_however_many_contexts_it_has(spark):
+    """One long document with an address in many contexts beside an ordinary word."""
+    long = " ".join(f"note{i} from ann@x.org sent{i} " + "z " * 70 for i in range(40))
+    rows = [(0, long)] + [(i, f"from place {i}") for i in range(1, 21)] + [(i, f"other {i}") for i in range(21, 200)]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert "from" not in {long[t["start"]:t["end"]] for t in got[0]["terms"]}  # log2(200 / 21) / log2(200) = 0.43
+
+
 def test_sanitise(spark, odd, nothing):
     rows = [(1000 + i, t) for i, t in _told()] + ROWS + TRICKY
     before, table = dict(rows), docs(spark, rows)

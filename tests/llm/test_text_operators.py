@@ -235,6 +235,12 @@ def test_a_document_counts_once_however_many_contexts_it_has(spark):
     assert "from" not in {long[t["start"]:t["end"]] for t in got[0]["terms"]}  # log2(200 / 21) / log2(200) = 0.43
 
 
+def test_an_identifier_of_every_document_is_not_disclosed(spark):
+    for rows in ([(i, f"row {i} footer{i % 2} mail ann@x.org now") for i in range(6)], [(1, "mail ann@x.org here, mail ann@x.org there")]):
+        assert [r["terms"] for r in pii.find_personal_data(docs(spark, rows)).collect()] == [[]] * len(rows)
+        assert not [r for r in pii.sanitise(docs(spark, rows)).collect() if "[TERM]" in r["text"] or "[EMAIL]" not in r["text"]]
+
+
 def test_sanitise(spark, odd, nothing):
     rows = [(1000 + i, t) for i, t in _told()] + ROWS + TRICKY
     before, table = dict(rows), docs(spark, rows)

@@ -227,6 +227,21 @@ def test_disclosing_terms(spark):
     assert words[103] == words[104] == [] and got[0] == []
 
 
+def test_disclosing_terms_go_from_whole_texts(spark):
+    """'zanzibar' beside the address, far from it, and in a text with another identifier; 'quagga' only ever far."""
+    far = " ".join(["word"] * 40)
+    rows = [(i, f"the note {i} has the word") for i in range(60)]
+    rows += [(100, f"the Zanzibar agent ann@x.org left {far} zanzibar {far} quagga"), (101, f"quagga {far} 😀 the agent ann@x.org of zanzibar"),
+             (102, f"zanzibar {far} mail bob@y.org")]
+    got = {r["doc_id"]: [t["start"] for t in r["terms"]] for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    for i, text in rows[60:]:
+        for word in ("zanzibar", "quagga"):
+            at = [m.start() for m in re.finditer(word, text.lower())]
+            assert set(at) <= set(got[i]), (i, word)
+    left = " ".join(r["text"] for r in pii.sanitise(docs(spark, rows)).where("doc_id >= 100").collect()).lower()
+    assert "zanzibar" not in left and "quagga" not in left and "word" in left
+
+
 def test_a_document_counts_once_however_many_contexts_it_has(spark):
     """One long document with an address in many contexts beside an ordinary word."""
     long = " ".join(f"note{i} from ann@x.org sent{i} " + "z " * 70 for i in range(40))

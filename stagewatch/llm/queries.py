@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from stagewatch.sources.tables import read_table
 
-from . import (ann, licenses, near_dup, packing, pii, quality, sentencepieces, token_counts, topk, url_filter)
+from . import (ann, conversations, embedding_dedup, licenses, near_dup, packing, pii, quality, sentencepieces, token_counts, topk,
+               url_filter, whitening)
 
 QUERIES, ORACLE = {}, {}
 
@@ -87,3 +88,19 @@ def op9_top_products(spark, sf_dir):
 @_query()
 def op10_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op11_conversation_repair(spark, sf_dir):
+    rows = conversations.damage(read_table(spark, sf_dir, "conversations"))
+    return conversations.repair_digests(rows, conversations.plan_repairs(rows))
+
+
+@_query()
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@_query()
+def op13_embedding_near_duplicates(spark, sf_dir):
+    return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))

@@ -1,0 +1,178 @@
+import numpy as np
+import pytest
+from conftest import SF_CHECK
+from corpus import components
+from stagewatch.llm import embedding_dedup, queries, whitening
+from stagewatch.sources.tables import read_table
+
+INF, NAN = float("inf"), float("nan")
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr(
+        "*", "'x' as v", "1 as id", "0 as links", "3 as d", "4 as least", "'y' as x")
+
+
+def _usable(rows):
+    return [(i, np.array(v, float)) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
+
+
+def check_whitening(rows, got, components=16):
+    live = _usable(rows)
+    want = {}
+    for d in {len(v) for _, v in live}:
+        x = np.array([[int(np.floor(64 * c)) + 1_000_000 for c in v] for _, v in live if len(v) == d])
+        fit = np.unique(x, axis=0)
+        n, sums = len(fit), fit.sum(axis=0)
+        a = fit - sums / n
+        e, q = np.linalg.eigh(a.T @ a / n)
+        e, q = e[::-1], q[:, ::-1]
+        want[d] = n, sums, e, q[:, e > 1e-9 * max(e[0], 1e-300)][:, :components]
+    by = {}
+    for r in got:
+        by.setdefault((r["vec_id"], r["deviation"]), []).append(r)
+    white = {d: [] for d in want}
+    total = 0
+    for i, v in live:
+        d = len(v)
+        n, sums, e, q = want[d]
+        x = np.array([int(np.floor(64 * c)) + 1_000_000 for c in v])
+        deviation = sum(int(t) ** 2 for t in n * x - sums)
+        k = q.shape[1]
+        total += k
+        if not k:
+            continue
+        mine = sorted(by[i, deviation], key=lambda r: r["component"])
+        mine = mine[::len(mine) // k]          # repeated rows
+        assert [r["component"] for r in mine] == list(range(1, k + 1)) and {r["n"] for r in mine} == {n}
+        assert np.allclose([r["explained"] for r in mine], e[:k] / e.sum(), rtol=1e-9)
+        assert all(r["identity_error"] <= 1e-9 for r in mine)
+        white[d].append(((x - sums / n) @ q / np.sqrt(e[:k]), [r["whitened"] for r in mine], e[:k]))
+    assert total == len(got)
+    for some in white.values():
+        if some:
+            own, theirs = (np.array([s[j] for s in some]) for j in (0, 1))
+            e = some[0][2]
+            for c in range(own.shape[1]):
+                if (np.abs(np.delete(e, c) - e[c]) > 1e-6 * e[0]).all():     # a direction of its own
+                    assert np.allclose(own[:, c], np.sign((own[:, c] * theirs[:, c]).sum()) * theirs[:, c], atol=1e-7)
+            assert np.allclose((own ** 2).sum(axis=1), (theirs ** 2).sum(axis=1), atol=1e-7) or len(e) == 16
+
+
+def test_whitening(spark):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((300, 20)) * np.linspace(0.3, 3, 20)
+    v[50:120] = v[50]
+    rows = [(int(i), x.tolist()) for i, x in enumerate(v)]
+    rows += [(50, v[50].tolist()), (None, v[1].tolist()), (2000, None), (2001, []), (2003, [NAN] * 20), (2004, [INF] * 20), (2005, [None] * 20),
+             (2006, [1.0, None]), (3000, [1.0, 2.0]), (3001, [4.0, 2.5]), (3002, [0.0, 7.0]), (3003, [9.0])]
+    check_whitening(rows, whitening.whiten(_frame(spark, rows)).collect())
+
+
+def test_whitening_of_low_rank_and_repeated_deviations(spark):
+    rng = np.random.default_rng(2)
+    flat = rng.integers(-300, 300, (200, 3)) @ rng.integers(-3, 4, (3, 8)) / 64.0
+    even = [s * 2.0 * np.eye(6)[i] for i in range(6) for s in (1, -1)]       # one deviation six times
+    for vectors in (flat, even):
+        rows = [(i, list(map(float, x))) for i, x in enumerate(vectors)]
+        check_whitening(rows, whitening.whiten(_frame(spark, rows)).collect())
+
+
+def test_whitening_without_rows_or_variance(spark):
+    assert whitening.whiten(_frame(spark, [])).collect() == []
+    assert whitening.whiten(_frame(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).collect() == []
+
+
+def test_whitening_beyond_longs(spark):
+    rows = [(1, [1e12, 0.0]), (2, [-1e12, 1.0]), (3, [5e11, 2.0]), (4, [1e300, 1.0])]
+    got = whitening.whiten(_frame(spark, rows)).collect()
+    assert {r["vec_id"] for r in got} == {1, 2, 3, 4} and {r["deviation"] for r in got} == {None}
+
+
+def test_whitening_of_the_table(spark):
+    table = read_table(spark, SF_CHECK, "embeddings")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    check_whitening(rows, queries.op12_whitening(spark, SF_CHECK).collect())
+
+
+def near(rows, threshold=0.9):
+    """The expected rows, in the order of ``rows``, by comparing all pairs."""
+    live = [k for k, (i, v) in enumerate(rows) if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    links = []
+    for d in {len(rows[k][1]) for k in live}:
+        some = [k for k in live if len(rows[k][1]) == d]
+        x = np.array([rows[k][1] for k in some], float)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a, b = np.nonzero(x @ x.T >= threshold)
+        links += [(some[i], some[j]) for i, j in zip(a.tolist(), b.tolist()) if i != j]
+    n = np.bincount([a for a, _ in links], minlength=len(rows))
+    root = components(range(len(rows)), links)
+    least = {}
+    for k, r in root.items():
+        if rows[k][0] is not None:
+            least[r] = min(least.get(r, rows[k][0]), rows[k][0])
+    return [(i, int(n[k]), least.get(root[k]), i is None or i == least[root[k]]) for k, (i, _) in enumerate(rows)]
+
+
+def _crowds(seed=4, d=24, plain=500, crowd=220):
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((plain, d))
+    v[100:140] = v[100]                                                     # copies
+    v[200:230] = v[150:180] + 0.05 * rng.standard_normal((30, d))           # pairs
+    hub = rng.standard_normal(d) + 0.18 * rng.standard_normal((crowd, d))   # a crowd, some of it at the threshold
+    return np.concatenate([v, hub])
+
+
+@pytest.fixture
+def small_shards(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 200)
+    monkeypatch.setattr(embedding_dedup, "BATCH", 64)
+
+
+def test_near_vectors(spark, small_shards):
+    v = _crowds()
+    d = v.shape[1]
+    rows = [(int(i) + 7, x.tolist()) for i, x in enumerate(v)]
+    rows += [(7, v[3].tolist()), (7, v[0].tolist()), (None, v[1].tolist()), (9000, None), (9001, []), (9002, [0.0] * d), (9003, [NAN] * d),
+             (9004, [INF] * d), (9005, [None] * d), (9006, [1.0, 2.0]), (9007, [1.0, 2.1]), (9008, [3.0]), (9009, [1e-200] * 2), (9010, [2e200] * 2)]
+    key = lambda r: str(tuple(r))
+    got = embedding_dedup.near_duplicate_vectors(_frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(near(rows), key=key)
+
+
+def test_near_vectors_without_rows(spark):
+    assert embedding_dedup.near_duplicate_vectors(_frame(spark, [])).collect() == []
+    assert [tuple(r) for r in embedding_dedup.near_duplicate_vectors(_frame(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]
+
+
+def test_a_graph_finds_what_it_holds():
+    x = embedding_dedup._units(_crowds(plain=3000, crowd=600, d=48))
+    order = np.random.default_rng(0).permutation(len(x))
+    graph = embedding_dedup.Graph.build(x[order].astype(np.float32), embedding_dedup._levels(len(x), 1))
+    q, x = x[order], x[order]
+    rows, ids = embedding_dedup._links(graph, q, x, embedding_dedup.BEAM, 0.9)
+    true = int((q @ x.T >= 0.9).sum())
+    assert (np.einsum("ij,ij->i", q[rows], x[ids]) >= 0.9).all() and len(set(zip(rows.tolist(), ids.tolist()))) == len(rows)
+    assert len(rows) >= 0.98 * true
+    widths = (graph.levels >= 1).sum(), len(graph.layers[1])
+    assert widths[0] == widths[1] < len(x) / 8          # layers thin out
+
+
+def test_beams_widen_until_the_audit_passes(monkeypatch):
+    """With hardly any neighbours the narrow beams miss links; the audit notices."""
+    monkeypatch.setattr(embedding_dedup, "DEGREE", 2)
+    monkeypatch.setattr(embedding_dedup, "BUILD_BEAM", 4)
+    x = embedding_dedup._units(_crowds(plain=2000, crowd=100, d=48))
+    graph = embedding_dedup.Graph.build(x.astype(np.float32), embedding_dedup._levels(len(x), 1))
+    assert embedding_dedup._audited(graph, x, x, 0.9, True) > embedding_dedup.BEAM
+
+
+def test_recall_over_the_hot_table(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in read_table(spark, "/root/testdata/check_s", "embeddings").collect()]
+    got = {r["vec_id"]: tuple(r) for r in queries.op13_embedding_near_duplicates(spark, "/root/testdata/check_s").collect()}
+    want = {r[0]: r for r in near(rows)}
+    assert got.keys() == want.keys()
+    assert all(got[i][1] <= want[i][1] for i in want)
+    assert sum(g[1] for g in got.values()) >= 0.99 * sum(w[1] for w in want.values())
+    assert sum(got[i][2:] == want[i][2:] for i in want) >= 0.99 * len(want)

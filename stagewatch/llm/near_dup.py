@@ -9,24 +9,25 @@ compared with one another. Wherever a region holds more than that, its pivot (th
 whose paths are the most crowded in all trees, in a family of copies the text that they come
 from) is compared with every node of the region, at every depth. So a family of copies costs
 work in proportion to its nodes, and a copy that resembles only the original meets it.
-A region that is crowded at depth ``BASE`` is then completed: its nodes that are not yet in
-the region's largest component are compared with all its nodes of other components, but for
-pairs that their own shingles rule out, so that no crowd loses a link that would join two
-components. The components are thus those of all pairs that share ``BASE`` places in some
-tree, whatever ``LEAF`` is: it only decides how many links are found before the completion.
-
-Candidates whose signatures agree in fewer than ``LEAST_AGREEMENT`` of the places are
-left out (over four standard deviations below the threshold); the others are confirmed
-on the full sets, and the confirmed links give the components.
+A region that is crowded at depth ``BASE`` is then completed across components: of each member's shingles,
+the rarest among all members come first, and two sets that are linked share one of the first
+``n - ceil(threshold * n) + 1``. Members of different components meet where they share such a shingle, if
+their sizes and the shingle's places leave room for a link. All these bounds are exact, so crowding costs no
+link; what a crowd has in common stands behind everyone's first shingles and brings nobody together.
+
+Candidates of the forest whose signatures agree in fewer than ``MARGIN`` below the threshold of the places
+are left out; a link is lost so with a probability of 4e-7 at a similarity of 0.85, and of 5e-6
+at 0.80 where that is the threshold. All others are confirmed on the full sets, and the
+confirmed links give the components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_and_text, stored
@@ -38,8 +39,8 @@ TREES = 20
 BASE, DEPTH = 4, 8    # path length at which regions are entered, and the longest
 LEVELS = range(BASE, DEPTH + 1)
 LEAF = 8
-BLOCK = 1024          # nodes of a crowded region that one task's key holds in its completion
-MARGIN = 0.14         # of the share of agreeing places, over 4.5 standard deviations at 160 places
+BLOCK = 1024          # holders of one shingle that one task's key holds in the completion
+MARGIN = 0.14         # of the share of agreeing places, 4.4 standard deviations at 160 places or more
 SEED = 20240607
 
 _CHUNK = 4096
@@ -131,7 +132,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def candidate_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``nodes(node, keys)`` -> distinct pairs ``(a, b)``, a < b, that the forest proposes, and
-    ``(node, region, size)`` of the regions that are crowded where they are entered."""
+    ``(node, region)`` of the regions that are crowded where they are entered."""
     n = len(LEVELS)
     k = [f"k{d}" for d in LEVELS]
     rows = nodes.select("node", F.explode(F.expr(
@@ -163,7 +164,7 @@ def candidate_links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = leaves.select(F.explode(F.expr(
         "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as node, y as other))))")
     ).alias("e")).select("e.node", "e.other")
-    crowded = placed.where(F.col(f"c{BASE}") > LEAF).select("node", F.col(k[0]).alias("region"), F.col(f"c{BASE}").alias("size"))
+    crowded = placed.where(F.col(f"c{BASE}") > LEAF).select("node", F.col(k[0]).alias("region"))
     return _ordered(pairs.unionByName(pivots)), crowded
 
 
@@ -173,61 +174,60 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     shingles = Shingles(words)
     for b in batches:
-        ids, held, rows = [], [], 0
-        for i, (node, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1)), 1):
-            h = shingles(text.as_py()).view(np.int64)
-            ids.append(np.full(len(h), node, np.int64))
-            held.append(h)
+        sets, held, rows = [], [], 0
+        for i, text in enumerate(b.column(0), 1):
+            h = shingles(text.as_py())
+            sets.append(np.full(len(h), xxhash.xxh3_64_intdigest(h.tobytes()) - 2**63, np.int64))
+            held.append(h.view(np.int64))
             rows += len(h)
             if rows >= _FLUSH or i == b.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(held))], ["node", "h"])
-                ids, held, rows = [], [], 0
-
-
-def _own_shingles(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``members(node)`` -> ``(node, n, own)``: the size of the node's set, and how many of its shingles
-    no other member holds. ``n`` is null for a doc_id of several texts, which has no one set."""
-    texts = id_and_text(docs).join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).select("doc_id", "text")
-    own = (texts.mapInArrow(lambda it: _shingle_rows(it, words), "node long, h long")
-           .groupBy("h").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-           .groupBy("node").agg(F.count("*").alias("own")))
-    one = texts.groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("texts"))
-    return (nodes.select("node", "n_shingles").join(members, "node", "left_semi")
-            .groupBy("node").agg(F.max("n_shingles").alias("n")).join(one, "node").join(own, "node", "left")
-            .select("node", F.when(F.col("texts") == 1, F.col("n")).alias("n"), F.coalesce("own", F.lit(0)).alias("own")))
-
-
-def unlinked_in_crowds(crowded: DataFrame, found: DataFrame, percent: int = PERCENT,
-                       own: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Pairs of one crowded region in different components, one of them outside the region's
-    largest. A region is met in blocks of about ``BLOCK`` nodes; one component: no pairs.
-
-    ``own`` gives the ``(node, n, own)`` of the nodes met (``_own_shingles``); without it no pair is
-    ruled out. Two sets share no more than either has besides its own shingles, so a pair that
-    this bound keeps below the threshold is no link, and a node that it keeps below with any
-    partner is not met at all. A pair is made in one of the regions that it shares."""
-    placed = stored(crowded.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "crowded")
-    parts = (placed.groupBy("region", "component").agg(F.count("*").alias("n"))
-             .groupBy("region").agg(F.max(F.struct("n", -F.col("component"))).alias("largest"), F.count("*").alias("parts"))
-             .where("parts > 1").select("region", (-F.col("largest.col2")).alias("largest")))
-    placed = stored(placed.join(parts, "region"), "parted")
-    # At most one region a tree (a doc_id of several texts: one a tree and text).
-    regions = placed.groupBy("node").agg(F.collect_set("region").alias("regions"))
-    members = placed.select("node").distinct()
-    sets = own(members) if own else members.select("node", F.lit(None).cast("long").alias("n"), F.lit(0).cast("long").alias("own"))
-    bounds = stored(sets.where(F.expr(f"n is null or 100 * (n - own) >= {percent} * n")).join(regions, "node"), "bounds")
-    placed = placed.join(bounds, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    outside = placed.where("component != largest").select(
-        "region", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-        *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "n", "own", "regions")])
-    held = placed.select("region", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "component", "n", "own", "regions")
-    most = "least(n - own, o_n - o_own)"
-    return _ordered(held.join(outside, ["region", "block"]).where(
-        f"component != o_component and (n is null or o_n is null or 100 * {most} >= {percent} * (n + o_n - {most}))"
-        " and array_min(array_intersect(regions, o_regions)) = region").select("node", F.col("o_node").alias("other")))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.concatenate(held))], ["fp1", "h"])
+                sets, held, rows = [], [], 0
+
+
+def _first_shingles(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``sets(fp1, n)`` -> ``(fp1, h, at)``: the shared ones of each set's first shingles, rarest first, and their places."""
+    ids = sets.select(F.col("node").alias("doc_id")).distinct()
+    texts = id_and_text(docs).join(ids, "doc_id", "left_semi").select("text").distinct()
+    rows = texts.mapInArrow(lambda it: _shingle_rows(it, words), "fp1 long, h long").join(sets.select("fp1").distinct(), "fp1", "left_semi")
+    rows = stored(rows, "member-shingles")
+    counts = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # Shingles that no other member holds come before all others and meet nobody: their number is what n exceeds the others by.
+    order = Window.partitionBy("fp1").orderBy("c", "h")
+    placed = (rows.join(counts, "h").withColumn("rank", F.dense_rank().over(order)).withColumn("shared", F.max("rank").over(Window.partitionBy("fp1")))
+              .join(sets.groupBy("fp1").agg(F.max("n").alias("n")), "fp1"))
+    return placed.select("fp1", "h", (F.col("n") - F.col("shared") + F.col("rank") - 1).alias("at"), "n").where(
+        f"at <= n - ceil({percent} * n / 100)").select("fp1", "h", "at").distinct()
+
+
+def links_across(crowded: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes in different components that may be linked, of those in crowded regions that hold
+    several components: all that share one of their first shingles, but for those that sizes and places rule out.
+
+    ``crowded(node, region)``; ``found(node, component)``, a node without one being its own; ``nodes(node, fp1,
+    n_shingles)``, several rows where a doc_id has several texts. A shingle with holders of one component
+    brings none together. Otherwise the holders outside its largest component meet all of other components, in
+    blocks of about ``BLOCK`` holders."""
+    placed = stored(crowded.join(found, "node", "left").select("region", "node", F.coalesce("component", "node").alias("component")), "crowded")
+    mixed = placed.groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("region")
+    members = placed.join(mixed, "region", "left_semi").select("node", "component").distinct()
+    sets = stored(members.join(nodes.select("node", "fp1", F.col("n_shingles").alias("n")), "node"), "members")
+    held = stored(_first_shingles(sets, docs, words, percent).join(sets, "fp1"), "first-shingles")
+    parts = (held.groupBy("h", "component").agg(F.count("*").alias("c"))
+             .groupBy("h").agg(F.max(F.struct("c", -F.col("component"))).alias("largest"), F.count("*").alias("parts"), F.sum("c").alias("size"))
+             .where("parts > 1").select("h", (-F.col("largest.col2")).alias("largest"), F.ceil(F.col("size") / BLOCK).alias("blocks")))
+    held = held.join(parts, "h")
+    outside = held.where("component != largest").select(
+        "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
+        *[F.col(c).alias(f"o_{c}") for c in ("node", "component", "n", "at")])
+    held = held.select("h", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "component", "n", "at")
+    return _ordered(held.join(outside, ["h", "block"]).where(
+        f"component != o_component and {percent} * greatest(n, o_n) <= 100 * least(n, o_n)"
+        f" and least(n - at, o_n - o_at) * (100 + {percent}) >= {percent} * (n + o_n)").select("node", F.col("o_node").alias("other")))
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -251,12 +251,15 @@ def _confirmed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> I
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose signatures agree enough and whose full sets are then confirmed."""
-    left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    least = percent / 100 - MARGIN
-    pairs = stored(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-                   .mapInArrow(lambda it: _agreeing(it, least), "a long, b long").distinct(), "pairs")
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int, exact: bool = False) -> DataFrame:
+    """The pairs that the full sets confirm; of those not ``exact`` (already bounded by shingles) only such whose
+    signatures agree enough."""
+    if not exact:
+        left, right = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
+        least = percent / 100 - MARGIN
+        pairs = (pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+                 .mapInArrow(lambda it: _agreeing(it, least), "a long, b long").distinct())
+    pairs = stored(pairs, "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = id_and_text(docs).join(wanted, "doc_id", "left_semi")
@@ -278,7 +281,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"))
     in_class = named.select("doc_id", "fp1", "fp2").distinct().join(classes, ["fp1", "fp2"])
     nodes = stored(named.join(classes.withColumnRenamed("node", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi")
-                   .dropDuplicates(["fp1", "fp2"]).select(F.col("doc_id").alias("node"), "n_shingles", "sketch", "keys"), "nodes")
+                   .dropDuplicates(["fp1", "fp2"]).select(F.col("doc_id").alias("node"), "fp1", "n_shingles", "sketch", "keys"), "nodes")
 
     pairs, crowded = candidate_links(nodes.select("node", "keys"))
     links = _links(pairs, nodes, docs, words, percent)
@@ -289,8 +292,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     found = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(shared))
 
     # What crowded regions still keep apart: links between components.
-    apart = unlinked_in_crowds(crowded, found, percent, lambda members: _own_shingles(members, nodes, docs, words))
-    more = _links(apart, nodes, docs, words, percent)
+    more = _links(links_across(crowded, found, nodes, docs, words, percent), nodes, docs, words, percent, exact=True)
     of_a, of_b = (found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     joined = connected_components(more.join(of_a, "a", "left").join(of_b, "b", "left").select(
         F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))

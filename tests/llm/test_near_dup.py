@@ -74,51 +74,95 @@ def test_crowd_without_a_hub_keeps_its_links(spark):
     _check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
-def test_completion_of_crowded_regions(spark):
-    """All pairs of different components with one outside the largest, in many blocks; none elsewhere."""
-    n = 5 * near_dup.BLOCK
-    crowded = spark.range(n).selectExpr("id as node", "7L as region", f"cast({n} as long) as size").unionByName(
-        spark.createDataFrame([(n + 1, 8, 9), (n + 2, 8, 9)], "node long, region long, size long"))
-    found = spark.range(n - 3).selectExpr("id as node", "0L as component").unionByName(
-        spark.createDataFrame([(n - 3, n - 3), (n - 2, n - 3), (n + 1, n + 1), (n + 2, n + 1)], "node long, component long"))
-    got = {tuple(r) for r in near_dup.unlinked_in_crowds(crowded, found).collect()}
-    assert got == {(a, b) for b in (n - 3, n - 2, n - 1) for a in range(b) if (a, b) != (n - 3, n - 2)}
-    assert near_dup.unlinked_in_crowds(crowded.limit(0), found).collect() == []
-
-
-def test_pairs_that_part_below_a_crowded_entry_still_meet(spark):
-    """Nodes that share one crowded region where regions are entered, and nothing deeper."""
-    n, levels = 3 * near_dup.LEAF, len(near_dup.LEVELS)
-    rows = [(i, [7 if k == 0 else 1000 * (i + 1) + k for k in range(near_dup.TREES * levels)]) for i in range(n)]
-    pairs, crowded = near_dup.candidate_links(spark.createDataFrame(rows, "node long, keys array<long>"))
-    assert {tuple(r) for r in crowded.collect()} == {(i, 7, n) for i in range(n)}
-    alone = spark.createDataFrame([], "node long, component long")
-    every = {(a, b) for b in range(n) for a in range(b)}
-    assert {tuple(r) for r in near_dup.unlinked_in_crowds(crowded, alone).collect()} == every
+def _crowd(spark, texts, regions=None):
+    """The frames that the completion takes, all texts in one crowded region and apart."""
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    nodes = near_dup.signatures(docs).selectExpr("doc_id as node", "fp1", "n_shingles")
+    crowded = spark.createDataFrame(regions or [(i, 7) for i in {i for i, _ in texts}], "node long, region long")
+    return docs, nodes, crowded
 
 
-def test_own_shingles_rule_out_no_link(spark):
-    """With the bound, every link between components is still met, and pairs beyond it are not."""
+def _pairs_of(texts, percent):
+    sets = {}
+    for i, t in texts:
+        sets.setdefault(i, set()).add(frozenset(_set(t)))
+    ids = sorted(sets)
+    return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1:]
+            if any(100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b])}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_completion_loses_no_link(spark, percent):
+    """Texts at all similarities around the threshold, a doc_id of two texts, some already joined."""
     base = [f"w{i}" for i in range(200)]
-    rows = [(1, " ".join(base))]
+    texts = [(1, " ".join(base)), (61, "a b c d e f"), (61, "g h i j k l"), (62, "g h i j k l m"), (63, "a b c d e f g")]
     for c in range(2, 60):
         w = list(base)
         for e in range(c % 12):
             w[(c * 37 + e * 17) % 200] = f"own{c}x{e}"
-        rows.append((c, " ".join(w)))
-    rows.append((60, rows[0][1] + " more"))
-    rows += [(61, "a b c d e f"), (61, "g h i j k l")]  # one id, two texts: never ruled out
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = near_dup.signatures(docs).selectExpr("doc_id as node", "n_shingles")
-    crowded = spark.createDataFrame([(i, r, 61) for i in range(1, 62) for r in (7, 8)], "node long, region long, size long")
-    found = spark.createDataFrame([(1, 1), (60, 1)], "node long, component long")
-    every = {tuple(r) for r in near_dup.unlinked_in_crowds(crowded, found).collect()}
-    got = {tuple(r) for r in near_dup.unlinked_in_crowds(
-        crowded, found, 85, lambda members: near_dup._own_shingles(members, nodes, docs, 5)).collect()}
-    sets = dict((i, _set(t)) for i, t in rows if i != 61)
-    links = {(a, b) for a, b in every if b != 61 and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
-    assert links and links <= got < every
-    assert {(1, 61), (60, 61)} <= got
+        texts.append((c, " ".join(w)))
+    docs, nodes, crowded = _crowd(spark, texts)
+    found = spark.createDataFrame([(1, 1), (5, 1), (13, 1), (20, 20), (21, 20)], "node long, component long")
+    part = lambda i: {5: 1, 13: 1, 21: 20}.get(i, i)
+    got = {tuple(r) for r in near_dup.links_across(crowded, found, nodes, docs, 5, percent).collect()}
+    want = {(a, b) for a, b in _pairs_of(texts, percent) if part(a) != part(b)}
+    assert want and want <= got and all(part(a) != part(b) for a, b in got)
+    assert len(got) < 59 * 58 / 2 and len(want) < len(got) * 3
+
+
+def test_completion_of_regions_apart(spark):
+    """No pairs where every region is one component; none in an empty table."""
+    texts = [(i, " ".join(f"w{j}" for j in range(100)) + f" tail{i}") for i in range(20)]
+    docs, nodes, crowded = _crowd(spark, texts)
+    one = spark.createDataFrame([(i, 0) for i in range(20)], "node long, component long")
+    none = spark.createDataFrame([], "node long, component long")
+    assert near_dup.links_across(crowded, one, nodes, docs).collect() == []
+    assert near_dup.links_across(crowded.limit(0), none, nodes, docs).collect() == []
+    assert {tuple(r) for r in near_dup.links_across(crowded, none, nodes, docs).collect()} == _pairs_of(texts, 85)
+
+
+def test_completion_in_blocks(spark, monkeypatch):
+    """Holders of one shingle in several blocks meet all the same."""
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    texts = [(i, " ".join(f"w{j}" for j in range(60)) + f" tail{i}") for i in range(60)]
+    docs, nodes, crowded = _crowd(spark, texts)
+    found = spark.createDataFrame([(i, 0 if i < 50 else 50 + i % 2) for i in range(60)], "node long, component long")
+    got = {tuple(r) for r in near_dup.links_across(crowded, found, nodes, docs).collect()}
+    part = lambda i: 0 if i < 50 else 50 + i % 2
+    assert got == {(a, b) for b in range(60) for a in range(b) if part(a) != part(b)}
+
+
+@pytest.mark.parametrize("copies", [False, True])
+def test_completion_grows_with_the_crowd(spark, copies):
+    """Texts of one template, at 0.72 with one another, each second one with a near copy: candidates in
+    proportion to the texts, not to their pairs."""
+
+    def texts(n):
+        out = []
+        for c in range(n):
+            w = [f"w{i}" for i in range(300)]
+            for e in range(10):
+                w[(c // 2 * 31 + e * 29) % 300] = f"own{c // 2 if copies else c}x{e}"
+            if copies and c % 2:
+                w[(c * 7) % 300] = f"twin{c}"
+            out.append((c, " ".join(w)))
+        return out
+
+    none = spark.createDataFrame([], "node long, component long")
+    counts = {}
+    for n in (60, 240):
+        docs, nodes, crowded = _crowd(spark, texts(n))
+        counts[n] = near_dup.links_across(crowded, none, nodes, docs).count()
+    assert counts[240] <= 240 and counts[240] <= 5 * max(counts[60], 1)
+    assert not copies or counts[240] >= 120
+
+
+def test_pairs_that_part_below_a_crowded_entry_are_crowded(spark):
+    """Nodes that share one crowded region where regions are entered, and nothing deeper."""
+    n, levels = 3 * near_dup.LEAF, len(near_dup.LEVELS)
+    rows = [(i, [7 if k == 0 else 1000 * (i + 1) + k for k in range(near_dup.TREES * levels)]) for i in range(n)]
+    pairs, crowded = near_dup.candidate_links(spark.createDataFrame(rows, "node long, keys array<long>"))
+    assert {tuple(r) for r in crowded.collect()} == {(i, 7) for i in range(n)}
 
 
 def test_stage_keeps_one_of_each_group(odd):

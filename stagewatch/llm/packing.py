@@ -39,19 +39,24 @@ class Encoder:
 
     def __init__(self, path: str):
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.path, self.exact = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         with open(path.removesuffix(".json") + ".tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
         if any(s in text for s in self.special):
+            if self.exact is None:  # most tasks never need it
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -77,11 +82,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, keep_id
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start:start + length]
                     for c, v in zip(cols, (doc_id, k, start, length, crc32_of(own), part, int(seen[length]),
-                                           own.astype(np.int64) if keep_ids else None)):
+                                           own.astype(np.int32) if keep_ids else None)):
                         c.append(v)
                     seen[length] += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.list_(pa.int64())))],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.list_(pa.int32())))],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"])
 
 
@@ -89,7 +94,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
     """Pieces of all documents, each with its partition and its number there among pieces of its length."""
     return id_and_text(docs).mapInArrow(
         lambda it: _pieces(it, path, capacity, keep_ids),
-        "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids array<long>")
+        "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long, ids array<int>")
 
 
 class _Sums:

@@ -33,6 +33,7 @@ _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 0, 1, 1, 2
 _CLASS[[ord(c) for c in ".,;:'?-\"()"]] = 3
 _CLASS[[9, 10, 11, 12, 13, 32]] = 4
 _FEATURES = 12
+LINES = 1 << 14         # lines scored together, or those of one text
 
 
 def line_features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -121,14 +122,24 @@ def _grouped(lengths: np.ndarray, cells: int = 1 << 16) -> Iterator[np.ndarray]:
         i = j
 
 
-def line_marginals(chains: list[np.ndarray], model: Model) -> list[np.ndarray]:
-    """P(good) of every line of every chain of features (with neighbours)."""
-    out: list = [None] * len(chains)
-    lengths = np.array([len(c) for c in chains])
+def line_scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weights times ``with_neighbours(x)``, whose rows are not made."""
+    k = x.shape[1]
+    out = x @ weights[:k] + weights[-1]
+    out[1:] += x[:-1] @ weights[k:2 * k]
+    out[:-1] += x[1:] @ weights[2 * k:3 * k]
+    return out
+
+
+def line_marginals(scores: list[np.ndarray], model: Model) -> list[np.ndarray]:
+    """P(good) of every line of every chain of scores."""
+    out: list = [None] * len(scores)
+    lengths = np.array([len(s) for s in scores])
     for group in _grouped(lengths):
-        x, n = _padded([chains[i] for i in group])
-        s = np.zeros((*x.shape[:2], 2))
-        s[:, :, 1] = x @ model.weights
+        n = lengths[group]
+        s = np.zeros((len(group), n.max(), 2))
+        for k, i in enumerate(group):
+            s[k, :n[k], 1] = scores[i]
         m = forward_backward(s, n, model.transitions)[0]
         for k, i in enumerate(group):
             out[i] = m[k, :n[k], 1]
@@ -175,7 +186,7 @@ def fit(chains: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray) -
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad ** 2
         theta = theta + RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
     raw = Model(theta[:width], theta[width:].reshape(2, 2), 1.0, 0.0)
-    z = np.column_stack([_logit(_aggregate(line_marginals(chains, raw), sizes)), np.ones(len(chains))])
+    z = np.column_stack([_logit(_aggregate(line_marginals([x @ raw.weights for x in chains], raw), sizes)), np.ones(len(chains))])
     b = np.array([1.0, 0.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
@@ -219,26 +230,36 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                [np.frombuffer(r["sizes"], "<i8") for r in sample], np.array([r["quality"] for r in sample], float))
 
 
+def _scores(texts: pa.Array, model: Model) -> np.ndarray:
+    """Scores of whole texts (null: empty). At most ``LINES`` lines' scores wait at a time, and one text's features."""
+    scores, chains, sizes, lines = [], [], [], 0
+    for i, text in enumerate(texts, 1):
+        x, s = line_features(text.as_py() or "")
+        chains.append(line_scores(x, model.weights))
+        sizes.append(s)
+        lines += len(s)
+        if lines >= LINES or i == len(texts):
+            z = model.slope * _logit(_aggregate(line_marginals(chains, model), sizes)) + model.shift
+            scores.append(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            chains, sizes, lines = [], [], 0
+    return np.concatenate(scores) if scores else np.empty(0)
+
+
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        scores = []
-        texts = b.column(0)
-        for i in range(0, len(texts), 512):
-            chains, sizes = [], []
-            for text in texts[i:i + 512]:
-                x, s = line_features(text.as_py())
-                chains.append(with_neighbours(x))
-                sizes.append(s)
-            z = model.slope * _logit(_aggregate(line_marginals(chains, model), sizes)) + model.shift
-            scores += (1 / (1 + np.exp(-np.clip(z, -700, 700)))).tolist()
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64())], [*b.schema.names[1:], "__score"])
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(_scores(b.column(0), model), pa.float64())], ["doc_id", "__score"])
+
+
+def _good(batches: Iterator[pa.RecordBatch], text: int, model: Model) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array(_scores(b.column(text), model) >= THRESHOLD))
 
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     A null text scores as an empty one, an empty text as one empty line; equal texts score
-    equally. A null doc_id counts as held out. Other columns are ignored; no rows give no rows."""
+    equally. A long text is one chain of all its lines; it takes some 200 bytes a line. A null doc_id counts as held out. Other columns are ignored; no rows give no rows."""
     scored = (id_and_text(docs).select("text", "doc_id")
               .mapInArrow(lambda it: _score(it, model), "doc_id long, __score double"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
@@ -247,7 +268,5 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are predicted good, all columns as they were."""
-    carry = docs.select(F.coalesce(docs["text"], F.lit("")).alias("__text"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    kind = carry.schema["__row"].dataType.simpleString()
-    scored = carry.mapInArrow(lambda it: _score(it, model), f"__row {kind}, __score double")
-    return scored.where(F.col("__score") >= THRESHOLD).select("__row.*")
+    text = docs.columns.index("text")
+    return docs.mapInArrow(lambda it: _good(it, text, model), docs.schema)

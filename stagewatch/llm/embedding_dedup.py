@@ -16,16 +16,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .components import connected_components
 
 THRESHOLD = 0.9
-SHARD = 8192               # vectors of a shard, while no more than SHARDS shards come of it
+SHARD = 32768              # vectors of a shard, or fewer of long ones, while no more than SHARDS shards come of it
 SHARDS = 64
-SHARD_BYTES = 64 << 20     # of a shard's vectors: bounds it beyond that
+SHARD_BYTES = 64 << 20     # of a shard's vectors, at most
+QUERIES = 8192             # vectors of a shard that one task asks for
 DEGREE = 16                # neighbours a vector chooses; twice as many are kept on the ground layer
 BUILD_BEAM, BEAM, WIDER = 48, 32, 4
 AUDIT, RECALL = 256, 0.995 # queries of a task that are compared with the whole shard; the share of their links to be found
@@ -202,11 +203,12 @@ def _index(table: pa.Table) -> pa.Table:
 
 def _graph(table: pa.Table, x: np.ndarray) -> Graph:
     levels = table["level"].to_numpy()
-    rows = table["links"].to_pylist()
-    layers = [np.array([r[:2 * DEGREE] for r in rows], np.int32)]
+    flat = _lists(table, "links")
+    sizes = 2 * DEGREE + DEGREE * levels
+    starts = (np.cumsum(sizes) - sizes)[:, None]
+    layers = [flat[starts + np.arange(2 * DEGREE)]]
     for level in range(1, int(levels.max()) + 1):
-        at = 2 * DEGREE + DEGREE * (level - 1)
-        layers.append(np.array([rows[i][at:at + DEGREE] for i in np.flatnonzero(levels >= level)], np.int32))
+        layers.append(flat[starts[levels >= level] + 2 * DEGREE + DEGREE * (level - 1) + np.arange(DEGREE)])
     return Graph(x.astype(np.float32), levels, layers)
 
 
@@ -234,19 +236,18 @@ def _links(graph: Graph, q: np.ndarray, x: np.ndarray, width: int, least: float)
     return rows[some], ids[some]
 
 
-def _audited(graph: Graph, q: np.ndarray, x: np.ndarray, least: float, own: bool) -> int:
-    """The narrowest beam with which a sample of the queries finds ``RECALL`` of its links in the shard; where the
-    queries are the shard's own, a vector's finding itself is none."""
+def _audited(graph: Graph, q: np.ndarray, x: np.ndarray, least: float, own: np.ndarray) -> int:
+    """The narrowest beam with which a sample of the queries finds ``RECALL`` of its links in the shard. ``own``
+    places the queries in the shard (-1: not there); a vector's finding itself is no link."""
     chosen = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    sample = q[chosen]
-
-    def found(rows, ids):
-        return int((ids != chosen[rows]).sum()) if own else len(rows)
-
+    sample, own = q[chosen], own[chosen]
     rows, ids = np.nonzero(sample @ x.T >= least - SLACK)
     some = _confirmed(rows, ids, sample, x, least)
-    true, width = found(rows[some], ids[some]), BEAM
-    while width < len(x) and found(*_links(graph, sample, x, width, least)) < RECALL * true:
+    true, width = int((ids[some] != own[rows[some]]).sum()), BEAM
+    while width < len(x):
+        rows, ids = _links(graph, sample, x, width, least)
+        if (ids != own[rows]).sum() >= RECALL * true:
+            break
         width *= 2
     return width
 
@@ -277,55 +278,60 @@ def _meet(threshold: float):
     def meet(queries: pa.Table, shard: pa.Table) -> pa.Table:
         """Links between the queries (one shard's vectors) and another shard's, or within one shard."""
         none = {"id": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "star": pa.array([], pa.int64())}
-        if not shard.num_rows:
+        if not shard.num_rows or not queries.num_rows:
             return pa.table(none)
-        shard = shard.sort_by("at")
+        shard, queries = shard.sort_by("at"), queries.sort_by("id")
         d = shard["d"][0].as_py()
-        own = shard["home"][0].as_py() == shard["shard"][0].as_py()   # its own vectors come with the graph
         x, ids, weights = _units(_lists(shard, "v").reshape(-1, d)), shard["id"].to_numpy(), shard["weight"].to_numpy()
-        q, qids, qweights, shift = x, ids, weights, 0
-        if not own:
-            queries = queries.sort_by("id")
-            q, qids, qweights, shift = _units(_lists(queries, "v").reshape(-1, d)), queries["id"].to_numpy(), queries["weight"].to_numpy(), len(x)
+        q, qids, qweights = _units(_lists(queries, "v").reshape(-1, d)), queries["id"].to_numpy(), queries["weight"].to_numpy()
+        within = queries["home"][0].as_py() == shard["shard"][0].as_py()
+        own = np.full(len(q), -1)
+        if within:
+            order = np.argsort(ids)
+            own = order[np.searchsorted(ids[order], qids)]
         graph = _graph(shard, x)
         width = _audited(graph, q, x, threshold, own)
-        names = ids if own else np.concatenate([ids, qids])
-        counts, stars = np.zeros(len(names), np.int64), _Stars(len(names))
+        counts, stars = np.zeros(len(x) + len(q), np.int64), _Stars(len(x) + len(q))
+        at = own if within else len(x) + np.arange(len(q))
         for i in range(0, len(q), BATCH):
             rows, found = _links(graph, q[i:i + BATCH], x, width, threshold)
             rows = rows + i
-            if own:
-                some = found < rows       # each pair from one side
+            if within:
+                some = found < own[rows]       # each pair from one side
                 rows, found = rows[some], found[some]
-            np.add.at(counts, rows + shift, weights[found])
+            np.add.at(counts, at[rows], weights[found])
             np.add.at(counts, found, qweights[rows])
-            stars.add(rows + shift, found)
-        roots = stars.roots()
-        some = counts > 0
+            stars.add(at[rows], found)
+        names = np.concatenate([ids, qids])
+        roots, some = stars.roots(), counts > 0
         return pa.table({"id": pa.array(names[some], pa.int64()), "links": pa.array(counts[some]), "star": pa.array(names[roots[some]], pa.int64())})
 
     return meet
 
 
-def index_shards(classes: DataFrame) -> DataFrame:
-    """``shard, at, d, id, weight, level, v, links``: one navigable graph per shard of ``classes`` (id, d, v, weight)."""
-    shards, sizes = F.lit(1), classes.groupBy("d").agg(F.count("*").alias("n")).collect()
-    for r in sizes:
-        most = max(SHARD, min(SHARD_BYTES // (8 * r["d"]), r["n"] // SHARDS))
-        shards = F.when(F.col("d") == r["d"], F.lit(-(-r["n"] // most))).otherwise(shards)
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("id"), shards).cast("int")).withColumn("shards", shards)
-    return dealt.select("shard", "d", "id", "weight", "v").groupBy("d", "shard").applyInArrow(_index, NODE)
+def _per_length(values: dict) -> Column:
+    out = F.lit(1)
+    for d, value in values.items():
+        out = F.when(F.col("d") == d, F.lit(value)).otherwise(out)
+    return out
 
 
 def vector_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``id, links, star``: the links of each class found by each task, by weight, and one member of its component there."""
-    index = stored(index_shards(classes), "graphs")
-    homes = index.groupBy("d").agg((F.max("shard") + 1).alias("shards"))
-    spread = index.join(F.broadcast(homes), "d")      # one row per length of vectors
-    keys = ["d", "asked", "home"]
-    queries = spread.select(*[F.col(c).alias(c) for c in ("d", "id", "weight", "v")], F.col("shard").alias("home"), F.explode(F.expr("filter(sequence(shard, shards - 1), s -> s > shard)")).alias("asked"))
-    targets = spread.select("d", "at", "id", "weight", "level", "v", "links", "shard", F.col("shard").alias("asked"),
-                            F.explode(F.sequence(F.lit(0), F.col("shard"))).alias("home"))
+    """``id, links, star`` of ``classes`` (id, d, v, weight): the links of each class found by each task, by weight, and one
+    member of its component there."""
+    counts = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count("*").alias("n")).collect()}  # one row per length
+    most = {d: max(1, min(max(SHARD, n // SHARDS), SHARD_BYTES // (8 * d))) for d, n in counts.items()}
+    shards = _per_length({d: -(-n // most[d]) for d, n in counts.items()})
+    blocks = _per_length({d: -(-min(n, most[d]) // QUERIES) for d, n in counts.items()})
+    dealt = classes.select(F.pmod(F.xxhash64("id"), shards).cast("int").alias("shard"), "d", "id", "weight", "v")
+    index = stored(dealt.groupBy("d", "shard").applyInArrow(_index, NODE).withColumn("shards", shards).withColumn("blocks", blocks), "graphs")
+    keys = ["d", "asked", "home", "block"]
+    queries = index.select(*[F.col(c).alias(c) for c in ("d", "id", "weight", "v")], F.col("shard").alias("home"),
+                           F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int").alias("block"),
+                           F.explode(F.expr("sequence(shard, shards - 1)")).alias("asked"))
+    targets = index.withColumn("home", F.explode(F.expr("sequence(0, shard)"))).withColumn(
+        "block", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "d", F.col("shard").alias("asked"), "home", "block", "shard", "at", "id", "weight", "level", "v", "links")
     return queries.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(_meet(threshold), "id long, links long, star long")
 
 

@@ -127,6 +127,7 @@ def _crowds(seed=4, d=24, plain=500, crowd=220):
 @pytest.fixture
 def small_shards(monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SHARD", 200)
+    monkeypatch.setattr(embedding_dedup, "QUERIES", 90)
     monkeypatch.setattr(embedding_dedup, "BATCH", 64)
 
 
@@ -165,7 +166,7 @@ def test_beams_widen_until_the_audit_passes(monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BUILD_BEAM", 4)
     x = embedding_dedup._units(_crowds(plain=2000, crowd=100, d=48))
     graph = embedding_dedup.Graph.build(x.astype(np.float32), embedding_dedup._levels(len(x), 1))
-    assert embedding_dedup._audited(graph, x, x, 0.9, True) > embedding_dedup.BEAM
+    assert embedding_dedup._audited(graph, x, x, 0.9, np.arange(len(x))) > embedding_dedup.BEAM
 
 
 def test_recall_over_the_hot_table(spark):

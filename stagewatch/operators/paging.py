@@ -1,55 +1,47 @@
 """Paging and ordered scans.
 
 P1 ``offset_page``: rows page_after+1 .. page_after+page_size of an ordering, with
-    ``row_num`` first. Catalyst plans the global ROW_NUMBER above a
-    TakeOrderedAndProject(limit=page_after+page_size), so only that many rows per
-    partition reach the single window task. Deep pages should use P2.
+    ``row_num`` first, by rank selection (``ranks``) at every depth and in both directions.
 P2 ``keyset_page`` / ``page_cursors``: cursor paging by a unique key; the predicate is
     an expanded lexicographic comparison that parquet can push down.
 P3 ``sorted_scan``: filtered, projected, totally ordered scan (the full scroll).
 S14 ``batch_numbers``: global 1-based row numbers and fixed-size batch numbers without
-    a single-partition window: the sorted data are checkpointed, each partition
+    a single-partition window: the sorted keys are checkpointed, each partition
     numbers its rows, and partition offsets come from a per-partition count.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
-
-
-def _order(sort_by: Sequence[str], sort_order: str) -> list[Column]:
-    desc = sort_order.strip().upper() == "DESC"
-    return [F.col(c).desc() if desc else F.col(c).asc() for c in sort_by]
-
-
-# Deepest offset page answered by one window task; deeper pages number rows distributed.
-MAX_WINDOW_ROWS = 1_000_000
+from .ranks import around, within
 
 
 def offset_page(df: DataFrame, page_size: int, page_after: int, sort_by: str | Sequence[str],
-                sort_order: str = "ASC", max_window_rows: int = MAX_WINDOW_ROWS) -> DataFrame:
+                sort_order: str = "ASC") -> DataFrame:
     """P1. ``sort_by`` should be unique (add a tie-break column) for a stable page.
 
-    Up to ``max_window_rows`` (= page_after + page_size) the global ROW_NUMBER runs in
-    one task over the top-k rows. Beyond that bound the rows are numbered distributed
-    (``batch_numbers``) and the page is a range filter, so no task holds the prefix."""
+    The keys' ranges are counted when the page is built (``ranks.around``); the page itself reads and sorts only the
+    rows of the interval that holds it, so a deep page costs what a shallow one does. A descending page is the
+    ascending one of the ranks counted from the end; nulls are the smallest keys. The page comes in its order."""
     keys = [sort_by] if isinstance(sort_by, str) else list(sort_by)
-    if page_after + page_size > max_window_rows:
-        numbered = batch_numbers(df, keys, max(page_size, 1))
-        if sort_order.strip().upper() == "DESC":
-            # unique keys: the descending rank is total - ascending rank + 1
-            total = df.select(F.count(F.lit(1))).scalar()
-            numbered = numbered.withColumn("row_no", total - F.col("row_no") + 1)
-        page = numbered.where(F.col("row_no").between(page_after + 1, page_after + page_size))
-        return page.select(F.col("row_no").alias("row_num"), *[F.col(c) for c in df.columns])
-    w = Window.orderBy(*_order(keys, sort_order))
-    numbered = df.select(F.row_number().over(w).cast("long").alias("row_num"), *[F.col(c) for c in df.columns])
-    return numbered.where(F.col("row_num").between(page_after + 1, page_after + page_size))
+    desc = sort_order.strip().upper() == "DESC"
+    first, last = page_after + 1, page_after + page_size
+    if desc:
+        total = df.count()
+        first, last = total - last + 1, total - first + 1
+    interval, total = around(df, keys, first, last)
+    order = [F.col(k).asc() for k in keys]
+    rows = within(df, keys, interval).orderBy(*order).limit(max(min(last, total) - interval.before, 0))
+    rank = F.row_number().over(Window.orderBy(*order)).cast("long") + interval.before
+    page = rows.select(rank.alias("row_num"), *[F.col(c) for c in df.columns]).where(F.col("row_num").between(first, last))
+    return page.withColumn("row_num", total + 1 - F.col("row_num")).orderBy("row_num") if desc else page.orderBy("row_num")
 
 
 def _after(keys: Sequence[str], cursor: Sequence[Column], strict: bool = True, forward: bool = True) -> Column:
@@ -116,13 +108,12 @@ def sorted_scan(df: DataFrame, query: Column | None = None, sort_by: Sequence[Co
 def batch_numbers(df: DataFrame, order_by: Sequence[str], batch_size: int = 100) -> DataFrame:
     """``row_no`` (1-based, global order) and ``batch_no`` = (row_no - 1) // size.
 
-    ``order_by`` must be a unique key. The range-sorted data are checkpointed to the
-    shared checkpoint folder, so the partition layout numbered by the two passes is
-    one and the same and survives executor loss.
+    ``order_by`` must be a unique key. Only the keys are sorted and checkpointed, to the shared
+    checkpoint folder, so the partition layout numbered by the two passes is one and the same
+    and survives executor loss; the other columns join their numbers by key.
     """
-    spark = df.sparkSession
-    checkpoint_root(spark)
-    ordered = df.orderBy(*order_by).checkpoint(eager=True)
+    checkpoint_root(df.sparkSession)
+    ordered = df.select(*order_by).orderBy(*order_by).checkpoint(eager=True)
     pid = F.spark_partition_id()
     # monotonically_increasing_id = partition index << 33 | row index in partition
     local = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
@@ -131,14 +122,14 @@ def batch_numbers(df: DataFrame, order_by: Sequence[str], batch_size: int = 100)
         "_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off")
     ).fillna(0, subset=["_off"])
     # One row per partition: a size bound known before the join.
-    numbered = ordered.select("*", pid.alias("_pid"), local.alias("_local"))
-    joined = numbered.join(F.broadcast(offsets), "_pid")
+    numbered = ordered.select("*", pid.alias("_pid"), local.alias("_local")).join(F.broadcast(offsets), "_pid")
     row_no = F.col("_off") + F.col("_local") + 1
-    return joined.select(
-        *[F.col(c) for c in df.columns],
-        row_no.alias("row_no"),
-        F.floor((row_no - 1) / batch_size).cast("long").alias("batch_no"),
-    )
+    numbered = numbered.select(*order_by, row_no.alias("row_no"), F.floor((row_no - 1) / batch_size).cast("long").alias("batch_no"))
+    if set(df.columns) > set(order_by):
+        keys = numbered.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(order_by)], "row_no", "batch_no")
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(order_by)]
+        numbered = df.join(keys, functools.reduce(operator.and_, same))
+    return numbered.select(*df.columns, "row_no", "batch_no")
 
 
 def iter_pages(df: DataFrame, page_size: int = 100):

@@ -38,7 +38,7 @@ def _sql_case(col: str, mapping: dict, default: str) -> str:
 # ------------------------------------------------------------------ functions
 @register("c_casts", """
 SELECT event_id, event_id AS id_back, value AS value_back, ts AS ts_back,
-       event_type = 'click' AS flag_back, CAST(ts AS DATE) AS day_back
+       event_type = 'click' AS flag_back, CAST(ts AS DATE) AS day_back, strftime(ts, '%H:%M:%S.%f') AS time_back
 FROM events""")
 def c_casts(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
@@ -49,6 +49,7 @@ def c_casts(spark, sf_dir):
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("000")).alias("ts_txt"),
         F.when(F.col("event_type") == "click", F.lit("TRUE")).otherwise(F.lit("t")).alias("flag_txt"),
         F.date_format("ts", "yyyy-MM-dd").alias("day_txt"),
+        F.concat(F.date_format("ts", "HH:mm:ss.SSSSSS"), F.lit("000")).alias("time_txt"),
     )
     return txt.select(
         "event_id",
@@ -57,6 +58,7 @@ def c_casts(spark, sf_dir):
         C.cast_text("ts_txt", "TIMESTAMP").alias("ts_back"),
         C.cast_text("flag_txt", "BOOLEAN").alias("flag_back"),
         C.cast_text("day_txt", "DATE").alias("day_back"),
+        C.cast_text("time_txt", "TIME").alias("time_back"),
     )
 
 
@@ -303,6 +305,61 @@ def n1(spark, sf_dir):
     return N.read_runs(benchmark_runs(spark, sf_dir))
 
 
+REJECT_RULES_SQL = """
+checked AS (
+    SELECT event_id, value, list_filter([
+        CASE WHEN event_id % 13 = 0 THEN 'malformed_message' END,
+        CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 'no_user' END,
+        CASE WHEN event_id % 13 = 0 OR event_id % 19 = 0 THEN 'negative_value' END], lambda x: x IS NOT NULL) AS reasons
+    FROM events)"""
+
+
+@register("s9_reject_and_continue", f"""
+WITH {REJECT_RULES_SQL.strip()}
+SELECT event_id, CASE WHEN len(reasons) = 0 THEN value END AS value, array_to_string(reasons, '; ') AS reason,
+       (SELECT COUNT(*) FROM checked WHERE len(reasons) = 0) AS accepted,
+       (SELECT COUNT(*) FROM checked WHERE len(reasons) > 0) AS rejected,
+       (SELECT COUNT(*) FROM checked WHERE list_contains(reasons, 'no_user')) AS no_user
+FROM checked""")
+def s9_reject_and_continue(spark, sf_dir):
+    """Log messages of all events, some of them cut off, without a user or of a negative value, through one accepting write."""
+    n = F.col("event_id")
+    ev = read_table(spark, sf_dir, "events")
+    message = F.to_json(F.struct("event_id", F.when(n % 17 != 0, F.col("user_id")).alias("user_id"),
+                                 F.when(n % 19 == 0, -1 - F.abs("value")).otherwise(F.abs("value")).alias("value")))
+    sent = ev.select(n.alias("sent_id"), F.col("ts").alias("timestamp"), message.alias("m")).withColumn(
+        "message", F.when(F.col("sent_id") % 13 == 0, F.expr("left(m, length(m) - 1)")).otherwise(F.col("m")))
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType())])
+    decoded, rules = JL.decode_log(sent, schema, keep=["sent_id"])
+    rules = {**rules, "no_user": F.col("user_id").isNull(), "negative_value": F.col("value") < 0}
+    path = scratch_path(spark, "quarantine")
+    counts = R.write_or_quarantine(decoded, path, rules, "sent_id")
+    good = R.accepted_rows(spark, path).select("event_id", "value", F.lit("").alias("reason"))
+    bad = R.rejected_rows(spark, path).select(F.col("record_index").alias("event_id"), F.lit(None).cast("double").alias("value"), "reason")
+    return good.unionByName(bad).select("*", *[F.lit(counts[c]).cast("long").alias(c) for c in ("accepted", "rejected", "no_user")])
+
+
+@register("f14_discovered_fields", """
+SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN user_id % 2 = 0 END AS flag,
+       CASE WHEN event_id % 5 = 0 THEN '"' || CAST(user_id AS VARCHAR) || '"' ELSE CAST(user_id AS VARCHAR) END AS qty
+FROM events""")
+def f14_discovered_fields(spark, sf_dir):
+    """Messages with differing fields, one of them a number here and a text there; no schema is given."""
+    n = F.col("event_id")
+    number = F.struct("event_id", "event_type", F.when(n % 3 == 0, F.col("user_id") % 2 == 0).alias("flag"), F.col("user_id").alias("qty"))
+    text = F.struct("event_id", "event_type", F.when(n % 3 == 0, F.col("user_id") % 2 == 0).alias("flag"), F.col("user_id").cast("string").alias("qty"))
+    messages = read_table(spark, sf_dir, "events").select(F.when(n % 5 == 0, F.to_json(text)).otherwise(F.to_json(number)).alias("message"))
+    return J.project_fields(messages, "message", J.discover_fields(messages, "message"))
+
+
+@register("n2_quantiles_of_doubles", """
+SELECT event_type, COUNT(*) AS n, MIN(value) AS min, MAX(value) AS max, quantile_cont(value, 0.1) AS p10,
+       quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.999) AS p999
+FROM events GROUP BY event_type""")
+def n2_doubles(spark, sf_dir):
+    return N.exact_quantiles(read_table(spark, sf_dir, "events"), ["event_type"], "value", [("p10", 0.1), ("p50", 0.5), ("p999", 0.999)])
+
+
 @register("n2_box_8x", with_runs("""
 SELECT *, max(max_ms) OVER (PARTITION BY query_type) AS axis_max_ms FROM (
     SELECT query_type, data_store, COUNT(*) AS n,

@@ -30,6 +30,22 @@ def p1(spark, sf_dir):
     return P.offset_page(rolled, page_size=100, page_after=100, sort_by="ingestion_batch_id")
 
 
+@register("p1_offset_page_deep", """
+SELECT ROW_NUMBER() OVER (ORDER BY ts, event_id) AS row_num, event_id, ts, user_id, value
+FROM events QUALIFY row_num BETWEEN (SELECT COUNT(*) * 3 // 4 + 1 FROM events) AND (SELECT COUNT(*) * 3 // 4 + 100 FROM events)""")
+def p1_deep(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    return P.offset_page(ev, 100, ev.count() * 3 // 4, EV_KEYS)
+
+
+@register("p1_offset_page_desc", """
+SELECT ROW_NUMBER() OVER (ORDER BY ts DESC, event_id DESC) AS row_num, event_id, ts, user_id, value
+FROM events QUALIFY row_num BETWEEN (SELECT COUNT(*) // 3 + 1 FROM events) AND (SELECT COUNT(*) // 3 + 100 FROM events)""")
+def p1_desc(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
+    return P.offset_page(ev, 100, ev.count() // 3, EV_KEYS, "DESC")
+
+
 @register("p2_page_next", """
 WITH p1 AS (SELECT * FROM events ORDER BY ts, event_id LIMIT 100),
      c AS (SELECT max(ts) AS ts FROM p1),

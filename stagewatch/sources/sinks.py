@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,22 +88,24 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], dest: str |
 def merge_updates(base: DataFrame, updates: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """``base`` with ``updates`` applied by key.
 
-    With ``order``, the row with the greatest order wins, an update over a base row of equal order.
-    Without one nothing says which of two updates of a key came last, so a key that the
-    updates hold twice raises; the base keeps the rows without an update (an anti join,
-    which shuffles no base row while the updates are small) and gains the updates."""
+    Of several updates of a key the one with the greatest ``order`` counts, and a base row only if its order is
+    greater still. Updates of a key between which nothing decides (the same order, or no order given, and
+    other values) raise, whatever columns are read. The base keeps its rows without an update by an anti join, so
+    while the updates are small no base row is shuffled."""
     cols = base.columns
     updates = updates.select(*cols)
     if order:
-        both = base.withColumn("_gen", F.lit(0)).unionByName(updates.withColumn("_gen", F.lit(1)))
-        return latest_per_key(both, keys, [*order, "_gen"]).select(*cols)
-    payload = [c for c in cols if c not in keys]
-    once = updates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in payload]).select(
-        *[F.when(F.col("_n") == 1, F.col(c)).otherwise(
-            F.raise_error(F.lit("updates hold a key twice; give an order")).cast(updates.schema[c].dataType)).alias(c)
-          if c == cols[-1] else F.col(c) for c in cols])
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+        updates = updates.withColumn("_rank", F.rank().over(w)).where("_rank = 1").select(*cols)
+    once = updates.distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in cols if c not in keys])
+    undecided = F.raise_error(F.lit("updates hold a key twice and no order decides between them")).cast("boolean")
+    once = once.where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(undecided)).select(*cols)
     same = [base[k].eqNullSafe(updates[k]) for k in keys]
-    return base.join(updates, same, "left_anti").unionByName(once)
+    kept = base.join(updates, same, "left_anti")
+    if not order:
+        return kept.unionByName(once)
+    met = base.join(updates, same, "left_semi").withColumn("_gen", F.lit(0)).unionByName(once.withColumn("_gen", F.lit(1)))
+    return kept.unionByName(latest_per_key(met, keys, [*order, "_gen"]).select(*cols))
 
 
 def read_partitioned(spark, path: str, schema: T.StructType) -> DataFrame:

@@ -281,6 +281,21 @@ def s13(spark, sf_dir):
     return CSV.read_runs_csv(spark, path)
 
 
+@register("s15_expired_days", """
+WITH last AS (SELECT CAST(MAX(ts) AS DATE) AS day FROM events)
+SELECT event_id, ts, CAST(ts AS DATE) AS event_date, (SELECT COUNT(DISTINCT CAST(ts AS DATE)) FROM events, last WHERE CAST(ts AS DATE) <= day - 7) AS days_gone
+FROM events, last WHERE CAST(ts AS DATE) > day - 7""")
+def s15_expired_days(spark, sf_dir):
+    """All events stored by day, and the days older than a week removed from storage."""
+    ev = read_table(spark, sf_dir, "events").select("event_id", "ts")
+    path = scratch_path(spark, "expiring")
+    SK.append_rows(SK.with_event_date(ev, "ts"), path, partition_by=["event_date"])
+    last = ev.agg(F.max(F.to_date("ts"))).first()[0]
+    gone = SK.drop_expired(spark, path, last, 7)
+    left = spark.read.schema("event_id long, ts timestamp_ntz, event_date date").parquet(path)
+    return left.withColumn("days_gone", F.lit(len(gone)).cast("long"))
+
+
 @register("s15_retained", with_me("""
 SELECT * FROM monitoring_events
 WHERE time >= (SELECT max(time) FROM monitoring_events) - INTERVAL 168 HOUR

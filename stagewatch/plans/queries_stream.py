@@ -43,6 +43,30 @@ def t2(spark, sf_dir):
     return T.batch_rollup_result(spark, sink).orderBy("ingestion_batch_id").limit(100)
 
 
+@register("t2_stream_compacted", with_me(f"""
+SELECT ingestion_batch_id, {ROLLUP_SQL}
+FROM monitoring_events GROUP BY ingestion_batch_id"""))
+def t2_compacted(spark, sf_dir):
+    """The roll-up's output in generations, two micro-batches each."""
+    s, sink, ckpt = _stream(spark, sf_dir, "t2c")
+    with _parts(spark):
+        T.batch_rollup_stream(s, sink, ckpt, compact_every=2)
+    return T.batch_rollup_result(spark, sink)
+
+
+@register("t3_stream_open_minutes", with_me(f"""
+SELECT repo_id, date_trunc('minute', time) AS interval_start, COUNT(DISTINCT job_id) AS num_jobs
+FROM monitoring_events
+WHERE stage = 'Finished' AND user_id IN {USERS_SQL}
+GROUP BY repo_id, date_trunc('minute', time)"""))
+def t3_open(spark, sf_dir):
+    """Final minutes and those that a stream with a lateness still holds."""
+    s, sink, ckpt = _stream(spark, sf_dir, "t3o")
+    with _parts(spark):
+        T.finished_per_minute_stream(s, sink, ckpt, lateness="400 days")
+    return T.finished_per_minute_result(spark, sink, ckpt).drop("final")
+
+
 @register("t3_stream_finished_per_minute", with_me(f"""
 SELECT repo_id, date_trunc('minute', time) AS interval_start, COUNT(DISTINCT job_id) AS num_jobs
 FROM monitoring_events

@@ -7,13 +7,15 @@ only re-runs its tasks; the commit protocol keeps half-written files invisible.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
+from . import folders
 
 MAX_RECORDS_PER_FILE = 1_000_000
 # Id columns of the stored event table that get parquet bloom filters: job ids are not
@@ -155,6 +157,35 @@ def expire_partitions(df: DataFrame, as_of_date: Column, days: int = 7, part_col
     return df.where(F.col(part_col) > F.date_sub(as_of_date, days))
 
 
+def drop_expired(spark: SparkSession, table_path: str, as_of_date: datetime.date, days: int = 7, part_col: str = "event_date") -> list[str]:
+    """Removes the day partitions of a table that are older than ``days`` before ``as_of_date``, from storage; returns
+    their names. Only folder names are looked at, no data are read or rewritten, and a day that is
+    kept is not touched.
+
+    What is to go is written down first, in one file beside the table. A run that fails halfway leaves that marker, and the next one
+    finishes its removals before its own, so a day that has begun to go never stays half there."""
+    marker = f"{table_path.rstrip('/')}-expiring"
+    cut = as_of_date - datetime.timedelta(days=days)
+
+    def day(name: str) -> datetime.date | None:
+        try:
+            return datetime.date.fromisoformat(name.removeprefix(f"{part_col}="))
+        except ValueError:  # the null partition and other folders stay
+            return None
+
+    there = [n for n in folders.children(spark, table_path) if n.startswith(f"{part_col}=")]
+    old = [n for n in there if (d := day(n)) is not None and d <= cut]
+    if folders.exists(spark, f"{marker}/_SUCCESS"):
+        old = sorted({*old, *(r["name"] for r in spark.read.parquet(marker).collect())})  # one row a day folder
+    if not old:
+        return []
+    spark.createDataFrame([(n,) for n in old], "name string").coalesce(1).write.mode("overwrite").parquet(marker)
+    gone = [n for n in old if folders.remove(spark, f"{table_path}/{n}")]
+    folders.remove(spark, marker)
+    spark.catalog.refreshByPath(table_path)
+    return gone
+
+
 def store_events(events: DataFrame, path: str, unit: str = "day") -> None:
     """Append to the event table as stored for reading, once per round of events (the first
     call makes the table): time-partitioned, and inside every

@@ -3,7 +3,8 @@
 State is keyed by fine keys (job, or (repo, minute, job)) so it spreads over all
 state-store partitions; no state row collects a group's members. Results leave the
 stream through ``foreachBatch`` into a folder per micro-batch id (overwritten on a
-retry, so replays are idempotent), and ``read_latest`` keeps the newest row per key.
+retry, so replays are idempotent), which ``compaction`` merges into generations;
+``read_latest`` keeps the newest row per key.
 Without a watermark, state grows with the number of jobs. Given a ``lateness``, the
 roll-up, latest-status and per-minute streams key their state by an event-time bucket
 under a watermark, so old state is evicted (rows later than that are dropped and
@@ -25,6 +26,7 @@ from ..operators.monitoring import DEFAULT_USERS, event_order_key, minute_bin, o
 from ..schema import EVENT_SCHEMA, LAST_STAGE
 from ..session import scratch_path
 from ..sources.sinks import latest_per_key
+from .compaction import compacting_sink, updates
 
 
 # ------------------------------------------------------------------ state partitions
@@ -86,14 +88,19 @@ def batch_folder_sink(dest: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_latest(spark: SparkSession, dest: str, keys: Sequence[str]) -> DataFrame:
-    """The newest version of every key written by ``batch_folder_sink``."""
-    raw = spark.read.parquet(dest)
-    latest = latest_per_key(raw.drop("batch_id"), keys, ["_batch"])
-    return latest.drop("_batch")
+    """The newest version of every key written by ``batch_folder_sink``, compacted or not."""
+    return latest_per_key(updates(spark, dest), keys, ["_batch"]).drop("_batch")
+
+
+COMPACT_EVERY = 50  # micro-batches between compactions of a stream's output
 
 
-def _run_update(stream_agg: DataFrame, dest: str, checkpoint: str, mode: str = "update") -> StreamingQuery:
-    q = (stream_agg.writeStream.outputMode(mode).foreachBatch(batch_folder_sink(dest))
+def _run_update(stream_agg: DataFrame, dest: str, checkpoint: str, mode: str = "update", keys: Sequence[str] = (),
+                compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    sink = batch_folder_sink(dest)
+    if keys:
+        sink = compacting_sink(sink, dest, keys, compact_every)
+    q = (stream_agg.writeStream.outputMode(mode).foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     return run_to_end(q)
 
@@ -135,14 +142,14 @@ def rollup_from_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def batch_rollup_stream(stream: DataFrame, dest: str, checkpoint: str, lateness: str | None = None,
-                        bucket: str = BUCKET) -> StreamingQuery:
+                        bucket: str = BUCKET, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Run the per-job state to ``dest``; read with ``batch_rollup_result``."""
-    return _run_update(job_progress(stream, lateness, bucket), dest, checkpoint)
+    keys = ["ingestion_batch_id", "job_id"] + (["_bucket"] if lateness else [])
+    return _run_update(job_progress(stream, lateness, bucket), dest, checkpoint, "update", keys, compact_every)
 
 
 def batch_rollup_result(spark: SparkSession, dest: str) -> DataFrame:
-    raw = spark.read.parquet(dest)
-    keys = ["ingestion_batch_id", "job_id"] + (["_bucket"] if "_bucket" in raw.columns else [])
+    keys = ["ingestion_batch_id", "job_id"] + (["_bucket"] if "_bucket" in updates(spark, dest).columns else [])
     return rollup_from_jobs(read_latest(spark, dest, keys))
 
 
@@ -153,7 +160,7 @@ def finished_per_minute_agg(stream: DataFrame, users: Sequence[str] = DEFAULT_US
     then count. With ``lateness`` the state is bounded by an event-time watermark
     (the stream's NTZ time is read as UTC), and a minute leaves the stream only once the
     watermark has passed it: minutes still open are not in the output of the run, so
-    what is read after it is final but not complete."""
+    what is read after it is final but not complete; ``finished_per_minute_result`` adds the open ones."""
     f = stream.where((F.col("stage") == "Finished") & F.col("user_id").isin(*users))
     f = f.select("repo_id", minute_bin("time").alias("interval_start"), "job_id")
     if lateness:
@@ -166,9 +173,26 @@ def finished_per_minute_agg(stream: DataFrame, users: Sequence[str] = DEFAULT_US
 
 
 def finished_per_minute_stream(stream: DataFrame, dest: str, checkpoint: str,
-                               users: Sequence[str] = DEFAULT_USERS, lateness: str | None = None) -> StreamingQuery:
+                               users: Sequence[str] = DEFAULT_USERS, lateness: str | None = None,
+                               compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     mode = "append" if lateness else "update"
-    return _run_update(finished_per_minute_agg(stream, users, lateness), dest, checkpoint, mode)
+    return _run_update(finished_per_minute_agg(stream, users, lateness), dest, checkpoint, mode, ["repo_id", "interval_start"], compact_every)
+
+
+def open_minutes(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """T3 with a lateness: the minutes that the stream still counts, read from its state store after a run: ``repo_id,
+    interval_start, num_jobs``. Their counts are provisional."""
+    ops = spark.read.format("state-metadata").load(checkpoint).select("operatorId", "operatorName").distinct().collect()
+    counts = [r["operatorId"] for r in ops if r["operatorName"] == "stateStoreSave"]  # a row a stateful operator
+    state = spark.read.format("statestore").option("operatorId", counts[0]).load(checkpoint)
+    value = state.schema["value"].dataType.fieldNames()[0]
+    return state.select("key.repo_id", "key.interval_start", F.col(f"value.{value}").cast("long").alias("num_jobs"))
+
+
+def finished_per_minute_result(spark: SparkSession, dest: str, checkpoint: str) -> DataFrame:
+    """T3 with a lateness, complete: the minutes that have left the stream (``final``) and those still open."""
+    done = read_latest(spark, dest, ["repo_id", "interval_start"]).withColumn("final", F.lit(True))
+    return done.unionByName(open_minutes(spark, checkpoint).withColumn("final", F.lit(False)))
 
 
 def _dropped(progress) -> int:
@@ -233,14 +257,14 @@ def latest_status_agg(stream: DataFrame, lateness: str | None = None, bucket: st
 
 
 def latest_status_stream(stream: DataFrame, dest: str, checkpoint: str, lateness: str | None = None,
-                         bucket: str = BUCKET) -> StreamingQuery:
+                         bucket: str = BUCKET, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """T4: per-job latest event (per bucket with ``lateness``), emitted in update mode."""
-    return _run_update(latest_status_agg(stream, lateness, bucket), dest, checkpoint)
+    keys = ["job_id"] + (["_bucket"] if lateness else [])
+    return _run_update(latest_status_agg(stream, lateness, bucket), dest, checkpoint, "update", keys, compact_every)
 
 
 def latest_status_result(spark: SparkSession, dest: str) -> DataFrame:
-    raw = spark.read.parquet(dest)
-    keys = ["job_id"] + (["_bucket"] if "_bucket" in raw.columns else [])
+    keys = ["job_id"] + (["_bucket"] if "_bucket" in updates(spark, dest).columns else [])
     st = read_latest(spark, dest, keys).groupBy("job_id").agg(
         F.max("_key").alias("_key"), F.max_by("errored", "_key").alias("errored"))
     sp = order_key_stage(F.col("_key"))

@@ -75,7 +75,9 @@ def within(df: DataFrame, keys: Sequence[str], interval: Interval) -> DataFrame:
 def ranges(df: DataFrame, keys: Sequence[str], interval: Interval | None = None) -> list[Interval]:
     """The interval (default: all keys) in parts of about equal size, in order: one range partition each. Reads the keys only."""
     inside = within(df, keys, interval) if interval else df
-    ks = inside.select(*keys).repartitionByRange(*keys)
+    # a given number, or small intervals would be coalesced to one range
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ks = inside.select(*keys).repartitionByRange(max(n, 2), *keys)
     greatest = F.max(F.struct(*keys)).alias("k")
     rows = ks.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), greatest).select(
         "p", "n", *[F.col(f"k.{k}").alias(k) for k in keys])

@@ -161,6 +161,46 @@ def _decode_with_stream(raw):
     return dec.select(*[F.col("time") if c == "time" else F.col(f"_m.{c}").alias(c) for c in EVENT_COLUMNS], "log_stream")
 
 
+LOG_ORDER = "CAST(time AS DATE), time, strftime(time, '%Y/%-m/%-d/%-H/%-M'), ingestion_batch_id, org_id, user_id, repo_id, repo_version, priority, job_id"
+
+
+def _stored_log(spark, sf_dir):
+    path = scratch_path(spark, "jsonlog")
+    JL.write_log(monitoring_events(spark, sf_dir), path)
+    return JL.read_log(spark, path)
+
+
+def _log_page(page):
+    schema = T.StructType([f for f in EVENT_SCHEMA.fields if f.name in ("job_id", "stage_progress", "time")])
+    return JL.decode_log(page, schema, keep=["log_stream"])[0].drop(JL.MALFORMED)
+
+
+@register("p2_log_page_next", with_me(f"""
+SELECT job_id, stage_progress, time, strftime(time, '%Y/%-m/%-d/%-H/%-M') AS log_stream
+FROM monitoring_events ORDER BY {LOG_ORDER} LIMIT 100 OFFSET 100"""))
+def p2_log_next(spark, sf_dir):
+    log = _stored_log(spark, sf_dir)
+    return _log_page(JL.log_page(log, 100, JL.log_cursor(JL.log_page(log, 100))))
+
+
+@register("p2_log_page_prev", with_me(f"""
+SELECT job_id, stage_progress, time, strftime(time, '%Y/%-m/%-d/%-H/%-M') AS log_stream
+FROM monitoring_events
+QUALIFY ROW_NUMBER() OVER (ORDER BY {LOG_ORDER}) BETWEEN (SELECT COUNT(*) - 199 FROM monitoring_events) AND (SELECT COUNT(*) - 100 FROM monitoring_events)"""))
+def p2_log_prev(spark, sf_dir):
+    log = _stored_log(spark, sf_dir)
+    return _log_page(JL.log_page(log, 100, JL.log_cursor(JL.log_page(log, 100, None, "prev"), "prev"), "prev"))
+
+
+@register("f7_log_search", with_me(f"""
+SELECT job_id, stage_progress, time, strftime(time, '%Y/%-m/%-d/%-H/%-M') AS log_stream
+FROM monitoring_events WHERE errored AND priority = 'HIGH' ORDER BY {LOG_ORDER} LIMIT 10 OFFSET 10"""))
+def f7_log_search(spark, sf_dir):
+    log, pattern = _stored_log(spark, sf_dir), "errored HIGH :true,"  # errored comes before finished
+    first = JL.log_page(log, 10, pattern=pattern)
+    return _log_page(JL.log_page(log, 10, JL.log_cursor(first), pattern=pattern))
+
+
 @register("s5_json_decode", """
 SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
        CAST(json_extract(props, '$.k') AS INTEGER) AS k_variant,

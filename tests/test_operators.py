@@ -12,6 +12,7 @@ from stagewatch.operators import latency as N
 from stagewatch.operators import lifecycle as L
 from stagewatch.operators import monitoring as M
 from stagewatch.operators import paging as P
+from stagewatch.operators.ranks import around
 from stagewatch.operators import predicates as PR
 from stagewatch.schema import EVENT_SCHEMA
 
@@ -270,13 +271,11 @@ def test_first_groups_really_restricts_rows(spark):
     assert kept.where("k IS NULL").count() == 20
 
 
-def test_deep_offset_page_is_numbered_distributed(spark):
+def test_deep_offset_page_holds_no_prefix(spark):
     df = spark.range(0, 3000, numPartitions=6).select((F.col("id") * 7 % 3000).alias("k"), F.col("id"))
-    shallow = P.offset_page(df, 50, 2000, "k").orderBy("row_num").collect()
-    deep = P.offset_page(df, 50, 2000, "k", max_window_rows=100).orderBy("row_num").collect()
-    assert shallow == deep and [r.row_num for r in deep][:2] == [2001, 2002] and deep[0].k == 2000
-    shallow_desc = P.offset_page(df, 50, 2000, "k", "DESC").orderBy("row_num").collect()
-    deep_desc = P.offset_page(df, 50, 2000, "k", "DESC", max_window_rows=100).orderBy("row_num").collect()
-    assert shallow_desc == deep_desc and deep_desc[0].k == 999
-    deep_plan = P.offset_page(df, 50, 2000, "k", max_window_rows=100)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" not in deep_plan  # no single task holds the 2,050-row prefix
+    deep = P.offset_page(df, 50, 2000, "k").collect()
+    assert [r.row_num for r in deep] == list(range(2001, 2051)) and [r.k for r in deep] == list(range(2000, 2050))
+    deep_desc = P.offset_page(df, 50, 2000, "k", "DESC").collect()
+    assert [r.row_num for r in deep_desc] == list(range(2001, 2051)) and [r.k for r in deep_desc] == list(range(999, 949, -1))
+    interval, total = around(df, ["k"], 2001, 2050, few=10)
+    assert total == 3000 and interval.rows <= 60  # no task holds the 2,050-row prefix

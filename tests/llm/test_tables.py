@@ -236,3 +236,22 @@ def test_pipeline(spark, odd):
     assert out.select("doc_id").distinct().count() == sizes[2]
     assert out.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
     assert docs(spark, []).columns == P.near_dedup_stage(spark, docs(spark, []), SF_CHECK).columns
+
+
+@pytest.mark.parametrize("n", [1, 2, 50])
+def test_line_scores_are_those_with_neighbours(n):
+    rng = np.random.default_rng(n)
+    x = rng.random((n, quality._FEATURES))
+    w = rng.standard_normal(3 * quality._FEATURES + 1)
+    assert np.allclose(quality.line_scores(x, w), quality.with_neighbours(x) @ w)
+
+
+def test_scores_do_not_hang_on_how_lines_are_grouped(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.standard_normal(3 * quality._FEATURES + 1), rng.standard_normal((2, 2)), 1.0, 0.1)
+    texts = pa.array(["a b.\nc", None, "", "x\n" * 300, "One line."] * 3)
+    whole = quality._scores(texts, model)
+    monkeypatch.setattr(quality, "LINES", 3)
+    assert np.allclose(quality._scores(texts, model), whole) and len(whole) == 15

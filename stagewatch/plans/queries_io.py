@@ -166,7 +166,7 @@ LOG_ORDER = "CAST(time AS DATE), time, strftime(time, '%Y/%-m/%-d/%-H/%-M'), ing
 
 def _stored_log(spark, sf_dir):
     path = scratch_path(spark, "jsonlog")
-    JL.write_log(monitoring_events(spark, sf_dir), path)
+    JL.write_log(monitoring_events(spark, sf_dir), path, unit=SPARSE_UNIT)
     return JL.read_log(spark, path)
 
 

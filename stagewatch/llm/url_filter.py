@@ -56,20 +56,23 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
+def _targets(html: Column, tag: str, target: str) -> Column:
+    """What each of a page's tags points to; empty for a tag without a target."""
+    return F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, target, 1))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """``from_url, to_url`` of the pages' canonical links and refresh redirects. Relative targets are
+    """``from_url, to_url`` of all of the pages' canonical links and refresh redirects. Relative targets are
     taken from the page's url."""
     url, html = F.col("url"), F.col("html")
-    canonical = F.regexp_extract(F.regexp_extract(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0),
-                                 r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0),
-                               r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    canonical = _targets(html, r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)")
+    refresh = _targets(html, r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)")
     scheme = F.regexp_extract(url, r"^(.*?)://", 1)
     root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(path_of(url), r"(?s)^(.*/)", 1)
     links = pages.select(pages["url"].alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html")).where(
         "contains(url, '://') and (contains(lower(html), 'canonical') or contains(lower(html), 'refresh'))")
-    links = links.select(url, F.explode(F.array(canonical, refresh)).alias("to")).where("to != ''")
+    links = links.select(url, F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("to")).where("to != ''")
     to = F.col("to")
     return links.select(url.alias("from_url"), F.when(F.contains(to, F.lit("://")), to)
                         .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
@@ -82,7 +85,7 @@ def judge_pages(pages: DataFrame, rules=RULES, redirects: DataFrame | None = Non
 
     A null url, or one without ``://``, has an empty host and path, no aliases, and is allowed. Null
     and repeated page_ids and urls are rows like any other; a null html has no links; links
-    that are null or no urls are ignored. No rows give no rows; other columns are ignored."""
+    that are null or no urls are ignored. A very long html is searched whole, within its row. No rows give no rows; other columns are ignored."""
     url = pages["url"]
     host, path = host_of(url), path_of(url)
     rule, verdict = rule_of(host, path, rules)

@@ -34,6 +34,11 @@ def _length(x: np.ndarray) -> np.ndarray:
     return np.sqrt((x * x).sum(axis=-1))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two, so that no norm under- or overflows: cosines stay what they are, to the bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _nearest(q: np.ndarray, norm: float, own: np.ndarray, index, x: np.ndarray, norms: np.ndarray, k: int):
     """Row numbers and cosines of the k nearest found; ``own`` rows are no candidates."""
     values, order, at, shift = index  # of all lines, one after the other, each line's values in a range of its own
@@ -69,6 +74,7 @@ def _nearest(q: np.ndarray, norm: float, own: np.ndarray, index, x: np.ndarray,
 def _best(x: np.ndarray, qids: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int):
     lines = np.random.default_rng(SEED).standard_normal((y.shape[1], LINES))
     lines *= np.minimum(1, 0.99 * _REACH / _length(lines.T))  # no projection leaves the range
+    x, y = _scaled(x), _scaled(y)
     norms = _length(y)
     projected = (y / norms[:, None]) @ lines
     ranks = np.argsort(projected, axis=0, kind="stable")
@@ -93,5 +99,4 @@ def nearest_neighbours(rows: DataFrame, every: int = 50, k: int = 5) -> DataFram
     do rows without vec_id. Equal vectors tie and go by vec_id; each of several rows with one id
     is a candidate, save under the query's own id. No rows give no rows; other columns are ignored."""
     some = vectors.usable(rows).where("exists(v, x -> x != 0)")
-    some = some.selectExpr("vec_id", "v", "aggregate(v, double(0), (a, x) -> a + x * x) as s").where("s > 0 and s < double('Infinity')").drop("s")
     return vectors.search(some, every, k, "double", _best)

@@ -51,9 +51,39 @@ def test_unigram_pieces_have_the_best_score(spark):
         for end in range(1, len(w) + 1):
             single = pieces.score[pieces.normal[w[end - 1]]] if w[end - 1] in pieces.normal else pieces.unknown_score
             best.append(max([best[end - 1] + single, *[best[a] + pieces.score[pieces.normal[w[a:end]]] for a in range(end) if w[a:end] in pieces.normal]]))
+        own = pieces.flat[slice(*pieces.begin[pieces.words[w]:][:2])].tolist()
         if all(c in pieces.normal for c in w):
-            assert sum(pieces.score[i] for i in pieces.words[w]) == best[-1]
-        assert pieces.decode(list(pieces.words[w])) == w.replace("▁", " ").removeprefix(" ")
+            assert sum(pieces.score[i] for i in own) == best[-1]
+        assert pieces.decode(own) == w.replace("▁", " ").removeprefix(" ")
+
+
+def test_pair_test_equals_merging():
+    pieces = sentencepieces.Pieces(_model(2))
+    rng = np.random.default_rng(7)
+    ids = np.array(sorted(pieces.normal.values()))
+    # pairs at random, and the two parts of every cut of a piece and of two pieces
+    some = [pieces.text[i] for i in rng.choice(ids, 400)]
+    cuts = [(t[:k], t[k:]) for t in some + [a + b for a, b in zip(some, some[::-1])] for k in range(1, len(t))]
+    pairs = [(pieces.normal[a], pieces.normal[b]) for a, b in cuts if a in pieces.normal and b in pieces.normal]
+    pairs += list(zip(rng.choice(ids, 3000).tolist(), rng.choice(ids, 3000).tolist()))
+    left, right = np.array(pairs).T
+    alone = {i for t, i in pieces.normal.items() if pieces.reachable[i]}
+    assert pieces._may_follow(left, right).tolist() == [pieces._merged(a, b) for a, b in pairs]
+    assert {a for a, b in pairs if pieces._merged(a, b)} <= alone
+
+
+def test_texts_encoded_in_one_batch_or_alone(monkeypatch):
+    import pyarrow as pa
+
+    model = _model(2)
+    texts = ["", "one two", "x" * 5000, "日本語 🙂", "", "a  b\n" * 400]
+    batch = pa.record_batch([pa.array(range(6), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    whole = pa.Table.from_batches(sentencepieces._encoded(iter([batch]), model, True))
+    monkeypatch.setattr(sentencepieces, "_CHARS", 10)
+    monkeypatch.setattr(sentencepieces, "_KEPT", 3)
+    sentencepieces._pieces(model)._forget()
+    assert pa.Table.from_batches(sentencepieces._encoded(iter([batch]), model, True)).to_pylist() == whole.to_pylist()
+    assert whole["round_trip"].to_pylist() == [True] * 6
 
 
 def test_encode_and_decode(odd, nothing):
@@ -78,11 +108,15 @@ def _license_brute(text):
             if w[i:i + len(p)] == p:
                 at.append(i)
                 base.add(label)
-    blocks = {"line": [set(find(x)) for x in lower.split("\n")], "paragraph": [set(find(x)) for x in re.split(r"\n[ \t\r\f\v]*\n", lower)]}
+    lines = lower.split("\n")
+    blocks = [set(find(x)) for x in lines]                                       # lines
+    blocks += [set(find(x)) | set(find(y)) for x, y in zip(lines, lines[1:])     # two that no blank one parts
+               if x.strip(" \t\r\f\v") and y.strip(" \t\r\f\v")]
+    blocks += [set(find(x)) for x in re.split(r"\n[ \t\r\f\v]*\n", lower)]      # paragraphs
     labels, best = set(base), 0.0
-    for label, unit, t in licenses.TEMPLATES:
+    for label, t in licenses.TEMPLATES:
         t = {x.decode() for x in licenses.words_of(t)}
-        for b in blocks[unit]:
+        for b in blocks:
             share = len(t & b) / len(t)
             if share >= licenses.CONTAINMENT - 1e-9:
                 labels.add(label)
@@ -91,15 +125,19 @@ def _license_brute(text):
             1.0 if at else best)
 
 
-NOTICES = [(100 + i, f"Some words before.\n\n{t}\n\nand after") for i, (_, _, t) in enumerate(licenses.TEMPLATES)] + [
-    (200, licenses.TEMPLATES[7][2].replace(" copy ", "\ncopy\n").replace("free of charge", "gratis of charge")),
-    (201, "mit license MIT LICENSE gnu general public license cc by apache license"), (202, "gnu general public\nlicense")]
+NOTICES = [(100 + i, f"Some words before.\n\n{t}\n\nand after") for i, (_, t) in enumerate(licenses.TEMPLATES)] + [
+    (200, licenses.TEMPLATES[7][1].replace(" copy ", "\ncopy\n").replace("free of charge", "gratis of charge")),
+    (201, "mit license MIT LICENSE gnu general public license cc by apache license"), (202, "gnu general public\nlicense"),
+    (-203, "This work is licensed under a Creative Commons\nAttribution 4.0 International License."),
+    (-204, "a\n\nThis work is licensed\nunder a Creative\nCommons Attribution 4.0\nInternational License.\n \nb"),
+    (-205, "This work is licensed under a Creative Commons\n\nAttribution 4.0 International License.")]
 
 
 def test_licenses(spark, nothing):
     rows = ROWS + NOTICES + _rows(spark)
     got = licenses.scan_licenses(docs(spark, rows)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(((i, *_license_brute(t)) for i, t in rows), key=repr)
+    assert {r["doc_id"]: r["labels"] for r in got if r["doc_id"] in (-203, -204, -205)} == {-203: "cc-by", -204: "cc-by", -205: ""}
     assert {r["labels"] for r in got if r["doc_id"] and 100 <= r["doc_id"] < 112} >= {"bsd", "isc", "mpl", "unlicense"}
     assert licenses.scan_licenses(nothing).collect() == []
 

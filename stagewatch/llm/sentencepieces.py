@@ -8,25 +8,37 @@ kept as the backpointer.
 What is maximised follows the model's type. *Unigram*: the sum of the pieces' scores. *BPE*: a
 sequence of pieces is what merging yields exactly if merging each adjacent pair on its own
 yields that pair; so a piece may follow another if it passes this test, and exactly one
-sequence remains. Tests are remembered.
+sequence remains. Alone, each piece is built by its own merges; what matters for a pair is the
+last symbol of the left and the first of the right one after each of them. The test walks both
+lists from the characters on, for many pairs at once, the higher score first: the pair fails
+where joining the two symbols that face each other has a higher score than what comes next.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
+import types
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import crc32_of, id_and_text
+from .common import id_and_text
 
 MODEL = "piece_bpe_32k.model"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = "▁"
 _CELLS = 1 << 21      # substrings probed at once
-_KEPT = 400_000       # words and pairs remembered; emptied when full, which changes no result
+_KEPT = 400_000       # words remembered; emptied when full, which changes no result
+_SIEVE_BITS = 21
+_TEXTS, _CHARS = 512, 1 << 22  # of texts encoded together; a longer text goes alone
+_WORKER = "_stagewatch_sentencepieces"
 _START, _UNKNOWN = -1, -2
 
 
@@ -40,6 +52,21 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys.view(np.uint64) * _BASE) >> np.uint64(64 - _SIEVE_BITS)).astype(np.intp)
+
+
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    """A small table that says of most keys at once that they are none of these."""
+    out = np.zeros(1 << _SIEVE_BITS, bool)
+    out[_slots(keys)] = True
+    return out
+
+
+def _sifted(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return sieve[_slots(keys)]
+
+
 class Pieces:
     """A SentencePiece model: identity normalisation, of type unigram or BPE."""
 
@@ -78,8 +105,67 @@ class Pieces:
                 raise ValueError("two pieces share a hash")
             self.by_length[n] = keys[o], np.array([self.normal[t] for t in texts])[o], chars[o]
         self.longest = max(self.by_length)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        self.sieve = _sieve(np.concatenate([keys for keys, _, _ in self.by_length.values()]))
+        self.bytes = pa.array([bytes([self.of_byte[i]]) if i in self.of_byte else t.encode("utf-8", "replace")
+                               for i, t in enumerate(self.surface)], pa.binary())
+        self._forget()
+        if self.bpe:
+            self._spines()
+
+    def _forget(self) -> None:
+        """Known words: the ids of all of them in a row, and where each word's start, the end last."""
+        self.words: dict[str, int] = {}
+        self.flat, self.begin = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _spines(self) -> None:
+        """Tables for the pair test: per piece its last (first) symbols, one for each merge that
+        changes it, with the score of the next one, and the score of every merge of two symbols."""
+        symbols = {t: i for i, t in enumerate(self.text) if t in self.normal}
+        for t in self.normal:
+            for c in t:
+                symbols.setdefault(c, len(self.text) + len(symbols))
+        names = list(symbols)
+        numbers = np.array([symbols[t] for t in names])
+        place = {t: i for i, t in enumerate(names)}
+        score = self.score.tolist()
+        n = len(self.text)
+        self.width = int(numbers.max()) + 1
+        pairs = [(symbols[t[:k]] * self.width + symbols[t[k:]], score[i]) for t, i in self.normal.items()
+                 for k in range(1, len(t)) if t[:k] in place and t[k:] in place]
+        keys = np.array([k for k, _ in pairs], np.int64)
+        o = np.argsort(keys)
+        self.pair_keys = np.append(keys[o], np.iinfo(np.int64).max)
+        self.pair_scores = np.append(np.array([v for _, v in pairs], np.float64)[o], -np.inf)
+        self.pair_sieve = _sieve(keys)
+        self.reachable, self.ordered = np.zeros(n, bool), np.ones(n, bool)
+        sides: list[list[list[int]]] = [[[0]] * n, [[0]] * n]
+        for t, i in self.normal.items():
+            own, scores, first, last = list(t), [], [symbols[t[0]]], [symbols[t[-1]]]
+            while len(own) > 1:
+                best, at = -np.inf, -1
+                for k in range(len(own) - 1):
+                    j = self.normal.get(own[k] + own[k + 1])
+                    if j is not None and score[j] > best:
+                        best, at = score[j], k
+                if at < 0:
+                    break
+                own[at:at + 2] = [own[at] + own[at + 1]]
+                scores.append(best)
+                if at == 0:
+                    first.append(symbols[own[0]])
+                if at == len(own) - 1:
+                    last.append(symbols[own[-1]])
+            self.reachable[i] = len(own) == 1
+            self.ordered[i] = all(x >= y for x, y in zip(scores, scores[1:]))
+            sides[0][i], sides[1][i] = first, last
+        of_symbol = np.full(self.width, -np.inf)
+        of_symbol[:n] = self.score
+        self.sides = []
+        for lists in sides:
+            deep = max(map(len, lists))
+            table = np.array([x + [-1] * (deep + 1 - len(x)) for x in lists])
+            following = np.where(table[:, 1:] >= 0, of_symbol[table[:, 1:]], -np.inf)
+            self.sides.append((table, following))
 
     @staticmethod
     def _hash(chars: np.ndarray) -> np.ndarray:
@@ -102,42 +188,61 @@ class Pieces:
                 continue
             keys, ids, texts = self.by_length[length]
             hashes = prefix[:, length:] - prefix[:, :-length] * np.uint64(power)
+            row, start = np.nonzero(_sifted(self.sieve, hashes))
+            hashes = hashes[row, start]
             at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            row, start = np.nonzero(keys[at] == hashes)
-            at = at[row, start]
+            hit = keys[at] == hashes
+            row, start, at = row[hit], start[hit], at[hit]
             same = (texts[at] == chars[row[:, None], start[:, None] + np.arange(length)]).all(axis=1)
             out[row[same], start[same] + length, length - 1] = ids[at[same]]
         return out
 
     def _merged(self, left: int, right: int) -> bool:
-        """Does merging leave this pair (or this first piece) as it is?"""
-        known = self.pairs.get(key := left * len(self.text) + right)
-        if known is None:
-            symbols = list((self.text[left] if left >= 0 else "") + self.text[right])
-            while len(symbols) > 1:
-                best = max(((self.score[i], -k) for k in range(len(symbols) - 1)
-                            if (i := self.normal.get(symbols[k] + symbols[k + 1])) is not None), default=None)
-                if best is None:
-                    break
-                k = -best[1]
-                symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
-            known = symbols == ([self.text[left]] if left >= 0 else []) + [self.text[right]]
-            if len(self.pairs) >= _KEPT:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
+        """Does merging leave this pair as it is? By doing it; for pieces whose merges do not go by falling scores."""
+        symbols = list(self.text[left] + self.text[right])
+        while len(symbols) > 1:
+            best = max(((self.score[i], -k) for k in range(len(symbols) - 1)
+                        if (i := self.normal.get(symbols[k] + symbols[k + 1])) is not None), default=None)
+            if best is None:
+                break
+            k = -best[1]
+            symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
+        return symbols == [self.text[left], self.text[right]]
+
+    def _pair_score(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = np.full(len(left), -np.inf)
+        key = left * self.width + right
+        some = np.flatnonzero(_sifted(self.pair_sieve, key))
+        at = np.searchsorted(self.pair_keys, key[some])
+        same = self.pair_keys[at] == key[some]
+        out[some[same]] = self.pair_scores[at[same]]
+        return out
 
     def _may_follow(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        out = np.ones(len(last), bool)
-        todo = np.flatnonzero((last != _UNKNOWN) & (piece != _UNKNOWN))
-        keys, at = np.unique(last[todo].astype(np.int64) * len(self.text) + piece[todo], return_inverse=True)
-        if len(keys):
-            left, right = np.divmod(keys, len(self.text))
-            out[todo] = np.array([self._merged(a, b) for a, b in zip(left.tolist(), right.tolist())])[at]
+        out = (piece == _UNKNOWN) | self.reachable[np.maximum(piece, 0)]
+        todo = np.flatnonzero(out & (last >= 0) & (piece >= 0))  # nothing merges with an unknown character
+        a, b = last[todo], piece[todo].astype(np.int64)
+        plain = self.ordered[a] & self.ordered[b]
+        for k in np.flatnonzero(~plain).tolist():
+            out[todo[k]] = self._merged(int(a[k]), int(b[k]))
+        todo, a, b = todo[plain], a[plain], b[plain]
+        free = np.isneginf(self._pair_score(a, b))  # most pairs fail here
+        out[todo[~free]] = False
+        todo, a, b = todo[free], a[free], b[free]
+        (firsts, first_next), (lasts, last_next) = self.sides
+        i, j = np.zeros(len(todo), np.intp), np.zeros(len(todo), np.intp)
+        while len(todo):
+            left, right = last_next[a, i], first_next[b, j]
+            join = self._pair_score(lasts[a, i], firsts[b, j])
+            fails = (join > left) & (join >= right)  # of equal scores the leftmost merge comes first
+            out[todo[fails]] = False
+            on = ~fails & ~(np.isneginf(left) & np.isneginf(right))
+            step = (left >= right)[on]
+            todo, a, b, i, j = todo[on], a[on], b[on], i[on] + step, j[on] + ~step
         return out
 
-    def _viterbi(self, chars: np.ndarray) -> list[list[tuple[int, int]]]:
-        """For each word its pieces as (piece, start), last to first."""
+    def _viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's pieces and where they start, first to last; _START fills up in front."""
         n, size = chars.shape
         found = self._found(chars)
         best = np.full((n, size + 1), -np.inf, np.float32)
@@ -148,58 +253,102 @@ class Pieces:
         for end in range(1, size + 1):
             lengths = np.arange(min(end, found.shape[2]), 0, -1)  # the longest first: it wins ties
             piece = found[:, end, :][:, lengths - 1]
-            before, prior = best[:, end - lengths], last[:, end - lengths]
+            before = best[:, end - lengths]
+            if self.bpe:
+                may = (piece >= 0) & (before == 0)
+                may[:, -1] |= (piece[:, -1] == _UNKNOWN) & (before[:, -1] == 0)
+                r, c = np.nonzero(may)
+                ok = self._may_follow(last[r, end - lengths[c]], piece[r, c])
+                r, c = r[ok], c[ok]
+                if len(r):
+                    longest = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                    r, c = r[longest], c[longest]
+                best[r, end], back[r, end], last[r, end] = 0, lengths[c], piece[r, c]
+                continue
             value = np.where(piece >= 0, before + self.score[piece], -np.inf)
             value[:, -1] = np.where(piece[:, -1] >= 0, value[:, -1], before[:, -1] + self.unknown_score)
-            if self.bpe:
-                r, c = np.nonzero(np.isfinite(value))
-                value = np.full(value.shape, -np.inf, np.float32)
-                value[r, c] = np.where(self._may_follow(prior[r, c], piece[r, c]), 0, -np.inf)
             top = value.argmax(axis=1)
             best[:, end], back[:, end], last[:, end] = value[rows, top], lengths[top], piece[rows, top]
-        out: list[list[tuple[int, int]]] = []
-        for r in range(n):
-            own, end = [], size
-            while end:
-                start = end - back[r, end]
-                own.append((int(last[r, end]), int(start)))
-                end = start
-            out.append(own)
-        return out
+        # all words go back together, a piece a step
+        at, pieces, starts = np.full(n, size), [], []
+        while at.any():
+            pieces.append(np.where(at > 0, last[rows, at], _START))
+            at = at - back[rows, at]
+            starts.append(at)
+        return np.stack(pieces[::-1], axis=1), np.stack(starts[::-1], axis=1)
+
+    def _ids(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each has; unknown characters as bytes, or as one unknown a run."""
+        pieces, starts = self._viterbi(chars)
+        row, col = np.nonzero(pieces != _START)
+        ids = pieces[row, col]
+        unknown = ids == _UNKNOWN
+        if not self.byte:
+            ids[unknown] = self.unknown
+            keep = ~(unknown & np.r_[False, unknown[:-1] & (row[1:] == row[:-1])])
+            return ids[keep].astype(np.int32), np.bincount(row[keep], minlength=len(chars))
+        points, which = np.unique(chars[row[unknown], starts[row, col][unknown]], return_inverse=True)
+        coded = [[self.byte[b] for b in chr(p).encode("utf-8", "replace")] for p in points.tolist()]
+        size = np.array([len(x) for x in coded], np.int64)[which]
+        table = np.array([x + [0] * (4 - len(x)) for x in coded], np.int32).reshape(-1, 4)[which]
+        count = np.ones(len(ids), np.int64)
+        count[unknown] = size
+        out, first = np.repeat(ids, count).astype(np.int32), (np.cumsum(count) - count)[unknown]
+        for k in range(4):
+            out[first[size > k] + k] = table[size > k, k]
+        return out, np.bincount(row, count, len(chars)).astype(np.int64)
 
     def _learn(self, words: set[str]) -> None:
         groups: dict[int, list[str]] = {}
         for w in words:
             groups.setdefault(len(w), []).append(w)
+        flat, counts = [self.flat], []
         for size, group in groups.items():
+            chars = _codes("".join(group)).reshape(len(group), size)
             step = max(1, _CELLS // (size * min(size, self.longest)))
             for i in range(0, len(group), step):
-                part = group[i:i + step]
-                for w, pieces in zip(part, self._viterbi(np.stack([_codes(w) for w in part]))):
-                    ids: list[int] = []
-                    for piece, start in reversed(pieces):
-                        if piece != _UNKNOWN:
-                            ids.append(piece)
-                        elif self.byte:
-                            ids += [self.byte[b] for b in w[start].encode("utf-8", "replace")]
-                        elif ids[-1:] != [self.unknown]:
-                            ids.append(self.unknown)
-                    self.words[w] = tuple(ids)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+                ids, count = self._ids(chars[i:i + step])
+                flat.append(ids)
+                counts.append(count)
+            self.words.update(zip(group, range(len(self.words), len(self.words) + len(group))))
+        if counts:
+            self.flat = np.concatenate(flat)
+            self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(np.concatenate(counts)))
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's start, the end last."""
         split = [self.word.findall((_SPACE if self.prefix else "") + t.replace(" ", _SPACE)) if t else [] for t in texts]
         if len(self.words) >= _KEPT:
-            self.words.clear()
-        self._learn({w for ws in split for w in ws} - self.words.keys())
+            self._forget()
+        self._learn(set().union(*split) - self.words.keys())
+        n_words = np.array([len(ws) for ws in split], np.int64)
+        place = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        first = self.begin[place]
+        count = self.begin[place + 1] - first
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(first - (ends - count), count) + np.arange(count.sum())]
+        starts = np.r_[0, ends][np.r_[0, np.cumsum(n_words)]]
+        if not self.byte:  # neighbouring unknown characters are one, over words too
+            again = (ids == self.unknown) & (np.r_[-1, ids[:-1]] == self.unknown)
+            again[starts[:-1][starts[:-1] < len(ids)]] = False
+            starts = starts - np.r_[0, np.cumsum(again)][starts]
+            ids = ids[~again]
+        return ids, starts
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, starts = self.encode_all(texts)
+        return [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])]
+
+    def decode_all(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """The texts of ids in a row: their bytes joined; where these are no UTF-8, run by run."""
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), self.bytes.take(pa.array(ids))), b"")
         out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                own = self.words[w]
-                if not self.byte and own[:1] == (self.unknown,) == tuple(ids[-1:]):
-                    own = own[1:]  # neighbouring unknown characters are one
-                ids += own
-            out.append(ids)
+        for k, raw in enumerate(joined.to_pylist()):
+            try:
+                text = raw.decode("utf-8").replace(_SPACE, " ")
+                out.append(text[1:] if self.prefix and text[:1] == " " else text)
+            except UnicodeDecodeError:
+                out.append(self.decode(ids[starts[k]:starts[k + 1]].tolist()))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -220,23 +369,41 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+def _pieces(model: bytes) -> Pieces:
+    """The model's tables and known words: kept by a worker process for all its tasks."""
+    kept = sys.modules.setdefault(_WORKER, types.ModuleType(_WORKER)).__dict__
+    key = hashlib.sha256(model).hexdigest()
+    if key not in kept:
+        kept.clear()
+        kept[key] = Pieces(model)
+    return kept[key]
+
+
 def _encoded(batches: Iterator[pa.RecordBatch], model: bytes, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    pieces = Pieces(model)
+    pieces = _pieces(model)
     for b in batches:
-        for i in range(0, b.num_rows, 512):
-            texts = b.column(1)[i:i + 512].to_pylist()
-            ids = pieces.encode(texts)
-            same = [pieces.decode(x) == t.replace(_SPACE, " ") for x, t in zip(ids, texts)]
+        chars = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        i = 0
+        while i < b.num_rows:
+            full = int(np.searchsorted(chars, (chars[i - 1] if i else 0) + _CHARS))
+            j = max(i + 1, min(i + _TEXTS, full))
+            texts = b.column(1)[i:j].to_pylist()
+            ids, starts = pieces.encode_all(texts)
+            same = [x == t.replace(_SPACE, " ") for x, t in zip(pieces.decode_all(ids, starts), texts)]
+            raw, at = memoryview(ids.astype("<u4").tobytes()), (4 * starts).tolist()
+            kept = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)) if keep_ids else pa.nulls(j - i, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0)[i:i + 512], pa.array(map(len, ids), pa.int64()), pa.array(map(crc32_of, ids), pa.int64()),
-                 pa.array(same, pa.bool_()), pa.array(ids if keep_ids else [None] * len(ids), pa.list_(pa.int32()))],
+                [b.column(0)[i:j], pa.array(np.diff(starts), pa.int64()),
+                 pa.array([zlib.crc32(raw[x:y]) for x, y in zip(at, at[1:])], pa.int64()), pa.array(same, pa.bool_()), kept],
                 ["doc_id", "n_ids", "ids_crc32", "round_trip", "ids"])
+            i = j
 
 
 def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> DataFrame:
     """One row per input row: ``doc_id, n_ids, ids_crc32, round_trip`` (does decoding give the text
     back?) and, if kept, ``ids``.
 
+    Texts of some MB are encoded together; a longer one goes alone, in memory in proportion to its length.
     The model file is read once, on the driver, and goes to the tasks (some hundred KB). A null text
     is an empty one, without ids. Null and repeated doc_ids are rows like any other. The sign
     for a space (U+2581) in a text stands for a space. No rows give no rows; other columns are ignored."""
@@ -253,7 +420,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         model = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = _pieces(model)
         for b in batches:
             texts = [pieces.decode([x for x in ids or [] if x is not None]) for ids in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

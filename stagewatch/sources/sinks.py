@@ -8,6 +8,7 @@ only re-runs its tasks; the commit protocol keeps half-written files invisible.
 from __future__ import annotations
 
 import datetime
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -211,6 +212,69 @@ def append_to_table(df: DataFrame, name: str) -> None:
     df.select(*cols).write.insertInto(name)
 
 
+def _journal(table_path: str) -> str:
+    return f"{table_path.rstrip('/')}-upserting"
+
+
+def _staged(spark: SparkSession, table_path: str) -> tuple[DataFrame, list[str]] | None:
+    """The rows and partition columns of an upsert that is decided but perhaps not yet in the table's folders."""
+    if not folders.exists(spark, f"{_journal(table_path)}/_SUCCESS"):
+        return None
+    entry = spark.read.parquet(_journal(table_path)).first()  # the journal has one row
+    schema = T.StructType.fromJson(json.loads(entry["schema"]))
+    # explicit schema: an empty update writes no files
+    return read_partitioned(spark, entry["staging"], schema), list(entry["partition_by"])
+
+
+def current_rows(spark: SparkSession, table_path: str, schema: T.StructType) -> DataFrame:
+    """A table that ``upsert_partitions`` writes, never half of an upsert: while one is being published, its
+    partitions are read from where they are staged and only the others from the table."""
+    table = read_partitioned(spark, table_path, schema)
+    pending = _staged(spark, table_path)
+    if pending is None:
+        return table
+    rows, partition_by = pending
+    touched = rows.select(*partition_by).distinct()
+    same = [table[c].eqNullSafe(touched[c]) for c in partition_by]
+    return table.join(touched, same, "left_anti").unionByName(rows.select(*schema.names))
+
+
+def stage_upsert(table_path: str, updates: DataFrame, keys: Sequence[str], partition_by: Sequence[str],
+                 order: Sequence[str] = ()) -> T.StructType:
+    """The first half of ``upsert_partitions``: everything but the replacement of the folders. The journal, written last,
+    decides the upsert: readers by ``current_rows`` see all of it from then on, and none of it before."""
+    if not set(partition_by) <= set(keys):
+        raise ValueError("the partition columns must be part of the key")
+    spark = updates.sparkSession
+    finish_upsert(spark, table_path)
+    stored = spark.read.parquet(table_path).schema
+    schema = T.StructType([updates.schema[f.name] if f.name in partition_by else f for f in stored])
+    base = read_partitioned(spark, table_path, schema)
+    touched = updates.select(*partition_by).distinct()
+    same = [base[c].eqNullSafe(touched[c]) for c in partition_by]
+    merged = merge_updates(base.join(touched, same, "left_semi").select(*schema.names), updates, keys, order)
+    staging = scratch_path(spark, "upsert-staging")
+    spread_for_write(merged, partition_by).write.mode("errorifexists").partitionBy(*partition_by).parquet(staging)
+    entry = (staging, list(partition_by), json.dumps(merged.schema.jsonValue()))
+    (spark.createDataFrame([entry], "staging string, partition_by array<string>, schema string")
+     .coalesce(1).write.mode("overwrite").parquet(_journal(table_path)))
+    return schema
+
+
+def finish_upsert(spark: SparkSession, table_path: str) -> bool:
+    """The second half: the staged partitions replace the table's, then the journal goes. Repeatable: a run that failed
+    anywhere in it is finished by the next one, from the same staged files. False if nothing was pending."""
+    pending = _staged(spark, table_path)
+    if pending is None:
+        return False
+    rows, partition_by = pending
+    (spread_for_write(rows, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(table_path))
+    folders.remove(spark, _journal(table_path))
+    spark.catalog.refreshByPath(table_path)
+    return True
+
+
 def upsert_partitions(table_path: str, updates: DataFrame, keys: Sequence[str], partition_by: Sequence[str],
                       order: Sequence[str] = ()) -> DataFrame:
     """S6 on a partitioned parquet table: last write wins, rewriting only the
@@ -219,26 +283,16 @@ def upsert_partitions(table_path: str, updates: DataFrame, keys: Sequence[str],
     1. The base rows of the touched partitions are read through a semi join on the
        partition columns (dynamic partition pruning skips untouched folders when its
        cost check finds the table large next to the updates).
-    2. Base and updates are merged (``latest_per_key``) into a staging folder under the
+    2. Base and updates are merged (``merge_updates``) into a staging folder under the
        shared checkpoint folder, so no path is overwritten while it is read.
-    3. The staged partitions replace the touched ones by dynamic partition overwrite;
-       all other partitions stay as they are.
+    3. A journal beside the table, written in one commit, names the staged folder.
+    4. The staged partitions replace the touched ones by dynamic partition overwrite;
+       all other partitions stay as they are. Then the journal goes.
+    A run that fails before 3 leaves the table as it was; after it, the next upsert finishes it first, and
+    ``current_rows`` reads the whole result at any time. One writer at a time.
     Keys must not move between partitions, so the partition columns belong to the key. The
     partition columns' types are those of the updates, not inferred from folder names."""
-    if not set(partition_by) <= set(keys):
-        raise ValueError("the partition columns must be part of the key")
     spark = updates.sparkSession
-    stored = spark.read.parquet(table_path).schema
-    schema = T.StructType([updates.schema[f.name] if f.name in partition_by else f for f in stored])
-    base = read_partitioned(spark, table_path, schema)
-    cols = base.columns
-    touched = updates.select(*partition_by).distinct()
-    base_touched = base.join(touched, list(partition_by), "left_semi").select(*cols)
-    merged = merge_updates(base_touched, updates, keys, order)
-    staging = scratch_path(spark, "upsert-staging")
-    spread_for_write(merged, partition_by).write.mode("errorifexists").partitionBy(*partition_by).parquet(staging)
-    # explicit schema: an empty update writes no files
-    staged = spark.read.schema(merged.schema).parquet(staging).select(*cols)
-    (spread_for_write(staged, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_by).parquet(table_path))
+    schema = stage_upsert(table_path, updates, keys, partition_by, order)
+    finish_upsert(spark, table_path)
     return read_partitioned(spark, table_path, schema)

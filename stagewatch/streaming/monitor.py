@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..functions.strings import stage_name
 from ..operators.monitoring import DEFAULT_USERS, event_order_key, minute_bin, order_key_stage, order_key_time
 from ..schema import EVENT_SCHEMA, LAST_STAGE
 from ..session import scratch_path
@@ -253,7 +252,7 @@ def count_dropped(spark: SparkSession):
 def latest_status_agg(stream: DataFrame, lateness: str | None = None, bucket: str = BUCKET) -> DataFrame:
     s, extra = _bucketed(stream, lateness, bucket)
     k = event_order_key()
-    return s.groupBy("job_id", *extra).agg(F.max(k).alias("_key"), F.max_by("errored", k).alias("errored"))
+    return s.groupBy("job_id", *extra).agg(F.max(k).alias("_key"), F.max_by("stage", k).alias("stage"), F.max_by("errored", k).alias("errored"))
 
 
 def latest_status_stream(stream: DataFrame, dest: str, checkpoint: str, lateness: str | None = None,
@@ -266,11 +265,11 @@ def latest_status_stream(stream: DataFrame, dest: str, checkpoint: str, lateness
 def latest_status_result(spark: SparkSession, dest: str) -> DataFrame:
     keys = ["job_id"] + (["_bucket"] if "_bucket" in updates(spark, dest).columns else [])
     st = read_latest(spark, dest, keys).groupBy("job_id").agg(
-        F.max("_key").alias("_key"), F.max_by("errored", "_key").alias("errored"))
+        F.max("_key").alias("_key"), F.max_by("stage", "_key").alias("stage"), F.max_by("errored", "_key").alias("errored"))
     sp = order_key_stage(F.col("_key"))
     return st.select(
         "job_id",
-        stage_name(sp).alias("stage"),
+        "stage",
         sp.alias("stage_progress"),
         "errored",
         order_key_time(F.col("_key")).alias("last_updation_time"),

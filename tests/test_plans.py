@@ -35,12 +35,13 @@ def test_batch_filter_and_pruning_reach_parquet(stored):
     assert "EqualTo(ingestion_batch_id,16311212173__199501__1110)" in p
     scanned = re.search(r"FileScan parquet \[([^\]]*)\]", p).group(1)
     cols = sorted(c.split("#")[0] for c in scanned.split(","))
-    assert cols == ["errored", "event_date", "ingestion_batch_id", "job_id", "stage_progress", "time"]
+    assert cols == ["errored", "event_date", "ingestion_batch_id", "job_id", "stage", "stage_progress", "time"]
 
 
-def test_latest_status_is_hash_aggregate(stored):
+def test_latest_status_combines_before_its_one_shuffle(stored):
     p = plan(M.latest_job_status(stored))
-    assert "HashAggregate" in p and "SortAggregate" not in p and "ObjectHashAggregate" not in p
+    # the row's own stage text is carried, a text: a sorted aggregate, with a partial step before the shuffle
+    assert p.count("SortAggregate(key=[job_id") == 2 and p.count("Exchange hashpartitioning(job_id") == 1 and "Window" not in p
 
 
 def test_top_k_rollup_broadcasts_only_the_key_set(stored):

@@ -25,16 +25,12 @@ from stagewatch.operators import monitoring as M  # noqa: E402
 from stagewatch.plans.queries_core import first_batch_of  # noqa: E402
 from stagewatch.session import local_session, scratch_path  # noqa: E402
 from stagewatch.sources.derive import monitoring_events  # noqa: E402
-from stagewatch.schema import EVENT_TYPE_NAMES  # noqa: E402
+from stagewatch.schema import DIMENSIONS, MEASURES, RECORD_TYPE_NAMES  # noqa: E402
 from stagewatch.sources import jsonlog as JL  # noqa: E402
 from stagewatch.sources import records as R  # noqa: E402
 from stagewatch.sources import sinks as SK  # noqa: E402
 from stagewatch.sources.sinks import store_events  # noqa: E402
 
-DIMENSIONS = ["ingestion_batch_id", "org_id", "user_id", "repo_id", "repo_version", "priority",
-              "job_id", "job_type", "created_at", "dataset_id", "num_stages"]
-MEASURES = ["stage", "stage_progress", "errored", "finished"]
-
 
 def timed(fn) -> float:
     t = time.perf_counter()
@@ -47,7 +43,7 @@ def write_benchmarks(spark, ev) -> dict:
     return {
         "append_table": timed(lambda: SK.append_rows(ev, scratch_path(spark, "bw-append"))),
         "json_log": timed(lambda: JL.write_log(ev, scratch_path(spark, "bw-log"), unit="month")),
-        "records": timed(lambda: R.to_records(ev, EVENT_TYPE_NAMES, "time", MEASURES, DIMENSIONS)
+        "records": timed(lambda: R.to_records(ev, RECORD_TYPE_NAMES, "time", MEASURES, DIMENSIONS)
                          .write.parquet(scratch_path(spark, "bw-records"))),
         "upsert": timed(lambda: SK.upsert(ev, ev.where("finished"), ["job_id", "stage_progress"]).count()),
     }

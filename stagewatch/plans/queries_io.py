@@ -13,8 +13,8 @@ from ..functions import jsonfns as J
 from ..functions import strings as S
 from ..functions import timefns as TF
 from ..operators import latency as N
-from ..schema import (EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TYPE_NAMES, QUERY_TYPE_NAMES, RECORD_TYPE_NAMES, SCALES, STAGE_NAMES,
-                      STORE_NAMES)
+from ..schema import (DIMENSIONS, EVENT_COLUMNS, EVENT_SCHEMA, EVENT_TYPE_NAMES, MEASURES, QUERY_TYPE_NAMES, RECORD_TYPE_NAMES, SCALES,
+                      STAGE_NAMES, STORE_NAMES)
 from ..session import scratch_path
 from ..sources import csv as CSV
 from ..sources import jsonlog as JL
@@ -252,9 +252,6 @@ def s6(spark, sf_dir):
     return SK.upsert(runs, updates, RUN_KEYS)
 
 
-DIMENSIONS = ["ingestion_batch_id", "org_id", "user_id", "repo_id", "repo_version", "priority",
-              "job_id", "job_type", "created_at", "dataset_id", "num_stages"]
-MEASURES = ["stage", "stage_progress", "errored", "finished"]
 
 
 def _entries_sql(cols) -> str:
@@ -286,6 +283,16 @@ def s8_from(spark, sf_dir):
     return R.from_records(recs, [(c, EVENT_TYPE_NAMES[c]) for c in EVENT_COLUMNS])
 
 
+@register("s8_records_time_units", with_me("SELECT * FROM monitoring_events"))
+def s8_units(spark, sf_dir):
+    """Records whose times are numbers, in another unit for each type of job, read back together."""
+    ev = monitoring_events(spark, sf_dir)
+    kinds = {"ADD": "SECONDS", "UPDATE": "MILLISECONDS", "DELETE": "NANOSECONDS"}
+    unit = F.coalesce(*[F.when(F.col("job_type") == k, F.lit(u)) for k, u in kinds.items()], F.lit("MICROSECONDS"))
+    recs = R.to_records(ev, RECORD_TYPE_NAMES, "time", MEASURES, DIMENSIONS, time_unit=unit)
+    return R.from_records(recs, [(c, EVENT_TYPE_NAMES[c]) for c in EVENT_COLUMNS])
+
+
 @register("s9_rejected_records", """
 SELECT event_id AS record_index,
        concat_ws('; ',

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -312,6 +313,24 @@ def test_sanitise(spark, odd, nothing):
     assert pii.sanitise(nothing).collect() == []
 
 
+@pytest.mark.parametrize("line", ["word{0} user{0}@host{1}.org said", "word{0} ann@x.org said{0}"])
+def test_a_text_of_very_many_identifiers(spark, line):
+    """Many addresses once, and one address many times, with terms that disclose it: time in proportion, every place right."""
+    took = {}
+    for n in (10000, 20000):
+        text = "\U0001f600 ".join(line.format(i, i % 50) for i in range(n))
+        rows = [(1, text), (2, "wrote ann@x.org, zanzibar"), (3, "zanzibar then ann@x.org left")] + [(10 + i, "plain") for i in range(50)]
+        began = time.perf_counter()
+        new = pii.sanitise(docs(spark, rows)).where("doc_id = 1").first()["text"]
+        took[n] = time.perf_counter() - began
+        assert re.sub(r"\[TERM\]|word[0-9]+|said[0-9]*| ", "", new) == "\U0001f600".join(["[EMAIL]"] * n)
+    assert took[20000] < 3 * took[10000]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs(spark, rows)).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[1]["identifiers"]] == _spans(text)
+    ends = [(s["start"], s["end"]) for s in got[1]["terms"]]
+    assert ends == sorted(ends) and all(re.fullmatch(r"\w+", text[a:b]) for a, b in ends)
+
+
 def test_no_python_on_the_main_path(spark):
     table = read_table(spark, SF_CHECK, "documents")
     for df in (pii.find_personal_data(table), pii.sanitise(table)):

@@ -22,6 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 from stagewatch.operators import monitoring as M  # noqa: E402
+from stagewatch.operators import paging as PG  # noqa: E402
 from stagewatch.plans.queries_core import first_batch_of  # noqa: E402
 from stagewatch.session import local_session, scratch_path  # noqa: E402
 from stagewatch.sources.derive import monitoring_events  # noqa: E402
@@ -49,6 +50,21 @@ def write_benchmarks(spark, ev) -> dict:
     }
 
 
+def operator_benchmarks(spark, ev, n_events: int) -> dict:
+    """One run each of operators beside the query types: pages, global numbers, an upsert of some partitions."""
+    keys = ["time", "job_id", "stage_progress"]
+    table = scratch_path(spark, "bench-upserted")
+    ev.write.partitionBy("event_date").parquet(table)
+    first = PG.keyset_page(ev, keys, 100)
+    updates = ev.where("event_date between date'1995-01-01' and date'1995-03-31' and finished")
+    return {
+        "offset_page_deep": timed(lambda: run(PG.offset_page(ev, 100, n_events // 2, keys))),
+        "keyset_page_next": timed(lambda: run(PG.keyset_page(ev, keys, 100, PG.cursor_token(first, keys, "next_cursor")))),
+        "batch_numbers": timed(lambda: run(PG.batch_numbers(ev.select(*keys), keys))),
+        "upsert_partitions": timed(lambda: SK.upsert_partitions(table, updates, ["job_id", "stage_progress"], ["event_date"])),
+    }
+
+
 def run(df) -> float:
     t = time.perf_counter()
     df.write.format("noop").mode("overwrite").save()
@@ -92,6 +108,7 @@ def main() -> None:
         box[name] = [round(x, 4) for x in (min(times), q1, med, q3, max(times))]
     n_events = ev.count()
     writes = write_benchmarks(spark, ev)
+    operators = operator_benchmarks(spark, ev, n_events)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "warm_mean_query_seconds_total",
@@ -104,6 +121,7 @@ def main() -> None:
         "warm_median": warm_median,
         "write_events_sec": round(write_s, 4),
         "writes_sec": writes,
+        "operators_sec": operators,
         "events": n_events,
         "repeats": repeats,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,

@@ -84,6 +84,13 @@ def page_cursors(page: DataFrame, keys: Sequence[str]) -> DataFrame:
     return page.agg(F.min(s).alias("prev_cursor"), F.max(s).alias("next_cursor"))
 
 
+def cursor_token(page: DataFrame, keys: Sequence[str], which: str) -> list | None:
+    """A cursor of ``page`` as the key values that a client hands back with its next request: one row is read.
+    None for an empty page. ``keyset_page`` pushes these values to the scan."""
+    token = page_cursors(page, keys).first()[which]
+    return None if token is None else list(token)
+
+
 def cursor_value(cursor_df: DataFrame, which: str) -> Column:
     """A cursor of ``page_cursors`` (``prev_cursor``/``next_cursor``) as a struct-valued
     scalar subquery: nothing is collected to the driver."""

@@ -56,8 +56,7 @@ ORDER BY e.ts, e.event_id LIMIT 100""")
 def p2_next(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     first = P.keyset_page(ev, EV_KEYS, 100)
-    cur = P.cursor_value(P.page_cursors(first, EV_KEYS), "next_cursor")
-    return P.keyset_page(ev, EV_KEYS, 100, cur, "next")
+    return P.keyset_page(ev, EV_KEYS, 100, P.cursor_token(first, EV_KEYS, "next_cursor"), "next")
 
 
 @register("p2_page_prev", """
@@ -67,8 +66,7 @@ WHERE rn BETWEEN 101 AND 200""".replace("SELECT * FROM (", "SELECT event_id, ts,
 def p2_prev(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     last = P.keyset_page(ev, EV_KEYS, 100, None, "prev")
-    cur = P.cursor_value(P.page_cursors(last, EV_KEYS), "prev_cursor")
-    return P.keyset_page(ev, EV_KEYS, 100, cur, "prev")
+    return P.keyset_page(ev, EV_KEYS, 100, P.cursor_token(last, EV_KEYS, "prev_cursor"), "prev")
 
 
 @register("p3_sorted_scan", with_me("""

@@ -58,6 +58,23 @@ def test_top_one_per_group_limits_before_the_shuffle(stored):
         assert "WindowGroupLimit" in p and "Partial" in p
 
 
+def test_lateral_rollup_meets_the_ids_once(stored):
+    p = plan(M.batch_rollup_lateral(stored))
+    assert p.count("LeftSemi") == 1 and "Inner" not in p and "SortMergeJoin" not in p
+    # the distinct ids; their rows by batch and job (distinct jobs); the roll-up by batch
+    assert p.count("Exchange hashpartitioning(ingestion_batch_id") == 3
+
+
+def test_a_clients_token_is_pushed_to_the_scan(stored):
+    keys = ["time", "job_id", "stage_progress"]
+    token = P.cursor_token(P.keyset_page(stored, keys, 10), keys, "next_cursor")
+    assert P.cursor_token(stored.where("false"), keys, "next_cursor") is None
+    page = P.keyset_page(stored, keys, 10, token)
+    assert "GreaterThan(time," in plan(page).split("PushedFilters")[1][:300] and "ubquery" not in plan(page)
+    rows = [tuple(r) for r in stored.select(*keys).orderBy(*keys).limit(20).collect()]
+    assert [tuple(r) for r in page.select(*keys).collect()] == rows[10:]
+
+
 def test_offset_page_is_bounded(stored):
     p = plan(P.offset_page(stored, 100, 100, ["job_id", "stage_progress"]))
     assert "TakeOrderedAndProject(limit=200" in p

@@ -61,7 +61,7 @@ def operator_benchmarks(spark, ev, n_events: int) -> dict:
         "offset_page_deep": timed(lambda: run(PG.offset_page(ev, 100, n_events // 2, keys))),
         "keyset_page_next": timed(lambda: run(PG.keyset_page(ev, keys, 100, PG.cursor_token(first, keys, "next_cursor")))),
         "batch_numbers": timed(lambda: run(PG.batch_numbers(ev.select(*keys), keys))),
-        "upsert_partitions": timed(lambda: SK.upsert_partitions(table, updates, ["job_id", "stage_progress"], ["event_date"])),
+        "upsert_partitions": timed(lambda: SK.upsert_partitions(table, updates, ["event_date", "job_id", "stage_progress"], ["event_date"])),
     }
 
 

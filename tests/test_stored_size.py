@@ -37,3 +37,10 @@ def test_the_stream_fan_out_stores_its_log_compressed(spark):
     ev = monitoring_events(spark, SF_SMALL)
     assert n == ev.count() == spark.read.json(f"{run}/sink/log").count()
     assert _bytes(f"{run}/sink/log") < _text(ev) / 4
+
+
+def test_generated_ids_are_stored_shorter_than_their_text(spark):
+    path = scratch_path(spark, "ids-size")
+    SK.append_with_ids(spark.range(20000).coalesce(1), path)
+    assert spark.read.parquet(path).select("_id").distinct().count() == 20000
+    assert _bytes(path) < 20000 * 30

@@ -21,6 +21,12 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    fs, p = _at(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     """Removes a folder with all it holds; False if there was none, so that it can be repeated."""
     fs, p = _at(spark, path)

@@ -8,7 +8,10 @@ batches after it. A batch that is replayed writes a folder that its generation a
 or one that it does not yet: either way nothing changes.
 
 What a generation replaced is removed one compaction later, for the readers that still use it. So a stream's
-folders and the rows read stay bounded by its keys and twice the batches between compactions."""
+folders and the rows read stay bounded by its keys and the batches between compactions.
+
+A sink compacts once the batches since the last generation hold twice the bytes of that generation, so all
+rewriting together stays in proportion to what the stream has written, however many micro-batches it takes."""
 
 from __future__ import annotations
 
@@ -81,12 +84,21 @@ def _forget(spark: SparkSession, dest: str, replaced: tuple[int, str]) -> None:
             folders.remove(spark, f"{dest}-generations/{name}")
 
 
+def pays(spark: SparkSession, dest: str) -> bool:
+    """Whether the batches after the last generation hold twice its bytes (true before the first generation)."""
+    found = manifest(spark, dest)
+    if not found:
+        return True
+    upto, path = found[-1]
+    return sum(folders.size(spark, f"{dest}/batch_id={b}") for b in _batches(spark, dest) if b > upto) >= 2 * folders.size(spark, path)
+
+
 def compacting_sink(write: Callable[[DataFrame, int], None], dest: str, keys: Sequence[str], every: int) -> Callable[[DataFrame, int], None]:
-    """``write`` followed by a compaction at every ``every``-th micro-batch."""
+    """``write``, and at every ``every``-th micro-batch a compaction if it ``pays``."""
 
     def sink(df: DataFrame, batch_id: int) -> None:
         write(df, batch_id)
-        if (batch_id + 1) % every == 0:
+        if (batch_id + 1) % every == 0 and pays(df.sparkSession, dest):
             compact(df.sparkSession, dest, keys)
 
     return sink

@@ -6,7 +6,7 @@ content of an identifier e is IC(e) = log2(N / df(e)), and a term t tells
 PMI(t; e) = log2(N co(t, e) / (df(t) df(e))) bits of it, where co counts the documents that
 have both t and e. Their ratio is the disclosure of e by t: 1 means that whoever sees t can
 name e. Terms from ``GENERALISE`` on are replaced by a general word, from ``REMOVE`` on
-removed, wherever they stand in a text that has an identifier. A term must have been seen
+removed, wherever they stand in a text that has an identifier; they are found in all texts on request. A term must have been seen
 with e in ``SUPPORT`` different contexts (``WINDOW`` characters on both sides of e: those that
 hold t, or one of a document where none does): copies of one passage are no evidence. An identifier that stands in every
 document has an information content of 0: nothing discloses it.
@@ -172,12 +172,14 @@ def _disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     return judged.where(F.col("disclosure") >= GENERALISE).select("kind", "value", "term", "disclosure")
 
 
-def with_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+def with_terms(docs: DataFrame, found: DataFrame, everywhere: bool = False) -> DataFrame:
     """``found`` (``__k1, __k2, __text, __spans``) with ``__terms``: the spans of the terms that
-    disclose any identifier, wherever in the text they stand, by start; null without any."""
+    disclose any identifier, wherever in the text they stand, by start; null without any. They are looked for
+    in the texts that have an identifier, or ``everywhere`` (``found`` then holds all texts)."""
     some = found.where("size(__spans) > 0")
     told = stored(_disclosing(some, docs).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
-    held = (some.select("__k1", "__k2", F.explode(_terms_of(some)).alias("term")).distinct().join(told, "term")
+    looked = docs if everywhere else some
+    held = (looked.select("__k1", "__k2", F.explode(_terms_of(looked)).alias("term")).join(told, "term").distinct()
             .groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("term", "disclosure"))).alias("__told")))
     out = found.join(held, ["__k1", "__k2"], "left")
     out = out.withColumn("__m", F.when(F.col("__told").isNotNull(), F.regexp_extract_all("__text", F.lit(_TERM), F.lit(0))))
@@ -205,9 +207,9 @@ def _between(start: str, end: str) -> str:
             f"({end} - 1) div {BLOCK} - {start} div {BLOCK} + 1), ''), {start} % {BLOCK} + 1, {end} - {start}))")
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, ``identifiers`` (kind, start, end, value, before, after; by kind,
-    then start) and ``terms`` (start, end, disclosure; by start).
+    then start) and ``terms`` (start, end, disclosure; by start): those of texts with an identifier, or ``everywhere``.
 
     A null text is an empty one. Equal rows get equal results. Null and repeated doc_ids are rows
     like any other. No rows give no rows; other columns are ignored. In a very long text, finding identifiers
@@ -215,8 +217,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     that has ``SUPPORT`` contexts with each term of its text that is rare enough to disclose it."""
     keyed = _keyed(docs)
     found = with_identifiers(keyed)
-    found = stored(found.withColumn("__text", F.when(F.size("__spans") > 0, F.col("__text"))), "identifiers")
-    return _with_terms_apart(with_terms(keyed, found), "terms").select(
+    if not everywhere:
+        found = found.withColumn("__text", F.when(F.size("__spans") > 0, F.col("__text")))
+    return _with_terms_apart(with_terms(keyed, stored(found, "identifiers"), everywhere), "terms").select(
         F.col("__id").alias("doc_id"), F.col("__spans").alias("identifiers"), "terms")
 
 

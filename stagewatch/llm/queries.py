@@ -39,7 +39,7 @@ def op3_packing(spark, sf_dir):
 
 @_query()
 def op4_pii(spark, sf_dir):
-    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"), everywhere=True)
     counts = [F.expr(f"cast(size(filter(identifiers, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii.KINDS]
     base = "transform(identifiers, s -> concat_ws(':', s.kind, s.start, s.end))"
     terms = "transform(terms, t -> concat_ws(':', 'term', t.start, t.end))"

@@ -10,12 +10,33 @@ from pyspark.sql import functions as F
 from stagewatch.session import scratch_path
 
 
+#: Places of the bitmap by which rows are left out before they are shuffled.
+BITS = 1 << 23
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty), and nothing else: other columns, whatever
     their names, cannot clash with what an operator adds."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def maybe_with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose hashed doc_id is in the bitmap of ``ids(doc_id)``: all whose doc_id is among them, and
+    few others while the ids are far fewer than ``BITS``, which bounds what is broadcast."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    word, bit = F.expr("__place div 64"), F.expr("cast(__place % 64 as int)")
+    held = (ids.select(place.alias("__place")).groupBy(word.alias("__word"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits")))
+    maybe = (docs.withColumn("__place", place).withColumn("__word", word).join(F.broadcast(held), "__word")
+             .where(F.expr("getbit(__bits, cast(__place % 64 as int)) = 1")))
+    return maybe.select(*docs.columns)
+
+
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids(doc_id)``; most others are left out before texts are shuffled."""
+    return maybe_with_ids(docs, ids).join(ids, "doc_id", "left_semi")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: cuts the lineage,
     survives lost executors, and everything read from it is computed once."""

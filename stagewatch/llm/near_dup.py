@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_and_text, stored
+from .common import id_and_text, stored, with_ids
 from .components import connected_components
 
 WORDS = 5
@@ -192,7 +192,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
 def _first_shingles(sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``sets(fp1, n)`` -> ``(fp1, h, at)``: the shared ones of each set's first shingles, rarest first, and their places."""
     ids = sets.select(F.col("node").alias("doc_id")).distinct()
-    texts = id_and_text(docs).join(ids, "doc_id", "left_semi").select("text").distinct()
+    texts = with_ids(id_and_text(docs), ids).select("text").distinct()
     rows = texts.mapInArrow(lambda it: _shingle_rows(it, words), "fp1 long, h long").join(sets.select("fp1").distinct(), "fp1", "left_semi")
     rows = stored(rows, "member-shingles")
     counts = rows.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
@@ -262,13 +262,20 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
     pairs = stored(pairs, "pairs")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = id_and_text(docs).join(wanted, "doc_id", "left_semi")
+    texts = with_ids(id_and_text(docs), wanted)
     texts = stored(texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "h"]).drop("h"), "texts")
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
                   .mapInArrow(lambda it: _confirmed(it, words, percent), "a long, b long"), "links")
 
 
+def class_nodes(named: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of each class of equal sets. It is picked before the shuffle too: signatures
+    are long, and are dealt out once."""
+    return (named.groupBy("fp1", "fp2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "keys")).alias("s"))
+            .select(F.col("s.doc_id").alias("node"), "fp1", "s.n_shingles", "s.sketch", "s.keys"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -280,8 +287,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     named = signed.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"))
     in_class = named.select("doc_id", "fp1", "fp2").distinct().join(classes, ["fp1", "fp2"])
-    nodes = stored(named.join(classes.withColumnRenamed("node", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi")
-                   .dropDuplicates(["fp1", "fp2"]).select(F.col("doc_id").alias("node"), "fp1", "n_shingles", "sketch", "keys"), "nodes")
+    nodes = stored(class_nodes(named), "nodes")
 
     pairs, crowded = candidate_links(nodes.select("node", "keys"))
     links = _links(pairs, nodes, docs, words, percent)

@@ -175,13 +175,21 @@ def _disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
 def with_terms(docs: DataFrame, found: DataFrame, everywhere: bool = False) -> DataFrame:
     """``found`` (``__k1, __k2, __text, __spans``) with ``__terms``: the spans of the terms that
     disclose any identifier, wherever in the text they stand, by start; null without any. They are looked for
-    in the texts that have an identifier, or ``everywhere`` (``found`` then holds all texts)."""
+    in the texts that have an identifier, or ``everywhere`` (``found`` then holds all rows)."""
     some = found.where("size(__spans) > 0")
     told = stored(_disclosing(some, docs).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "disclosing")
     looked = docs if everywhere else some
     held = (looked.select("__k1", "__k2", F.explode(_terms_of(looked)).alias("term")).join(told, "term").distinct()
             .groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list(F.struct("term", "disclosure"))).alias("__told")))
-    out = found.join(held, ["__k1", "__k2"], "left")
+    if not everywhere:
+        return _placed(found.join(held, ["__k1", "__k2"], "left"))
+    # Only texts that hold such a term are needed again, and each once; the identifiers meet what was found in them.
+    texts = docs.select("__k1", "__k2", "__text").join(held, ["__k1", "__k2"]).dropDuplicates(["__k1", "__k2"])
+    return found.join(_placed(texts).select("__k1", "__k2", "__terms"), ["__k1", "__k2"], "left")
+
+
+def _placed(out: DataFrame) -> DataFrame:
+    """Add ``__terms``: where the terms of ``__told`` (sorted; null without any) stand in ``__text``."""
     out = out.withColumn("__m", F.when(F.col("__told").isNotNull(), F.regexp_extract_all("__text", F.lit(_TERM), F.lit(0))))
     out = out.withColumn("__g", F.when(F.col("__told").isNotNull(), F.split("__text", _TERM, -1)))
     out = _with_starts(out, "__g", "__m", "__st")
@@ -216,9 +224,7 @@ def find_personal_data(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     and placing terms takes time in proportion to their number; judging them pairs each identifier
     that has ``SUPPORT`` contexts with each term of its text that is rare enough to disclose it."""
     keyed = _keyed(docs)
-    found = with_identifiers(keyed)
-    if not everywhere:
-        found = found.withColumn("__text", F.when(F.size("__spans") > 0, F.col("__text")))
+    found = with_identifiers(keyed).withColumn("__text", F.when(F.size("__spans") > 0, F.col("__text")))
     return _with_terms_apart(with_terms(keyed, stored(found, "identifiers"), everywhere), "terms").select(
         F.col("__id").alias("doc_id"), F.col("__spans").alias("identifiers"), "terms")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from stagewatch.session import scratch_path
 
 #: Places of the bitmap by which rows are left out before they are shuffled.
 BITS = 1 << 23
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -37,12 +40,27 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return maybe_with_ids(docs, ids).join(ids, "doc_id", "left_semi")
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Arrow batches hold at most ``BATCH_ROWS`` rows: a batch of texts is held several times,
+    in the executor and in its Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read back: cuts the lineage,
     survives lost executors, and everything read from it is computed once."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{label}")
-    df.write.parquet(path)
+    with _short_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

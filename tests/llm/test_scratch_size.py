@@ -44,3 +44,12 @@ def test_signatures_are_dealt_out_once(spark):
     signed = near_dup.signatures(docs)
     plan = near_dup.class_nodes(signed.where("doc_id is not null and n_shingles > 0"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_batches_of_stored_tables_are_short(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = spark.range(0, 5000, 1, 1).mapInPandas(lambda it: (b.iloc[:1].assign(id=len(b)) for b in it), "id long")
+    assert sum(r["id"] for r in common.stored(sizes, "sizes").collect()) == 5000
+    assert max(r["id"] for r in common.stored(sizes, "sizes").collect()) <= common.BATCH_ROWS
+    assert spark.conf.get(key) == before

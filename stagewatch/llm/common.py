@@ -36,8 +36,9 @@ def maybe_with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids(doc_id)``; most others are left out before texts are shuffled."""
-    return maybe_with_ids(docs, ids).join(ids, "doc_id", "left_semi")
+    """The rows of ``docs`` whose doc_id is among ``ids(doc_id)``; most others are left out before texts are shuffled.
+    An inner join with distinct ids: Spark would do a semi join before the one with the bitmap."""
+    return maybe_with_ids(docs, ids).join(ids.distinct(), "doc_id").select(*docs.columns)
 
 
 @contextmanager

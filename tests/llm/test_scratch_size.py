@@ -37,6 +37,14 @@ def test_rows_of_other_ids_stay_out_of_the_shuffle(spark, monkeypatch):
         monkeypatch.setattr(common, "BITS", bits)
         assert sorted(tuple(r) for r in common.with_ids(docs, ids).collect()) == want
     assert common.with_ids(docs, ids.limit(0)).count() == 0
+    monkeypatch.setattr(common, "BITS", 1 << 23)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = common.with_ids(docs, ids)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert -1 < plan.index("SortMergeJoin") < plan.index("BroadcastHashJoin")  # what stands deeper runs first
 
 
 def test_signatures_are_dealt_out_once(spark):

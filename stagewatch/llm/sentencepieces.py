@@ -22,7 +22,6 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,9 @@ _SPACE = "▁"
 _CELLS = 1 << 21      # substrings probed at once
 _KEPT = 400_000       # words remembered; emptied when full, which changes no result
 _SIEVE_BITS = 21
-_TEXTS, _CHARS = 512, 1 << 22  # of texts encoded together; a longer text goes alone
+_TESTED_BITS = 20     # pairs of pieces whose test is remembered
+_BEYOND = np.uint32(0xFFFFFFFF)  # no character: what stands after a shorter word's end
+_TEXTS, _CHARS = 2048, 1 << 22  # of texts encoded together; a longer text goes alone
 _WORKER = "_stagewatch_sentencepieces"
 _START, _UNKNOWN = -1, -2
 
@@ -91,8 +92,7 @@ class Pieces:
         self.surface = ["" if i in self.silent else m.trainer_spec.unk_surface if i == self.unknown else t for i, t in enumerate(self.text)]
         self.unknown_score = np.float32(self.score[list(self.normal.values())].min() - 10)
         # a piece never goes on past the end of a word, unless the model has such pieces
-        self.word = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+" if not any(re.search(f"[^{_SPACE}]{_SPACE}", t) for t in self.normal)
-                               else "(?s).+")
+        self.whole = any(re.search(f"[^{_SPACE}]{_SPACE}", t) for t in self.normal)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         groups: dict[int, list[str]] = {}
         for t in self.normal:
@@ -120,6 +120,7 @@ class Pieces:
     def _spines(self) -> None:
         """Tables for the pair test: per piece its last (first) symbols, one for each merge that
         changes it, with the score of the next one, and the score of every merge of two symbols."""
+        self.tested, self.passed = np.full(1 << _TESTED_BITS, -1), np.zeros(1 << _TESTED_BITS, bool)
         symbols = {t: i for i, t in enumerate(self.text) if t in self.normal}
         for t in self.normal:
             for c in t:
@@ -222,9 +223,24 @@ class Pieces:
         out = (piece == _UNKNOWN) | self.reachable[np.maximum(piece, 0)]
         todo = np.flatnonzero(out & (last >= 0) & (piece >= 0))  # nothing merges with an unknown character
         a, b = last[todo], piece[todo].astype(np.int64)
+        key = a * self.width + b
+        slot = ((key.view(np.uint64) * _BASE) >> np.uint64(64 - _TESTED_BITS)).astype(np.intp)
+        known = self.tested[slot] == key
+        out[todo[known]] = self.passed[slot[known]]
+        if not known.all():
+            todo, key, slot = todo[~known], key[~known], slot[~known]
+            ok = out[todo] = self._stays(a[~known], b[~known])
+            self.tested[slot] = key
+            held = self.tested[slot] == key
+            self.passed[slot[held]] = ok[held]
+        return out
+
+    def _stays(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Does merging leave the pairs as they are?"""
+        out, todo = np.ones(len(a), bool), np.arange(len(a))
         plain = self.ordered[a] & self.ordered[b]
         for k in np.flatnonzero(~plain).tolist():
-            out[todo[k]] = self._merged(int(a[k]), int(b[k]))
+            out[k] = self._merged(int(a[k]), int(b[k]))
         todo, a, b = todo[plain], a[plain], b[plain]
         free = np.isneginf(self._pair_score(a, b))  # most pairs fail here
         out[todo[~free]] = False
@@ -241,8 +257,8 @@ class Pieces:
             todo, a, b, i, j = todo[on], a[on], b[on], i[on] + step, j[on] + ~step
         return out
 
-    def _viterbi(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each word's pieces and where they start, first to last; _START fills up in front."""
+    def _viterbi(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's pieces and where they start, first to last; _START fills up in front. A word has ``sizes`` characters, then _BEYOND."""
         n, size = chars.shape
         found = self._found(chars)
         best = np.full((n, size + 1), -np.inf, np.float32)
@@ -256,7 +272,7 @@ class Pieces:
             before = best[:, end - lengths]
             if self.bpe:
                 may = (piece >= 0) & (before == 0)
-                may[:, -1] |= (piece[:, -1] == _UNKNOWN) & (before[:, -1] == 0)
+                may[:, -1] |= (piece[:, -1] == _UNKNOWN) & (before[:, -1] == 0) & (sizes >= end)
                 r, c = np.nonzero(may)
                 ok = self._may_follow(last[r, end - lengths[c]], piece[r, c])
                 r, c = r[ok], c[ok]
@@ -270,16 +286,16 @@ class Pieces:
             top = value.argmax(axis=1)
             best[:, end], back[:, end], last[:, end] = value[rows, top], lengths[top], piece[rows, top]
         # all words go back together, a piece a step
-        at, pieces, starts = np.full(n, size), [], []
+        at, pieces, starts = sizes, [], []
         while at.any():
             pieces.append(np.where(at > 0, last[rows, at], _START))
             at = at - back[rows, at]
             starts.append(at)
         return np.stack(pieces[::-1], axis=1), np.stack(starts[::-1], axis=1)
 
-    def _ids(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids in a row, and how many each has; unknown characters as bytes, or as one unknown a run."""
-        pieces, starts = self._viterbi(chars)
+        pieces, starts = self._viterbi(chars, sizes)
         row, col = np.nonzero(pieces != _START)
         ids = pieces[row, col]
         unknown = ids == _UNKNOWN
@@ -298,31 +314,53 @@ class Pieces:
             out[first[size > k] + k] = table[size > k, k]
         return out, np.bincount(row, count, len(chars)).astype(np.int64)
 
-    def _learn(self, words: set[str]) -> None:
-        groups: dict[int, list[str]] = {}
-        for w in words:
-            groups.setdefault(len(w), []).append(w)
+    def _learn(self, words: list[str]) -> None:
+        """New words, each once. Those of like length go together."""
         flat, counts = [self.flat], []
-        for size, group in groups.items():
-            chars = _codes("".join(group)).reshape(len(group), size)
-            step = max(1, _CELLS // (size * min(size, self.longest)))
-            for i in range(0, len(group), step):
-                ids, count = self._ids(chars[i:i + step])
-                flat.append(ids)
-                counts.append(count)
-            self.words.update(zip(group, range(len(self.words), len(self.words) + len(group))))
+        words = sorted(words, key=len)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        i = 0
+        while i < len(words):
+            most = int(sizes[i]) * 5 // 4 + 1
+            j = int(np.searchsorted(sizes, most, "right"))
+            size = int(sizes[j - 1])
+            j = min(j, i + max(1, _CELLS // (size * min(size, self.longest))))
+            size = int(sizes[j - 1])
+            chars = np.full((j - i, size), _BEYOND)
+            chars[np.arange(size) < sizes[i:j, None]] = _codes("".join(words[i:j]))
+            ids, count = self._ids(chars, sizes[i:j])
+            flat.append(ids)
+            counts.append(count)
+            i = j
+        self.words.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         if counts:
             self.flat = np.concatenate(flat)
             self.begin = np.append(self.begin, self.begin[-1] + np.cumsum(np.concatenate(counts)))
 
+    def _split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct words of all texts, which of them each word is, and how many words each text has."""
+        raw = [(" " * self.prefix + t.replace(_SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        joined, size = b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(size)
+        if self.whole:
+            begins = np.zeros(len(joined), bool)
+        else:  # a word is a run of spaces and what follows
+            begins = np.frombuffer(joined, np.uint8) == 32
+            begins[1:] &= ~begins[:-1]
+        begins[(ends - size)[size > 0]] = True
+        at = np.flatnonzero(begins)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(joined)).astype(np.int64)),
+                                                                             pa.py_buffer(joined)]).dictionary_encode()
+        return ([w.decode("utf-8", "surrogatepass").replace(" ", _SPACE) for w in words.dictionary.to_pylist()],
+                words.indices.to_numpy(), np.diff(np.searchsorted(at, np.r_[0, ends])))
+
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's start, the end last."""
-        split = [self.word.findall((_SPACE if self.prefix else "") + t.replace(" ", _SPACE)) if t else [] for t in texts]
+        distinct, which, n_words = self._split(texts)
         if len(self.words) >= _KEPT:
             self._forget()
-        self._learn(set().union(*split) - self.words.keys())
-        n_words = np.array([len(ws) for ws in split], np.int64)
-        place = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        self._learn([w for w in distinct if w not in self.words])
+        place = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[which]
         first = self.begin[place]
         count = self.begin[place + 1] - first
         ends = np.cumsum(count)

@@ -73,6 +73,25 @@ def test_pair_test_equals_merging():
     assert {a for a, b in pairs if pieces._merged(a, b)} <= alone
 
 
+def test_words_of_like_length_are_learnt_together_and_pairs_tested_once(monkeypatch):
+    pieces, calls, tested = sentencepieces.Pieces(_model(2)), [], []
+    viterbi, stays = pieces._viterbi, pieces._stays
+    monkeypatch.setattr(pieces, "_viterbi", lambda *a: calls.append(len(a[0])) or viterbi(*a))
+    monkeypatch.setattr(pieces, "_stays", lambda a, b: tested.extend(zip(a.tolist(), b.tolist())) or stays(a, b))
+    words = ["▁" + ("summer night " * 4).replace(" ", "")[:n] for n in range(1, 40)]
+    pieces._learn(words)
+    assert sum(calls) == len(words) and len(calls) < 16  # one call for each length before
+    first = len(tested)
+    pieces._forget()
+    pieces._learn(words)
+    assert first > 0 and len(tested) < first + first // 10
+    alone = sentencepieces.Pieces(_model(2))
+    for w in words:
+        alone._learn([w])
+    assert [alone.flat[slice(*alone.begin[alone.words[w]:][:2])].tolist() for w in words] == [
+        pieces.flat[slice(*pieces.begin[pieces.words[w]:][:2])].tolist() for w in words]
+
+
 def test_texts_encoded_in_one_batch_or_alone(monkeypatch):
     import pyarrow as pa
 

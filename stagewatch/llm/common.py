@@ -13,8 +13,8 @@ from stagewatch.session import scratch_path
 
 #: Places of the bitmap by which rows are left out before they are shuffled.
 BITS = 1 << 23
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch, and bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -41,18 +41,28 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return maybe_with_ids(docs, ids).join(ids.distinct(), "doc_id").select(*docs.columns)
 
 
+def shorten_batches(spark: SparkSession) -> dict[str, str]:
+    """From now on Arrow batches of the session hold at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``: a batch of
+    texts is held several times, in the executor and in its Python worker, and what it took there is hardly given
+    back. Smaller limits stay. Returns the settings that were changed, as they were."""
+    before = {}
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not ((n := now.rstrip("b")).isdigit() and 0 < int(n) <= most):
+            before[key] = now
+            spark.conf.set(key, most)
+    return before
+
+
 @contextmanager
-def _short_batches(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, Arrow batches hold at most ``BATCH_ROWS`` rows: a batch of texts is held several times,
-    in the executor and in its Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """``shorten_batches`` while it lasts."""
+    before = shorten_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -60,7 +70,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     survives lost executors, and everything read from it is computed once."""
     spark = df.sparkSession
     path = scratch_path(spark, f"llm-{label}")
-    with _short_batches(spark):
+    with short_batches(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -214,7 +214,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, kee
     table = slots(plan(counts, capacity))
     if len(table) > 64 * capacity:  # what is broadcast does not grow with the corpus
         raise ValueError("the plan is larger than its bound")
-    places = spark.createDataFrame(table, "length long, lo long, hi long, sequence long, offset long")
+    # As an Arrow table: rows of Python objects would start further Python workers in the executors.
+    names = ["length", "lo", "hi", "sequence", "offset"]
+    places = spark.createDataFrame(pa.table([pa.array([r[k] for r in table], pa.int64()) for k in range(len(names))], names=names))
     before = by_part.withColumn("before", F.sum("n").over(
         Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     numbered = (pieces.join(before.select("length", "part", F.coalesce("before", F.lit(0)).alias("before")), ["length", "part"])

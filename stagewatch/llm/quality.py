@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import id_and_text, short_batches
 
 THRESHOLD = 0.3         # predicted = 1 from here
 TRAIN_DOCS = 6000       # documents fitted on, at most: those with the smallest hash of their id
@@ -224,7 +224,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS))
     sample = (id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
               .mapInArrow(_chain_rows, "doc_id long, quality int, x binary, sizes binary").dropDuplicates(["doc_id", "x"])
-              .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(TRAIN_DOCS).collect())
+              .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(TRAIN_DOCS))
+    with short_batches(docs.sparkSession):
+        sample = sample.collect()
     width = 3 * _FEATURES + 1
     return fit([np.frombuffer(r["x"], "<f4").reshape(-1, width).astype(float) for r in sample],
                [np.frombuffer(r["sizes"], "<i8") for r in sample], np.array([r["quality"] for r in sample], float))

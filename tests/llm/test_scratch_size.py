@@ -4,7 +4,8 @@ import glob
 import os
 import random
 
-from stagewatch.llm import common, near_dup, pii
+import pytest
+from stagewatch.llm import common, near_dup, packing, pii
 from stagewatch.session import checkpoint_root
 
 
@@ -61,3 +62,44 @@ def test_batches_of_stored_tables_are_short(spark):
     assert sum(r["id"] for r in common.stored(sizes, "sizes").collect()) == 5000
     assert max(r["id"] for r in common.stored(sizes, "sizes").collect()) <= common.BATCH_ROWS
     assert spark.conf.get(key) == before
+
+
+def test_batches_are_bounded_by_bytes_and_settings_come_back(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('x', 20000) as text").coalesce(1)
+    rows = common.stored(docs.mapInArrow(sizes, "n long, bytes long"), "batches").collect()
+    assert sum(r["n"] for r in rows) == 2000 and max(r["bytes"] for r in rows) < 2 * common.BATCH_BYTES  # 20 MB before
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_quality_stage_is_read_in_short_batches(spark):
+    import corpus_pipeline
+
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+    docs = spark.createDataFrame([(1, "One line. Another one."), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    try:
+        spark.conf.set(keys[0], "50")
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(corpus_pipeline, "read_table", lambda *_: labels)
+            corpus_pipeline.quality_stage(spark, docs, "")
+        assert spark.conf.get(keys[0]) == "50"  # a smaller one stays
+        assert int(spark.conf.get(keys[1])) <= common.BATCH_BYTES
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
+
+
+def test_packing_starts_no_workers_for_its_plan(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b c " * i) for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_, **__: pytest.fail("rows of the plan go through Python workers"))
+    rows = packing.pack(docs, capacity=64).collect()
+    assert {r["doc_id"] for r in rows} == set(range(20))

@@ -20,12 +20,12 @@ def _round(spark, n, tasks):
 
 
 def test_a_file_of_the_source_is_read_by_many_tasks(spark):
-    ev = _round(spark, 400_000, 1)
+    ev = _round(spark, 600_000, 1)
     dest = T.stage_rounds_source(ev, scratch_path(spark, "row-groups"))
     meta = [pq.read_metadata(f) for f in glob.glob(f"{dest}/part-*")]
     largest = max(meta, key=lambda m: m.num_rows)
-    assert sum(m.num_rows for m in meta) == largest.num_rows == 400_000
-    assert max(largest.row_group(i).num_rows for i in range(largest.num_row_groups)) <= 400_000 / 2
+    assert sum(m.num_rows for m in meta) == largest.num_rows == 600_000
+    assert max(largest.row_group(i).num_rows for i in range(largest.num_row_groups)) <= 600_000 / 2
     assert spark.read.schema(EVENT_SCHEMA).parquet(dest).exceptAll(ev).isEmpty()
 
 

@@ -11,6 +11,7 @@ from stagewatch.streaming import monitor as T
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 STREAMS = {
     "t2": (T.batch_rollup_stream, T.batch_rollup_result, M.batch_rollup),
+    "t4": (T.latest_status_stream, T.latest_status_result, M.latest_job_status),
 }
 
 
